@@ -42,7 +42,8 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, max
 
     The budget is shared by weight; a target stops at max_epochs times the
     source's size and what is over is shared again (water filling, solved in
-    closed form over sources sorted by cap / weight).
+    closed form over sources sorted by cap / weight: the first that is not
+    capped has the common level).
     """
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((turn - 1) % len(weights) + 1).cast("int"))
@@ -51,7 +52,7 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, max
     before, everything = ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     level = (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     t = t.withColumn("level", level).withColumn("capped", F.col("cap") / F.col("w") <= F.col("level"))
-    final = F.min(F.when(~F.col("capped"), F.col("level"))).over(everything)
+    final = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)
     return t.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(final * F.col("w")).alias("target"))
 
 
@@ -140,7 +141,7 @@ WITH q AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM w
   WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, CASE WHEN cap / w <= level THEN cap ELSE min(CASE WHEN cap / w <= level THEN NULL ELSE level END) OVER () * w END AS target FROM l
+  SELECT source, source_size, CASE WHEN cap / w <= level THEN cap ELSE max(CASE WHEN cap / w <= level THEN NULL ELSE level END) OVER () * w END AS target FROM l
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(round_even(target, 0) / source_size))::BIGINT ELSE 0 END AS epochs FROM t
 ), f AS (
