@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_bpe": bpe.op3_bpe,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 SQL = {
