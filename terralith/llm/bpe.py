@@ -19,7 +19,10 @@ carried along.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Mean bytes of a chunk (a power of two), bytes the hash looks back over, and bounds of what a worker keeps.
 CHUNK_BYTES = 512
 WINDOW = 16
-KEEP_CHUNK_BYTES = 48 << 20
-KEEP_WORDS = 300_000
+KEEP_CHUNK_BYTES = 32 << 20
+KEEP_WORDS = 400_000
 _SPACES = b" \t\n\x0b\f\r"
 _FIRST = re.compile(rb"[ \t-\r]")
 
@@ -68,8 +71,11 @@ class Codec:
     """Encodes and decodes whole texts; kept by each worker between tasks."""
 
     def __init__(self, path: str, mean: int = CHUNK_BYTES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; before the library looks
         from tokenizers import Tokenizer
 
+        assert sys.byteorder == "little" and array("I").itemsize == 4
+
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -77,7 +83,14 @@ class Codec:
         self.words: dict[bytes, tuple[bytes, bytes]] = {b"": (b"", b"")}
         self.chunks: dict[bytes, tuple] = {}
         self.kept = 0
-        self.names: dict[int, str] = {}
+        self.names: dict[int, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes the words that are not known yet, in one call."""
+        new = [w for w in words if w not in self.words]
+        for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.words[w] = array("I", ids).tobytes(), self.render(ids)
 
     def pieces(self, words: list[bytes]) -> tuple[bytes, bytes]:
         """ids and decoded text (each token followed by a blank) of words that stand between white space."""
@@ -85,23 +98,30 @@ class Codec:
         try:
             found = [known[w] for w in words]
         except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > KEEP_WORDS:
-                known = self.words = {b"": (b"", b"")}
-                new = list(set(words))
-            for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes(), self.render(e.ids)
+            self.learn(set(words))
             found = [known[w] for w in words]
         return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
 
+    def prepare(self, texts: list[bytes]) -> None:
+        """Makes room, then learns all words of the chunks to come; what the last call needed stays."""
+        seen: set[bytes] = set()
+        for t in texts:
+            words = t.split()
+            seen.update(words[t[0] not in _SPACES : len(words) - (t[-1] not in _SPACES)])  # fragments aside
+        if len(self.words) > KEEP_WORDS:
+            self.words = {w: v for w in seen if (v := self.words.get(w))} | {b"": (b"", b"")}
+        self.learn(seen)
+        if self.kept > KEEP_CHUNK_BYTES:
+            self.chunks, self.kept = {}, 0
+
     def render(self, ids) -> bytes:
-        out = []
-        for i in ids:
-            s = self.names.get(i)
-            if s is None:
-                s = self.names[i] = self.tok.decode([i], skip_special_tokens=False)
-            out.append(s)
-        return "".join(f"{s} " for s in out).encode()
+        names = self.names
+        try:
+            return b"".join([names[i] for i in ids])
+        except KeyError:
+            for i in ids:
+                names[i] = self.tok.decode([i], skip_special_tokens=False).encode() + b" "
+            return self.render(ids)
 
     def chunk(self, raw: bytes) -> tuple:
         """(first fragment, ids, decoded, last fragment), or (raw,) if it has no white space."""
@@ -119,20 +139,15 @@ class Codec:
                 else:
                     words, tail = rest.split(), b""
                 got = (head, *self.pieces(words), tail)
-            if self.kept > KEEP_CHUNK_BYTES:
-                self.chunks, self.kept = {}, 0
             self.chunks[raw] = got
             self.kept += len(raw) + len(got[1] if len(got) > 1 else b"") * 3
         return got
 
-    def encode(self, text: bytes, at: list[int]) -> tuple[bytes, bytes]:
-        """ids as little-endian 32-bit integers and the decoded text; at: where chunks end, in order."""
-        ids, shown, open_, start = [], [], b"", 0
-        for end in [*at, len(text)]:
-            if end == start:
-                continue
-            got = self.chunk(text[start:end])
-            start = end
+    def encode(self, chunks: list[bytes]) -> tuple[bytes, bytes]:
+        """ids as little-endian 32-bit integers and the decoded text of the chunks of one text."""
+        ids, shown, open_ = [], [], b""
+        for raw in chunks:
+            got = self.chunk(raw) if raw else (raw,)
             if len(got) == 1:  # no white space yet: the join widens
                 open_ += got[0]
                 continue
@@ -167,11 +182,13 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, mean: int) -> It
         data, offs = flat(batch.column("text"))
         at = cuts(data, mean)
         first = np.searchsorted(at, offs, "right")
-        raw, rows = data.tobytes(), []
+        last = np.searchsorted(at, offs[1:])
+        raw, texts = data.tobytes(), []
         for i in range(batch.num_rows):
-            a, b = int(offs[i]), int(offs[i + 1])
-            rows.append(own.encode(raw[a:b], (at[first[i] : np.searchsorted(at, b)] - a).tolist()))
-        yield batch, rows
+            ends = [int(offs[i]), *at[first[i] : last[i]].tolist(), int(offs[i + 1])]
+            texts.append([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        own.prepare(list({c for t in texts for c in t if c and c not in own.chunks}))
+        yield batch, [own.encode(t) for t in texts]
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
