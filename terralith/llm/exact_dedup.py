@@ -15,9 +15,11 @@ other columns of the input are ignored (``classes``) or kept (``deduplicate``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import documents
+
 #: A chunk ends after a text that matches this: content-defined, so an edit moves no cut but its own.
 CUT_MARK = r"(?<=[aeio][b-dm][aeiu][nlr][eio])(?=[^aeiou])"
 
@@ -49,15 +51,13 @@ def classes(docs: DataFrame, cut_mark: str = CUT_MARK) -> DataFrame:
 
 def deduplicate(docs: DataFrame, cut_mark: str = CUT_MARK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row if a kept row is repeated."""
-    kept = classes(docs.select("doc_id", "text"), cut_mark).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct()
-    own = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    joined = own.join(kept, own.doc_id.eqNullSafe(kept._keep_id) & (own._sha == kept._keep_sha), "left_semi")
-    # Another row with the kept doc_id and an equal text may exist; one of them stays, the longest.
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    kept = classes(docs.select("doc_id", "text"), cut_mark).where("kept").select(id_.alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    own = docs.withColumns({"_id": id_, "_sha": F.sha2(normalised(F.col("text")), 256)})
+    # Of repeated rows with the kept doc_id and an equal text the longest stays; the join has dealt them together.
     order = [F.length("text").desc_nulls_last(), *[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith(("map", "variant"))]]
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(*order))
-    return joined.withColumn("_nth", first).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(*order))
+    return own.join(kept, ["_id", "_sha"], "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 OP8_SQL = r"""
@@ -71,6 +71,4 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 
 def op8_exact_dedup(spark, sf_dir):
-    from .common import documents
-
     return classes(documents(spark, sf_dir))

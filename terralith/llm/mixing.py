@@ -98,13 +98,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     match) if it is taken in part.  Documents that share a doc_id and a source
     and differ in text are taken by their own sizes.
     """
-    plan = plan_mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.sum("taken").alias("_t"), F.count(F.lit(1)).alias("_same"))
-    own = docs.withColumn("_size", n_words(F.col("text")))
-    joined = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    from pyspark.sql import Window as W
+    def key(size):
+        return F.to_json(F.struct("doc_id", "source", size.alias("size")))
 
+    plan = plan_mix(docs, **options).where("taken > 0").groupBy(key(F.col("size")).alias("_key")).agg(F.sum("taken").alias("_t"), F.count(F.lit(1)).alias("_same"))
+    own = docs.withColumn("_size", n_words(F.col("text")))
+    joined = own.withColumn("_key", key(F.col("_size"))).join(plan, "_key")
     # Repeated rows share what they take: each its whole part, the first the remainder.
-    nth = F.row_number().over(W.partitionBy("_d", "_s", "_n").orderBy("text"))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
     each = F.floor(F.col("_t") / F.col("_same"))
     joined = joined.withColumn("_own", F.when(F.col("_same") == 1, F.col("_t")).otherwise(each + F.when(nth == 1, F.col("_t") - each * F.col("_same")).otherwise(0)))
     copies = F.floor(F.col("_own") / F.col("_size"))
