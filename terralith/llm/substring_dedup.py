@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, saved
-from .text import U64, flat, mix, pack, slices, unpack, window_hashes, word_bounds, word_hashes
+from .text import U64, flat, mix, pack, slices, tidy, unpack, window_hashes, word_bounds, word_hashes
 
 K = 13
-SLICE = 16 << 20
+SLICE = 8 << 20
+#: Bytes of text that are worth a document group of their own; blobs number slices or buckets times groups.
+GROUP = 2 << 20
 
 
 def _z():
@@ -80,6 +82,12 @@ def undeltas(d: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total - np.repeat(base, np.diff(np.append(at, len(d))))
 
 
+def tags_of(data: np.ndarray, offs: np.ndarray, seed: int) -> np.ndarray:
+    """16 bits that tell rows with the same doc_id and different texts apart."""
+    raw = memoryview(data)
+    return np.array([zlib.crc32(raw[offs[i] : offs[i + 1]], seed) & 0xFFFF for i in range(len(offs) - 1)], np.int64)
+
+
 class Slice:
     """Words, windows and identities of the rows of one piece of input."""
 
@@ -87,10 +95,9 @@ class Slice:
         self.starts, self.ends, self.first = word_bounds(data, offs)
         self.words = word_hashes(data, self.starts, self.ends, seed)
         self.n_rows = len(offs) - 1
-        raw = memoryview(data)
-        self.tags = np.array([zlib.crc32(raw[offs[i] : offs[i + 1]]) for i in range(self.n_rows)], np.int64)
+        self.tags = tags_of(data, offs, seed)
         self.k = k
-        row = np.repeat(np.arange(self.n_rows), np.diff(self.first))
+        row = np.repeat(np.arange(self.n_rows, dtype=np.int32), np.diff(self.first))
         n = max(0, len(row) - k + 1)
         self.inside = row[:n] == row[k - 1 : k - 1 + n]
         self.row_of = row[:n]
@@ -99,9 +106,9 @@ class Slice:
         return window_hashes(self.words, self.k, seed)
 
 
-def leaders(h: np.ndarray, extra: np.ndarray | None, rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by edge, then by document rank and position; and for each place in it the first of its edge."""
-    order = np.lexsort((pos, rank, h) if extra is None else (pos, rank, extra, h))
+def leaders(h: np.ndarray, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by edge; and for each place in it the place of the first of its edge."""
+    order = np.argsort(h, kind="stable") if extra is None else np.lexsort((extra, h))
     new = np.ones(len(h), bool)
     a = h[order]
     new[1:] = a[1:] != a[:-1]
@@ -156,19 +163,21 @@ def edges(docs: DataFrame, k: int, buckets: int, groups: int, width: int, seed:
 
     def run(batches):
         for batch in slices(batches, "text", SLICE):
+            ids = np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64)
+            by = np.lexsort((tags_of(*flat(batch.column("text")), seed), ids))  # rows, and so edges, in the order of sources
+            batch, ids = batch.take(pa.array(by)), ids[by]
             s = Slice(*flat(batch.column("text")), k, seed)
             h = s.windows()
             extra = s.windows(3) if width > 8 else None
+            del s.words, s.starts, s.ends
             null = np.asarray(batch.column("doc_id").is_null())
-            ids = np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64)
             use = np.flatnonzero(s.inside & ~null[s.row_of]) if len(h) else np.zeros(0, np.int64)
             if not len(use):
                 continue
             h, row, extra = h[use], s.row_of[use], None if extra is None else extra[use]
-            pos = use - s.first[row]
-            rank = np.empty(s.n_rows, np.int64)
-            rank[np.lexsort((s.tags, ids))] = np.arange(s.n_rows)
-            order, lead = leaders(h, extra, rank[row], pos)
+            pos = (use - s.first[row]).astype(np.int32)
+            del use
+            order, lead = leaders(h, extra)
             rs = row[order]
             late = ids[rs] > ids[rs[lead]]
             if late.any():
@@ -183,7 +192,7 @@ def edges(docs: DataFrame, k: int, buckets: int, groups: int, width: int, seed:
                 new[1:] = r[1:] != r[:-1]
                 one = np.flatnonzero(new)
                 n = np.diff(np.append(one, len(r)))
-                yield _rows([(b, 0, put(deltas(ids[r[one]], n * 0), s.tags[r[one]].astype("<u4"), n.astype("<u4"), deltas(pos[at], r).astype("<u4")) + pack(h[at], min(width, 8)) + (b"" if extra is None else pack(extra[at], width - 8)) + np.array([len(at)], "<u8").tobytes())])
+                yield _rows([(b, 0, put(deltas(ids[r[one]], n * 0), s.tags[r[one]].astype("<u2"), n.astype("<u4"), deltas(pos[at], r).astype("<u4")) + pack(h[at], min(width, 8)) + (b"" if extra is None else pack(extra[at], width - 8)) + np.array([len(at)], "<u8").tobytes())])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key int, kind int, blob binary")
 
@@ -196,17 +205,20 @@ def resolve(found: DataFrame, groups: int, width: int) -> DataFrame:
         for blob in blobs:
             n = int(np.frombuffer(blob[-8:], "<u8")[0])
             cut = len(blob) - 8 - n * width
-            a, b, c, d = get(blob[:cut], "<i8", "<u4", "<u4", "<u4")
+            a, b, c, d = get(blob[:cut], "<i8", "<u2", "<u4", "<u4")
             own = np.repeat(np.arange(len(c)), c)
             ids.append(np.cumsum(a)), tags.append(b.astype(np.int64)), counts.append(c)
             pos.append(undeltas(d, own)), fps.append(unpack(blob[cut : cut + n * min(width, 8)], min(width, 8)))
             if width > 8:
                 more.append(unpack(blob[cut + n * 8 : -8], width - 8))
         ids, tags, counts, pos, h = map(np.concatenate, (ids, tags, counts, pos, fps))
-        rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((tags, ids))] = np.arange(len(ids))
-        row = np.repeat(np.arange(len(ids)), counts)
-        order, lead = leaders(h, np.concatenate(more) if more else None, rank[row], pos)
+        by = np.lexsort((tags, ids))  # rows, and so edges, in the order of sources
+        begin = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)[by]
+        ids, tags, counts = ids[by], tags[by], counts[by].astype(np.int64)
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        at = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(len(row))
+        pos, h = pos[at], h[at]
+        order, lead = leaders(h, np.concatenate(more)[at] if more else None)
         rs = row[order]
         late = ids[rs] > ids[rs[lead]]
         if late.any():
@@ -228,6 +240,7 @@ def resolve(found: DataFrame, groups: int, width: int) -> DataFrame:
                 held.append(blob)
         if held and (rows := list(bucket(held))):
             yield _rows(rows)
+        tidy()
 
     return found.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "key int, kind int, blob binary")
 
@@ -236,12 +249,11 @@ def notes(flags: DataFrame, groups: int) -> DataFrame:
     """Kind 0, by the source's group: the documents that are somebody's source."""
 
     def run(batches):
+        src = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                _, _, _, src, _, _ = _unflags(blob)
-                src = np.unique(src)
-                for g, at in _split(group_of(src, groups)):
-                    yield _rows([(g, 0, put(src[at]))])
+            src = np.unique(np.concatenate([src, *(_unflags(blob)[3] for blob in batch.column("blob").to_pylist())]))
+        for g, at in _split(group_of(src, groups)):
+            yield _rows([(g, 0, put(src[at]))])
 
     return flags.mapInArrow(run, "key int, kind int, blob binary")
 
@@ -340,8 +352,10 @@ def removal(rows: DataFrame, k: int, groups: int, seed: int, digest: bool) -> Da
                     if size > SLICE // 4:
                         yield texts(items, flags, sources)
                         items, size = [], 0
+                        tidy()
         if items:
             yield texts(items, flags, sources)
+        tidy()
 
     return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, OUT)
 
@@ -402,9 +416,9 @@ def fingerprint_bytes(words: int, buckets: int) -> int:
 def deduplicate(docs: DataFrame, k: int = K, digest: bool = False, seed: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the kept words joined by one space, or their SHA-256 with ``digest``."""
     spark = docs.sparkSession
-    groups = partitions(spark)
-    buckets = 2 * groups
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(8, min(partitions(spark), size // GROUP))
+    buckets = 2 * groups
     width = fingerprint_bytes(size // 6, buckets)
     while True:
         flags = resolve(edges(docs, k, buckets, groups, width, seed), groups, width)
