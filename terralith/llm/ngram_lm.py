@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 
 from .common import documents, partitions, saved, shared_folder
 from .substring_dedup import _rows, _split, bucket_of, get, put
-from .text import LOWER, U64, flat, mix, pack, slices, unpack, word_bounds, word_hashes
+from .text import LOWER, U64, flat, mix, pack, slices, tidy, unpack, word_bounds, word_hashes
 from .toxicity import remainder
 
 ORDER = 6
 MOST = 8_000_000
-SLICE = 12 << 20
+SLICE = 8 << 20
+#: Bytes of text whose n-grams are in memory at once: about 60 bytes each.
+PIECE = 3 << 20
 HELD_OUT, REMAINDER = 7, 2
 END = 10  # a byte that no word holds
 _END_WORD = mix(np.array([0xE0D], U64))[0]
@@ -90,7 +92,7 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
     buckets = partitions(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", PIECE):
             data, offs = flat(batch.column("text"))
             starts, ends, first = word_bounds(data, offs)
             text, at = stream(data, starts, ends, first, order)
@@ -115,6 +117,7 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
                 held.append(blob)
         if held:
             yield total(held)
+        tidy()
 
     schema = "key int, kind int, blob binary"
     training = docs.where(remainder(F.col("doc_id"), HELD_OUT) != REMAINDER).select("text")
@@ -286,6 +289,14 @@ def train(docs: DataFrame, order: int = ORDER, most: int = MOST) -> list[tuple[T
     return estimate(keys[at], counts[at], order)
 
 
+def score_texts(model: list[tuple[Table, Table]], data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
+    """log10 of the probability of each text."""
+    text, at = stream(data, *word_bounds(data, offs), order)
+    g, own = own_grams(text, at, order)
+    logs = np.concatenate([log_probabilities(model, g[i : i + (1 << 18)]) for i in range(0, len(g), 1 << 18)])
+    return np.add.reduceat(logs, own[:-1])  # every text has its end mark
+
+
 def scored_slices(docs: DataFrame, name: str, order: int) -> DataFrame:
     """Kind 0, by slice: rows with their scores and word numbers; kind 1, by bucket: a slice's distinct words."""
     buckets = partitions(docs.sparkSession)
@@ -295,10 +306,7 @@ def scored_slices(docs: DataFrame, name: str, order: int) -> DataFrame:
         for batch in slices(batches, "text", SLICE):
             data, offs = flat(batch.column("text"))
             starts, ends, first = word_bounds(data, offs)
-            text, at = stream(data, starts, ends, first, order)
-            g, own = own_grams(text, at, order)
-            logs = np.concatenate([log_probabilities(model, g[i : i + (1 << 20)]) for i in range(0, len(g), 1 << 20)])
-            score = np.add.reduceat(logs, own[:-1])  # every text has its end mark
+            score = np.concatenate([score_texts(model, *flat(p.column("text")), order) for p in slices([batch], "text", PIECE)])
             held = np.asarray(batch.column("held_out"))
             # Each text's words and its end mark.
             n = np.diff(first) + 1
@@ -354,6 +362,7 @@ def word_counts(words: DataFrame) -> DataFrame:
                 who.append(other)
         if held:
             yield bucket(key, held, who)
+        tidy()
 
     return words.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, kind int, blob binary, other long")
 
@@ -387,6 +396,7 @@ def baseline(rows: DataFrame, tokens: int, types: int) -> DataFrame:
                     back.append((other, blob))
         if mine:
             yield from finish(mine, back)
+        tidy()
 
     return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -8,14 +8,20 @@ size, never by the length of a document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 #: Bytes of text handled at once by ``slices``.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 _SPAN = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -62,6 +68,13 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def tidy() -> None:
+    """Gives freed memory back to the machine: workers live on between tasks, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` holds about ``limit`` bytes in each."""
     for batch in batches:
@@ -73,6 +86,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(offs, offs[start] + limit, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+            tidy()
 
 
 def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
