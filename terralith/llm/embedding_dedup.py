@@ -128,7 +128,8 @@ def near(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE,
     rows = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").alias("vec"), (usable(F.col("embedding"), F.col("label")) & F.col("vec_id").isNotNull()).alias("ok"))
     groups = rows.where("ok").groupBy("label", "vec").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = saved(groups.withColumn("dim", F.size("vec")))
-    cells = _cells(reps, _pivots(reps, pivots))
+    # Cells of several tiles each: smaller ones would only multiply the pairs of tiles.
+    cells = _cells(reps, _pivots(reps, min(pivots, max(1, reps.count() // (8 * tile)))))
     sizes = cells.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("n"))
     placed = cells.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / tile)))
     placed = placed.withColumn("tile", F.xxhash64("label", "dim", "cell", "part")).drop("cell", "n", "part")
