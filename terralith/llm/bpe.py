@@ -36,8 +36,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Mean bytes of a chunk (a power of two), bytes the hash looks back over, and bounds of what a worker keeps.
 CHUNK_BYTES = 512
 WINDOW = 16
-KEEP_CHUNK_BYTES = 32 << 20
-KEEP_WORDS = 400_000
+KEEP_CHUNK_BYTES = 16 << 20
+KEEP_WORDS = 500_000
 _SPACES = b" \t\n\x0b\f\r"
 _FIRST = re.compile(rb"[ \t-\r]")
 
@@ -80,90 +80,94 @@ class Codec:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.mean = mean
-        self.words: dict[bytes, tuple[bytes, bytes]] = {b"": (b"", b"")}
+        self.words: dict[bytes, bytes] = {b"": b""}
         self.chunks: dict[bytes, tuple] = {}
         self.kept = 0
-        self.names: dict[int, bytes] = {}
+        # What each id decodes to, with the blank that the library puts between tokens.
+        names = [(self.tok.id_to_token(i) or "").encode() + b" " for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.length = np.array([len(n) for n in names], np.int32)
+        self.start = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.names = np.frombuffer(b"".join(names), np.uint8)
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes the words that are not known yet, in one call."""
         new = [w for w in words if w not in self.words]
         for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.words[w] = array("I", ids).tobytes(), self.render(ids)
+            self.words[w] = array("I", e.ids).tobytes()
 
-    def pieces(self, words: list[bytes]) -> tuple[bytes, bytes]:
-        """ids and decoded text (each token followed by a blank) of words that stand between white space."""
+    def ids(self, words: list[bytes]) -> bytes:
+        """ids of words that stand between white space."""
         known = self.words
         try:
-            found = [known[w] for w in words]
+            return b"".join([known[w] for w in words])
         except KeyError:
             self.learn(set(words))
-            found = [known[w] for w in words]
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            return b"".join([known[w] for w in words])
 
     def prepare(self, texts: list[bytes]) -> None:
-        """Makes room, then learns all words of the chunks to come; what the last call needed stays."""
+        """Makes room, then learns all words of the chunks to come; what they need stays."""
         seen: set[bytes] = set()
         for t in texts:
             words = t.split()
             seen.update(words[t[0] not in _SPACES : len(words) - (t[-1] not in _SPACES)])  # fragments aside
         if len(self.words) > KEEP_WORDS:
-            self.words = {w: v for w in seen if (v := self.words.get(w))} | {b"": (b"", b"")}
+            self.words = {w: v for w in seen if (v := self.words.get(w)) is not None} | {b"": b""}
         self.learn(seen)
         if self.kept > KEEP_CHUNK_BYTES:
             self.chunks, self.kept = {}, 0
 
-    def render(self, ids) -> bytes:
-        names = self.names
-        try:
-            return b"".join([names[i] for i in ids])
-        except KeyError:
-            for i in ids:
-                names[i] = self.tok.decode([i], skip_special_tokens=False).encode() + b" "
-            return self.render(ids)
-
     def chunk(self, raw: bytes) -> tuple:
-        """(first fragment, ids, decoded, last fragment), or (raw,) if it has no white space."""
+        """(first fragment, ids, last fragment), or (raw,) if it has no white space."""
         got = self.chunks.get(raw)
         if got is None:
             first = _FIRST.search(raw)
             if first is None:
                 got = (raw,)
             else:
-                head, rest = raw[: first.start()], raw[first.start() :]
-                body = rest.rstrip(_SPACES) if rest[-1:] in (b" ", b"\t", b"\n", b"\x0b", b"\f", b"\r") else None
-                if body is None:
-                    words = rest.split()
-                    tail = words.pop()
-                else:
-                    words, tail = rest.split(), b""
-                got = (head, *self.pieces(words), tail)
+                words = raw[first.start() :].split()
+                tail = b"" if raw[-1] in _SPACES else words.pop()
+                got = (raw[: first.start()], self.ids(words), tail)
             self.chunks[raw] = got
-            self.kept += len(raw) + len(got[1] if len(got) > 1 else b"") * 3
+            self.kept += len(raw) + 4 * len(raw)
         return got
 
-    def encode(self, chunks: list[bytes]) -> tuple[bytes, bytes]:
-        """ids as little-endian 32-bit integers and the decoded text of the chunks of one text."""
-        ids, shown, open_ = [], [], b""
+    def encode(self, chunks: list[bytes]) -> bytes:
+        """ids, as little-endian 32-bit integers, of the chunks of one text."""
+        ids, open_ = [], b""
         for raw in chunks:
             got = self.chunk(raw) if raw else (raw,)
             if len(got) == 1:  # no white space yet: the join widens
                 open_ += got[0]
                 continue
-            head, body, out, tail = got
+            head, body, tail = got
             if open_ or head:
-                a, b = self.pieces([open_ + head])
-                ids.append(a)
-                shown.append(b)
+                ids.append(self.ids([open_ + head]))
             ids.append(body)
-            shown.append(out)
             open_ = tail
         if open_:
-            a, b = self.pieces([open_])
-            ids.append(a)
-            shown.append(b)
-        return b"".join(ids), b"".join(shown)[:-1]
+            ids.append(self.ids([open_]))
+        return b"".join(ids)
+
+    def decode(self, texts: list[bytes]) -> list[bytes]:
+        """The decoded texts of several lists of ids, by one gather for some of them at a time."""
+        out, at = [], 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size < 1 << 19):
+                size += len(texts[stop])
+                stop += 1
+            ids = np.frombuffer(b"".join(texts[at:stop]), "<u4")
+            length = self.length[ids]
+            ends = np.cumsum(length, dtype=np.int64)
+            shown = self.names[np.repeat(self.start[ids] - (ends - length), length) + np.arange(ends[-1] if len(ids) else 0)].tobytes()
+            n = np.cumsum([len(t) // 4 for t in texts[at:stop]])
+            first = 0
+            for k in n.tolist():
+                last = int(ends[k - 1]) if k else 0
+                out.append(shown[first : max(first, last - 1)])
+                first = last
+            at = stop
+        return out
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -188,7 +192,8 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, mean: int) -> It
             ends = [int(offs[i]), *at[first[i] : last[i]].tolist(), int(offs[i + 1])]
             texts.append([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])
         own.prepare(list({c for t in texts for c in t if c and c not in own.chunks}))
-        yield batch, [own.encode(t) for t in texts]
+        ids = [own.encode(t) for t in texts]
+        yield batch, list(zip(ids, own.decode(ids), strict=True))
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

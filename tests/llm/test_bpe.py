@@ -45,7 +45,8 @@ def test_memory_bounds_do_not_change_results(monkeypatch):
         at = [0, *bpe.cuts(np.frombuffer(raw, np.uint8), 16).tolist(), len(raw)]
         chunks = [raw[a:b] for a, b in zip(at, at[1:])]
         own.prepare([c for c in chunks if c])
-        ids, shown = own.encode(chunks)
+        ids = own.encode(chunks)
+        assert own.decode([b"", ids, ids]) == [b"", *[tok.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False).encode()] * 2]
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids
 
 
