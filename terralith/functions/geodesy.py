@@ -70,3 +70,26 @@ def from_utm(east: Column, north: Column, zone: Column, south: Column | None = N
     for j, k in enumerate(DELTA, 1):
         phi = phi + k * F.sin(2 * j * chi)
     return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.degrees(phi)
+
+
+def bounds_wgs84(spark, left: float, bottom: float, right: float, top: float, zone: int, margin: float = 0.0) -> tuple[float, float, float, float]:
+    """Longitudes and latitudes that hold a box of UTM metres, from points along its border."""
+    from ..operators.vector import densify
+
+    box = densify((float(left - margin), float(bottom - margin)), (float(right + margin), float(top + margin)))
+    points = spark.createDataFrame(box, "x double, y double")
+    lon, lat = from_utm(F.col("x"), F.col("y"), F.lit(zone))
+    r = points.select(lon.alias("lon"), lat.alias("lat")).agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+    return tuple(r)
+
+
+def resolve_zone(rings: list[list[tuple[float, float]]]) -> int:
+    """The UTM zone of a polygon's centroid, taken in an equal-area projection (x = lon, y = sin lat)."""
+    a = cx = 0.0
+    for ring in rings:
+        flat = [(math.radians(x), math.sin(math.radians(y))) for x, y in ring]
+        for (x1, y1), (x2, y2) in zip(flat, flat[1:] + flat[:1], strict=True):
+            c = x1 * y2 - x2 * y1
+            a += c
+            cx += (x1 + x2) * c
+    return min(int((math.degrees(cx / (3 * a)) + 180) // 6) + 1, 60)

@@ -65,3 +65,22 @@ def deal_folds(blocks: DataFrame, n_folds: int, seed: int = 42, block: str = "bl
 
     keyed = blocks.select(block).distinct().withColumn("_hash", F.md5(F.concat_ws(":", F.lit(seed), F.col(block))))
     return row_numbers(keyed, [F.col("_hash"), F.col(block)], out="_n").select(block, ((F.col("_n") - 1) % n_folds).cast("int").alias("fold"))
+
+
+def reference_grid(left: float, bottom: float, right: float, top: float, cell: float, buffer: float = 0.0) -> tuple[float, float, int, int]:
+    """left, top, rows and columns of the lattice over buffered bounds, grown to whole multiples of the cell."""
+    a, c = snap(left - buffer, right + buffer, cell)
+    b, d = snap(bottom - buffer, top + buffer, cell)
+    return a, d, round((d - b) / cell), round((c - a) / cell)
+
+
+def check_cap(cap: float, buffer: float) -> float:
+    """Distances are exact up to the cap only if the lattice reaches that far beyond the area of interest."""
+    if cap > buffer:
+        raise ValueError(f"distance cap {cap} is over the buffer {buffer}")
+    return cap
+
+
+def seeded_sample(df: DataFrame, n: int, key: str = "cell_id", seed: int = 42) -> DataFrame:
+    """n rows in the order of a seeded hash: the same rows at any partitioning."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(n)

@@ -173,3 +173,26 @@ def area_square_km(rings: DataFrame, by: str, ring: str = "ring") -> DataFrame:
 def disk_area(radius_cells: int, cell: float) -> float:
     """Square kilometres of the cells of a whole disk."""
     return sum(2 * math.isqrt(radius_cells**2 - dy**2) + 1 for dy in range(-radius_cells, radius_cells + 1)) * (cell / 1000) ** 2
+
+
+def clip_polygons(rings: DataFrame, left: float, bottom: float, right: float, top: float, key: str = "id", ring: str = "ring") -> DataFrame:
+    """key, area of each ring inside a box; rings whose bounds miss it never reach Python."""
+    import pyarrow as pa
+
+    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
+    near = rings.where((F.array_max(xs) >= left) & (F.array_min(xs) <= right) & (F.array_max(ys) >= bottom) & (F.array_min(ys) <= top))
+
+    def run(batches):
+        for batch in batches:
+            areas = []
+            for r in batch.column(1).to_pylist():
+                cut = clip_ring([(p["x"], p["y"]) for p in r], left, bottom, right, top)
+                areas.append(abs(sum(a * d - c * b for (a, b), (c, d) in zip(cut, cut[1:] + cut[:1], strict=True))) / 2 if len(cut) > 2 else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(areas, pa.float64())], [key, "area"])
+
+    return near.select(key, ring).mapInArrow(run, f"{key} {rings.schema[key].dataType.simpleString()}, area double").where("area > 0")
+
+
+def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """The n most frequent values, ties by value."""
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), column).limit(n)

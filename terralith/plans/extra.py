@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import contracts
-from ..operators import labels, lattice, learn, similarity
+from ..functions import geodesy
+from ..operators import labels, lattice, learn, similarity, vector
 from ..sources import files, sinks, synthetic, views
 from ..sources.views import COLS, sql
 from .geo import FRACS, fractions
@@ -208,4 +209,59 @@ def tiff_image(spark, sf):
     return spark.createDataFrame([(int(a.shape[0]), int(a.shape[1]), int((a >= 0).sum()))], "n_rows int, n_cols int, n_valid int")
 
 
+@query("SELECT p_type, count(*) AS n FROM part WHERE p_size > 10 GROUP BY p_type ORDER BY n DESC, p_type LIMIT 10")
+def top_dropped_tags(spark, sf):
+    return vector.top_values(views.read(spark, sf, "part").where("p_size > 10"), "p_type")
+
+
+@query(sql("cell", "SELECT cell_id, elev FROM cell ORDER BY md5('42:' || cell_id), cell_id LIMIT 100"))
+def seeded_sample(spark, sf):
+    return lattice.seeded_sample(views.cell(spark, sf), 100).select("cell_id", "elev")
+
+
+@query("SELECT p_partkey AS id, w * h AS area FROM (SELECT p_partkey, greatest(0, least(x + s, 3000) - greatest(x, 1000)) AS w, greatest(0, least(y + s, 2500) - greatest(y, 500)) AS h FROM (SELECT p_partkey, (p_partkey * 37) % 5000 / 1.0::DOUBLE AS x, (p_partkey * 53) % 4000 / 1.0::DOUBLE AS y, p_size * 10.0::DOUBLE AS s FROM part)) WHERE w * h > 0")
+def clip_polygons(spark, sf):
+    """Squares cut to a box; the area of what is left."""
+    p = views.read(spark, sf, "part").selectExpr("p_partkey as id", "cast((p_partkey * 37) % 5000 as double) as x", "cast((p_partkey * 53) % 4000 as double) as y", "p_size * 10.0D as s")
+    ring = F.array(*[F.struct((F.col("x") + a * F.col("s")).alias("x"), (F.col("y") + b * F.col("s")).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    return vector.clip_polygons(p.select("id", ring.alias("ring")), 1000.0, 500.0, 3000.0, 2500.0)
+
+
+@query(sql("frac", "SELECT yr, round(sum(frac_built) / 100, 6) AS built, round(sum(frac_tree) / 100, 6) AS tree, round(sum(frac_crop) / 100, 6) AS crop FROM frac GROUP BY yr"))
+def class_areas(spark, sf):
+    """Square kilometres of classes by year, for cells of 100 m."""
+    f = fractions(spark, sf)
+    return f.groupBy("yr").agg(*[F.round(F.sum(f"frac_{k}") / 100, 6).alias(k) for k in ("built", "tree", "crop")])
+
+
+@query(sql("cell frac", "SELECT cluster, round((avg(frac_built) - (SELECT avg(frac_built) FROM clustered)) / (SELECT stddev_samp(frac_built) FROM clustered), 6) AS built, round((avg(elev) - (SELECT avg(elev) FROM clustered)) / (SELECT stddev_samp(elev) FROM clustered), 6) AS elev FROM clustered GROUP BY cluster", clustered=_CLUSTERED))
+def cluster_profiles(spark, sf):
+    """Cluster means in sample standard deviations."""
+    c = clustered(spark, sf)
+    stats = c.agg(*[F.struct(F.avg(v).alias("m"), F.stddev_samp(v).alias("s")).alias(f"_{v}") for v in ("frac_built", "elev")])
+    means = c.groupBy("cluster").agg(F.avg("frac_built").alias("frac_built"), F.avg("elev").alias("elev")).crossJoin(F.broadcast(stats))
+    return means.select("cluster", *[F.round((F.col(v) - F.col(f"_{v}.m")) / F.col(f"_{v}.s"), 6).alias(o) for v, o in (("frac_built", "built"), ("elev", "elev"))])
+
+
+@query()
+def k_scan(spark, sf):
+    rows = learn.k_scan(clustered(spark, sf), ["frac_built", "frac_crop"], (3, 4), starts=1, sample=300)
+    return spark.createDataFrame([(r["k"], r["method"], float(r["cost"]), float(r["silhouette"]), float(r["davies_bouldin"])) for r in rows], "k int, method string, cost double, silhouette double, davies_bouldin double")
+
+
+@query("SELECT 4 AS n_rows, 6 AS n_cols, 200.0::DOUBLE AS left_, 600.0::DOUBLE AS top_")
+def reference_grid(spark, sf):
+    left, top, rows, cols = lattice.reference_grid(310, 290, 690, 510, 100.0, 50.0)
+    return spark.createDataFrame([(rows, cols, left, top)], "n_rows int, n_cols int, left_ double, top_ double")
+
+
+@query("SELECT 43 AS zone, TRUE AS inside")
+def grid_bounds_wgs84(spark, sf):
+    """Bounds in degrees of a box in zone 43 hold the box's own corner."""
+    a, b, c, d = geodesy.bounds_wgs84(spark, 700_000, 2_000_000, 720_000, 2_020_000, 43, 200)
+    lon, lat = geodesy.from_utm(F.lit(700_000.0), F.lit(2_000_000.0), F.lit(43))
+    zone = geodesy.resolve_zone([[(a, b), (c, b), (c, d), (a, d)]])
+    return spark.range(1).select(F.lit(zone).alias("zone"), (lon.between(a, c) & lat.between(b, d)).alias("inside"))
+
+
 assert COLS == 50 and knn
