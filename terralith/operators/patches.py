@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import row_numbers
 from .components import connected_components
 from .raster import dilate
 
@@ -50,8 +51,8 @@ def growth_types(pixels: DataFrame, n_cols: int, touch: int, big_cells: float, k
     """
     new = pixels.where("new")
     found = patches(new, n_cols, eight=True)
-    labels = found.select("patch").distinct().withColumn("label", F.dense_rank().over(Window.orderBy("patch")))
-    marked = pixels.withColumn("cell_id", F.col("row") * n_cols + F.col("col")).join(found, "cell_id", "left").join(F.broadcast(labels), "patch", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    labels = row_numbers(found.select("patch").distinct(), [F.col("patch")], out="label")
+    marked = pixels.withColumn("cell_id", F.col("row") * n_cols + F.col("col")).join(found, "cell_id", "left").join(labels, "patch", "left").withColumn("label", F.coalesce("label", F.lit(0)))
     spread = dilate(marked, "label", touch)
     ring = spread.where("dilated > 0 and label = 0").groupBy(F.col("dilated").alias("label")).agg(F.count(F.lit(1)).alias("ring_n"), F.count_if("old").alias("ring_old"))
     sizes = marked.where("label > 0").groupBy("label").agg(F.count(F.lit(1)).alias("size"))
