@@ -112,7 +112,7 @@ def gains(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     buffer, own = np.empty(at[-1], np.uint8), np.ones(at[-1], bool)
     carrier = at[:-1, None] + np.arange(c)
     buffer[carrier], own[carrier] = _CARRIER, False
-    buffer[own] = LOWER[data][np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    buffer[own] = LOWER[data[np.repeat((starts - np.cumsum(n) + n).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)]]
     joined = z.BufferWithSegments(buffer.tobytes(), np.column_stack([at[:-1], n + c]).astype(np.uint64).tobytes())
     ordinary, toxic = ([len(x) for x in coder.multi_compress_to_buffer(joined)] for coder in coders(model))
     return np.array(ordinary, np.int64) - np.array(toxic, np.int64)
