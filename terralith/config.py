@@ -12,6 +12,17 @@ HARMONISED = {10: TREE, 20: RANGE, 30: RANGE, 40: CROP, 50: BUILT, 60: BARE, 70:
 # Saaty's random index by matrix size.
 RANDOM_INDEX = {3: 0.58, 4: 0.90, 5: 1.12, 6: 1.24, 7: 1.32, 8: 1.41, 9: 1.45, 10: 1.49}
 
+# Ease of building by own land cover, and the comparison of criteria (row against column).
+COVER_VALUES = {"range": 1.0, "bare": 1.0, "crop": 0.6, "tree": 0.2, "built": 0.0, "water": 0.0, "flooded": 0.0, "snow": 0.0}
+MCDA_CRITERIA = ("slope", "road", "built", "water", "cover")
+MCDA_MATRIX = (
+    (1, "1/2", "1/2", 2, 1),
+    (2, 1, 1, 3, 2),
+    (2, 1, 1, 3, 2),
+    ("1/2", "1/3", "1/3", 1, "1/2"),
+    (1, "1/2", "1/2", 2, 1),
+)
+
 
 class ConfigError(ValueError):
     """A parameter that can't be used."""

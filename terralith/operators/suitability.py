@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import RANDOM_INDEX
+from ..config import COVER_VALUES, MCDA_CRITERIA, MCDA_MATRIX, RANDOM_INDEX
 from ..functions import ranks
 from ..functions.vectors import clip
 
@@ -39,7 +39,7 @@ def linear_down(x: Column, limit: float) -> Column:
 
 def mcda_criteria(cells: DataFrame, slope: float = 15.0, road: float = 3000.0, built: float = 2000.0, water: float = 100.0, cover: dict[str, float] | None = None) -> DataFrame:
     """Adds criteria from 0 to 1 from slope_mean, distances coded as log1p metres, and cover shares."""
-    cover = cover or {"frac_range": 1.0, "frac_bare": 1.0, "frac_crop": 0.5, "frac_tree": 0.2}
+    cover = cover or {f"frac_{k}": v for k, v in COVER_VALUES.items() if v}
     metres = lambda c: F.expm1(c)
     w = metres("log_dist_water")
     return cells.withColumns(
@@ -53,6 +53,12 @@ def mcda_criteria(cells: DataFrame, slope: float = 15.0, road: float = 3000.0, b
     )
 
 
+def default_weights(cover: bool = True) -> dict[str, float]:
+    """Weights of the criteria's columns by the default matrix; without land cover, of the matrix without it."""
+    n = len(MCDA_CRITERIA) - (not cover)
+    return dict(zip((f"c_{k}" for k in MCDA_CRITERIA[:n]), ahp_weights(parse_matrix([r[:n] for r in MCDA_MATRIX[:n]]))[0].tolist(), strict=True))
+
+
 def weighted(criteria: dict[str, float]) -> Column:
     total = F.lit(0.0)
     for c, w in criteria.items():

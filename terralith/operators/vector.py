@@ -7,15 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Road tags of the two classes that count, and tags kept apart.
-MAJOR = ["motorway", "trunk", "primary", "secondary", "motorway_link", "trunk_link", "primary_link", "secondary_link"]
-MINOR = ["tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service", "road"]
+# Road tags of the two classes that count.
+MAJOR = ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link"]
+MINOR = ["tertiary", "tertiary_link", "residential", "unclassified", "service", "living_street", "road", "busway"]
 # Building tags by group.
 TYPE_GROUPS = {
-    "residential": ["apartments", "house", "residential", "detached", "terrace", "bungalow", "dormitory", "hut", "semidetached_house"],
-    "commercial": ["commercial", "retail", "office", "hotel", "supermarket", "kiosk"],
-    "industrial": ["industrial", "warehouse", "factory", "manufacture"],
-    "institutional": ["school", "hospital", "college", "university", "temple", "church", "mosque", "government", "public", "civic", "train_station"],
+    "residential": ["apartments", "house", "residential", "detached", "semidetached_house", "terrace", "bungalow", "dormitory", "villa", "hut"],
+    "commercial": ["commercial", "retail", "office", "hotel", "supermarket", "kiosk", "shop"],
+    "industrial": ["industrial", "warehouse", "manufacture", "factory", "storage_tank"],
+    "institutional": ["school", "college", "university", "hospital", "public", "government", "civic", "temple", "church", "mosque", "religious", "train_station", "transportation"],
 }
 
 

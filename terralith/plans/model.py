@@ -314,7 +314,7 @@ def criteria(spark, sf):
 
 
 _CRITERIA = (
-    "SELECT cell_id, greatest(0, least(1, 1 - (size % 30) / 15)) AS c_slope, greatest(0, least(1, 1 - (exp(ln(1 + c * 90.0::DOUBLE)) - 1) / 3000)) AS c_road, greatest(0, least(1, 1 - (exp(ln(1 + r * 70.0::DOUBLE)) - 1) / 2000)) AS c_built, greatest(0, least(1, (exp(ln(1 + (size % 7) * 40.0::DOUBLE)) - 1 - 100) / 100)) AS c_water, greatest(0, least(1, frac_range + frac_bare + 0.5::DOUBLE * frac_crop + 0.2::DOUBLE * frac_tree)) AS c_cover FROM clustered"
+    "SELECT cell_id, greatest(0, least(1, 1 - (size % 30) / 15)) AS c_slope, greatest(0, least(1, 1 - (exp(ln(1 + c * 90.0::DOUBLE)) - 1) / 3000)) AS c_road, greatest(0, least(1, 1 - (exp(ln(1 + r * 70.0::DOUBLE)) - 1) / 2000)) AS c_built, greatest(0, least(1, (exp(ln(1 + (size % 7) * 40.0::DOUBLE)) - 1 - 100) / 100)) AS c_water, greatest(0, least(1, frac_range + frac_bare + 0.6::DOUBLE * frac_crop + 0.2::DOUBLE * frac_tree)) AS c_cover FROM clustered"
 )
 _CS = ["c_slope", "c_road", "c_built", "c_water", "c_cover"]
 _W3 = dict(zip(("c_slope", "c_road", "c_cover"), WEIGHTS.tolist(), strict=True))
@@ -337,6 +337,14 @@ def ahp_weights_power_iter(spark, sf):
     return spark.createDataFrame([(k, round(float(w), 6)) for k, w in _W3.items()], "criterion string, weight double")
 
 
+_W5, _W4 = suitability.default_weights(), suitability.default_weights(cover=False)
+
+
+@query(sql("cell frac", f"SELECT cell_id, round({' + '.join(f'{c} * {w!r}::DOUBLE' for c, w in _W5.items())}, 6) AS mcda, round({' + '.join(f'{c} * {w!r}::DOUBLE' for c, w in _W4.items())}, 6) AS mcda_no_cover FROM crit", clustered=_CLUSTERED, crit=_CRITERIA))
+def mcda_variants(spark, sf):
+    return criteria(spark, sf).select("cell_id", F.round(suitability.weighted(_W5), 6).alias("mcda"), F.round(suitability.weighted(_W4), 6).alias("mcda_no_cover"))
+
+
 # Two scores and a label on the lattice, for the metrics.
 _SCORED = "SELECT cell_id, r, c, elev, size, (size * 13 + cell_id * 7) % 101 AS a, (elev * 3 + cell_id * 11) % 97 AS b, (size * 13 + cell_id * 7) % 101 + cell_id % 41 > 75 AS y, CASE WHEN cell_id % 3 = 0 THEN 'adjacent' ELSE 'outlying' END AS kind FROM cell"
 

@@ -95,9 +95,8 @@ def score(c: Context) -> dict[str, DataFrame]:
     profile = profile.join(usable.withColumn("usable", F.lit(True)), "cell_id", "left").fillna(False, ["usable"])
     z = similarity.standardise(profile, F.col("is_ref") | F.col("usable"))
     knn = ranks.rescale(similarity.knn_distance(z.where("usable"), z.where("is_ref"), c.config.knn_k), "distance").select(F.lit("knn").alias("model"), "cell_id", "score")
-    weights, _, _ = suitability.ahp_weights(suitability.parse_matrix([[1, 2, 3], ["1/2", 1, 2], ["1/3", "1/2", 1]]))
-    criteria = suitability.mcda_criteria(t.withColumnsRenamed({k: f"frac_{k}" for k in ("range", "bare", "crop", "tree")}), c.config.mcda_slope, c.config.mcda_road, c.config.mcda_built, c.config.mcda_water)
-    mcda = criteria.join(usable, "cell_id", "left_semi").select(F.lit("mcda").alias("model"), "cell_id", suitability.weighted(dict(zip(("c_road", "c_built", "c_slope"), weights, strict=True))).alias("score"))
+    criteria = suitability.mcda_criteria(t.withColumnsRenamed({k: f"frac_{k}" for k in ("range", "bare", "crop", "tree", "built", "water")}), c.config.mcda_slope, c.config.mcda_road, c.config.mcda_built, c.config.mcda_water)
+    mcda = criteria.join(usable, "cell_id", "left_semi").select(F.lit("mcda").alias("model"), "cell_id", suitability.weighted(suitability.default_weights()).alias("score"))
     distance = t.join(usable, "cell_id", "left_semi").select(F.lit("distance").alias("model"), "cell_id", (-F.col("log_dist_built")).alias("score"))
     return {"scores": knn.unionByName(mcda).unionByName(distance)}
 

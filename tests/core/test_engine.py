@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralith import contracts
-from terralith.config import Config, ConfigError, Years
+from terralith.config import MCDA_MATRIX, Config, ConfigError, Years
 from terralith.functions import geodesy, ranks
 from terralith.operators import labels, lattice, patches, proximity, raster, similarity, suitability, vector
 from terralith.plans import pipeline
@@ -179,6 +179,9 @@ def test_ahp_of_the_textbook():
     assert np.allclose(w, [0.637, 0.258, 0.105], atol=1e-3) and math.isclose(top, 3.039, abs_tol=1e-3) and math.isclose(ratio, 0.033, abs_tol=1e-3)
     with pytest.raises(ValueError):
         suitability.ahp_weights(np.array([[1, 2], [2, 1.0]]))
+    # Published weights and ratio of the default matrix.
+    w, top, ratio = suitability.ahp_weights(suitability.parse_matrix(MCDA_MATRIX))
+    assert np.allclose(w, [0.158, 0.298, 0.298, 0.089, 0.158], atol=1e-3) and math.isclose(top, 5.013, abs_tol=1e-3) and math.isclose(ratio, 0.003, abs_tol=1e-3)
 
 
 def test_labels_of_a_planted_scene(spark):
