@@ -23,6 +23,7 @@ other columns are ignored (``scores``) or kept (``reject``).
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .text import LOWER, flat, mix, slices, word_bounds
+from .text import LOWER, flat, mix, slices, window_hashes, word_bounds, word_hashes
 
 SAMPLE = 3000
 SAMPLE_TEXT = 20_000
@@ -188,13 +189,39 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat(pa.array(texts, pa.large_binary()))
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], window: int = WINDOW) -> Model:
-    """Dictionaries from half of the sample, score calibrated on the other half."""
+def distinct(texts: list[bytes], words: int = 4) -> list[bytes]:
+    """One of each group of near copies: a text goes if any of three min-hashes of its word runs was there before.
+
+    Else the words of a text that is copied a thousand times would pass for marks of its class.
+    """
+    kept, seen = [], [set(), set(), set()]
+    for t in texts:
+        data, offs = _flat([t])
+        starts, ends, _ = word_bounds(data, offs)
+        if not len(starts):
+            continue
+        h = window_hashes(word_hashes(data, starts, ends, lower=True), min(words, len(starts)))
+        least = [int(mix(h ^ np.uint64(k + 1)).min()) for k in range(3)]
+        if not any(x in s for x, s in zip(least, seen, strict=True)):
+            kept.append(t)
+        for x, s in zip(least, seen, strict=True):
+            s.add(x)
+    return kept
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], window: int = WINDOW, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Dictionaries from half of the sample, score calibrated on the other half, and the reverse.
+
+    shares: the share of each class's labelled texts that the sample holds; the score is calibrated to
+    the classes as they are labelled, not as they are sampled.
+    """
     import zstandard as z
 
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model()
-    toxic, ordinary = ([LOWER[np.frombuffer(t, np.uint8)].tobytes() for t in side] for side in (toxic, ordinary))
+    toxic, ordinary = ([LOWER[np.frombuffer(t, np.uint8)].tobytes() for t in distinct(side)] for side in (toxic, ordinary))
+    if len(toxic) < 4 or len(ordinary) < 4:
+        return Model()
 
     def train(tox, ord_):
         try:
@@ -217,6 +244,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], window: int = WINDOW) -> Mode
     model = train(toxic, ordinary)
     model.centre, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     model.weights = logistic((x - model.centre) / model.scale, y)
+    model.weights[0] += math.log(shares[1] / shares[0])
     return model
 
 
@@ -228,19 +256,22 @@ def score(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -700, 700)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, longest: int = SAMPLE_TEXT) -> tuple[list[bytes], list[bytes]]:
-    """At most ``size`` training texts of each class, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, longest: int = SAMPLE_TEXT) -> tuple[list[bytes], list[bytes], tuple[float, float]]:
+    """At most ``size`` training texts of each class, chosen by a hash of the id; and the shares of the classes that this is."""
     known = labels.where("doc_id is not null and toxic is not null").where(remainder(F.col("doc_id"), HELD_OUT) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    there = {int(r.toxic): r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = [known.where(F.col("toxic") == k).orderBy(*order).limit(size) for k in (1, 0)]
-    few = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic)) for d in ids for r in d.collect()], "_id long, _toxic int")  # 2 x size rows at most
+    ids = [d.collect() for d in (known.where(F.col("toxic") == k).orderBy(*order).limit(size) for k in (1, 0))]
+    few = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic)) for d in ids for r in d], "_id long, _toxic int")  # 2 x size rows at most
     rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
     got = sorted(((r._toxic, r.doc_id, r.text.encode()) for r in rows.select("_toxic", "doc_id", "text").toLocalIterator()), key=lambda r: r[:2])
-    return [t for k, _, t in got if k == 1], [t for k, _, t in got if k == 0]
+    shares = tuple(len(d) / max(1, there.get(k, 0)) or 1.0 for k, d in zip((1, 0), ids, strict=True))
+    return [t for k, _, t in got if k == 1], [t for k, _, t in got if k == 0], shares
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    return fit(*sample(docs, labels, **options))
+    toxic, ordinary, shares = sample(docs, labels, **options)
+    return fit(toxic, ordinary, shares=shares)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
