@@ -5,8 +5,10 @@
    pair that reaches the threshold differ in at most d shingles, so of d + 1 ranges
    of the hash space one holds the same shingles in both.  Documents that share
    the content of a range are tied to the first of them, and what is tied
-   together, over all ranges, becomes one tree.  A range holds several
-   shingles, so frequent ones tie nothing by themselves.
+   together, over all ranges, becomes one tree.  Frequent shingles (passages
+   that many documents share) are left out of both sides first, which keeps the
+   bound d, so that they do not tie strangers; a document of little else ties by
+   its empty ranges.
 3. A tree's nodes hold the OR of their documents' token bitmaps and the range of
    their sizes; a dual traversal skips pairs of nodes by their
    largest possible overlap, or when both lie within one component already, and
@@ -37,11 +39,17 @@ from terralith.operators.components import Forest, connected_components
 
 from .common import documents, partitions, saved
 from .substring_dedup import _rows, _split, bucket_of, deltas, get, put
-from .text import U64, flat, mix, pack, slices, unpack, window_hashes, word_bounds, word_hashes
-
-SLICE = 8 << 20
+from .text import U64, flat, mix, pack, slices, tidy, unpack, window_hashes, word_bounds, word_hashes
+
+SLICE = 3 << 20
+#: A shingle is frequent in this share of documents, and in FREQUENT_LEAST of them: at most 1 / FREQUENT times
+#: the mean number of shingles are.  Which are found changes the work only, not the result.
+FREQUENT = 3e-4
+FREQUENT_LEAST = 20
+#: Hashes that a task holds while it counts.
+COUNTED = 2_500_000
 #: Shingles (8 bytes each) of a block; a task holds two.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 KEY_BYTES = 7
 
 
@@ -77,25 +85,21 @@ def size_classes(percent: int, most: int) -> np.ndarray:
 def ranges_of(percent: int, low: int, high: int) -> tuple[int, int]:
     """Ranges to cut the hash space into for sets of low to high shingles, and most differences d of a linked pair.
 
-    More than d + 1 are cut where that makes it unlikely that only empty ranges agree.
+    More than d + 1 are cut for larger sets, so that only empty ranges agree in none but odd cases.
     """
     d = (100 - percent) * 2 * high // (100 + percent)
-    s = d + 1
-    for _ in range(20):
-        empty = s * math.exp(-low / s)
-        more = d + 1 + math.ceil(empty + 4 * math.sqrt(empty))
-        if more == s:
-            return s, d
-        s = more
-        if s > 2 * (d + 1):
-            break
-    return d + 1, d
+    spare = (d + 1) * (30 if percent < 85 else 10) // 100 if low >= 40 else 0
+    empty = (d + 1 + spare) * math.exp(-low / (d + 1 + spare))
+    return d + 1 + max(spare, math.ceil(empty + 4 * math.sqrt(empty)) if low >= 40 else 0), d
 
 
-def range_keys(h: np.ndarray, first: np.ndarray, percent: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key for the content of each range of each document, and the document it is from."""
+def range_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for the content of each range of each document, and the document it is from.
+
+    h: shingles without the frequent ones; size: of the whole sets.
+    """
     n = np.diff(first)
-    own = np.searchsorted(bounds, n, "right")  # class of size n: bounds[own - 1] <= n < bounds[own]
+    own = np.searchsorted(bounds, size, "right")  # class of a size: bounds[own - 1] <= size < bounds[own]
     keys, docs = [], []
     row = np.repeat(np.arange(len(n)), n)
     with np.errstate(over="ignore"):
@@ -113,14 +117,46 @@ def range_keys(h: np.ndarray, first: np.ndarray, percent: int, bounds: np.ndarra
             r = row[at]
             keys.append(mix(sums[end] - sums[at] + mix(seg[at] * U64(0x9E3779B97F4A7C15) + cls[r].astype(U64))))
             docs.append(r)
-            empty = s - np.bincount(r, minlength=len(n))
-            for i in np.flatnonzero((n > 0) & (empty >= s - d)):  # all ranges that agree might be empty ones
-                gone = np.setdiff1d(np.arange(s[i], dtype=np.int64), seg[at[r == i]].astype(np.int64)).astype(U64)
+            full = np.bincount(r, minlength=len(n))
+            begin = np.concatenate([[0], np.cumsum(full)])
+            for i in np.flatnonzero((size > 0) & (s - full >= s - d)):  # all ranges that agree might be empty ones
+                gone = np.ones(s[i], bool)
+                gone[seg[at[begin[i] : begin[i + 1]]].astype(np.int64)] = False
+                gone = np.flatnonzero(gone).astype(U64)
                 keys.append(mix(mix(gone * U64(0x9E3779B97F4A7C15) + U64(int(cls[i])))))
                 docs.append(np.full(len(gone), i))
     return np.concatenate(keys), np.concatenate(docs)
 
 
+def frequent(docs: DataFrame, n: int, documents_: int) -> np.ndarray:
+    """Hashes of shingles that many documents hold, sorted; counted over all documents, by task and then together."""
+    least = max(FREQUENT_LEAST, int(FREQUENT * documents_))
+
+    def run(batches):
+        held, size, seen = [], 0, set()
+
+        def counts():
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            some = c > 2
+            return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(c[some])], ["h", "c"])
+
+        for batch in slices(batches, "text", SLICE):
+            h, first = shingle_sets(*flat(batch.column("text")), n)
+            d1 = set_digest(h, first)[0].tolist()
+            fresh = np.array([not (d in seen or seen.add(d)) for d in d1], bool)  # copies count once in a task
+            held.append(h[np.repeat(fresh, np.diff(first))])
+            size += len(held[-1])
+            if size > COUNTED:
+                yield counts()
+                held, size, seen = [], 0, set()
+        if held:
+            yield counts()
+        tidy()
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return np.sort(found.select("h").toArrow().column("h").to_numpy().view(U64)) if documents_ else np.zeros(0, U64)
+
+
 def set_digest(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         return tuple(np.diff(np.concatenate([[U64(0)], np.cumsum(mix(h + U64(k)), dtype=U64)])[first]).view(np.int64) for k in (1, 2))
@@ -150,9 +186,10 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, new, pairs
 
 
-def ties(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: documents that hold the same shingles in some range, each with the first that does."""
-    buckets = 2 * partitions(docs.sparkSession)
+def ties(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
+    """a, b: documents that hold the same shingles in some range, each with the first that does; ``common`` ones aside."""
+    buckets = partitions(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def emit(batches):
         for batch in slices(batches, "text", SLICE):
@@ -169,8 +206,13 @@ def ties(docs: DataFrame, n: int, percent: int) -> DataFrame:
             h, ids = h[keep], ids[use]
             if not len(h):
                 continue
-            first = np.concatenate([[0], np.cumsum(size)])
-            keys, row = range_keys(h, first, percent, size_classes(percent, int(size.max()) * 2 + 2))
+            row = np.repeat(np.arange(len(ids)), size)
+            if len(shared.value):
+                at = np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)
+                rare = shared.value[at] != h
+                h, row = h[rare], row[rare]
+            first = np.searchsorted(row, np.arange(len(ids) + 1))
+            keys, row = range_keys(h, first, size, percent, size_classes(percent, int(size.max()) * 2 + 2))
             order, new, pairs = _stars(keys, ids[row])
             if len(pairs):
                 yield _rows([(int(pairs[0, 0]) % buckets, 1, put(pairs[:, 0], pairs[:, 1]))])
@@ -193,23 +235,23 @@ def ties(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 keys.append(unpack(blob[cut:-8], KEY_BYTES))
             return _stars(np.concatenate(keys), np.concatenate(ids))[2]
 
-        def out(pairs):
-            for i in range(0, len(pairs), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), 0]), pa.array(pairs[i : i + (1 << 16), 1])], ["a", "b"])
-
-        key, held = None, []
+        # A pair that shares many ranges meets in many buckets: once a task is enough.
+        key, held, pairs = None, [], np.zeros((0, 2), np.int64)
         for batch in batches:
             for k, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if kind == 1:
-                    yield from out(np.column_stack(get(blob, "<i8", "<i8")))
+                    pairs = np.unique(np.concatenate([pairs, np.column_stack(get(blob, "<i8", "<i8"))]), axis=0)
                     continue
                 if k != key and held:
-                    yield from out(bucket(held))
+                    pairs = np.unique(np.concatenate([pairs, bucket(held)]), axis=0)
                     held = []
                 key = k
                 held.append(blob)
         if held:
-            yield from out(bucket(held))
+            pairs = np.unique(np.concatenate([pairs, bucket(held)]), axis=0)
+        for i in range(0, len(pairs), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), 0]), pa.array(pairs[i : i + (1 << 16), 1])], ["a", "b"])
+        tidy()
 
     found = docs.select("doc_id", "text").mapInArrow(emit, "key int, kind int, blob binary")
     return found.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(meet, "a long, b long").distinct()
@@ -355,8 +397,14 @@ def verified(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
         unz = zstandard.ZstdDecompressor()
         rows = list({(d, d1, d2): (side, d, blob) for side, d, d1, d2, blob in sorted(rows, key=lambda r: r[1])}.values())
-        h, first = shingle_sets(*flat(pa.array([unz.decompress(r[2]) for r in rows], pa.large_binary())), n)
-        sets = [h[first[i] : first[i + 1]] for i in range(len(rows))]
+        sets, piece, size = [], [], 0
+        for i, r in enumerate(rows):  # a few texts at a time
+            piece.append(unz.decompress(r[2]))
+            size += len(piece[-1])
+            if size > SLICE // 2 or i == len(rows) - 1:
+                h, first = shingle_sets(*flat(pa.array(piece, pa.large_binary())), n)
+                sets += [h[first[k] : first[k + 1]].copy() for k in range(len(piece))]
+                piece, size = [], 0
         sides = np.array([r[0] for r in rows])
         got = span_links(sets, None if (sides == sides[0]).all() else sides, percent)
         return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in got], pa.int64()), pa.array([rows[j][1] for _, j in got], pa.int64())], ["a", "b"])
@@ -369,10 +417,13 @@ def verified(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 if task != key:
                     if len(held) > 1:
                         yield links(held)
+                    if len(held) > 100:
+                        tidy()
                     key, held = task, []
                 held.append(row)
         if len(held) > 1:
             yield links(held)
+        tidy()
 
     return texts.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
@@ -402,7 +453,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK)
     placed = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "d1", "d2").distinct().join(copies, ["d1", "d2"])
     placed = saved(placed)  # doc_id, d1, d2, rep, n: narrow rows
     rep_of = placed.select("doc_id", "rep")
-    tied = ties(docs, n, percent)
+    tied = ties(docs, n, percent, frequent(docs, n, own.count()))
     tied = tied.join(rep_of.withColumnsRenamed({"doc_id": "a", "rep": "ra"}), "a").join(rep_of.withColumnsRenamed({"doc_id": "b", "rep": "rb"}), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     trees = saved(connected_components(tied).withColumnsRenamed({"component": "tree"}))
     members = placed.where("doc_id = rep").join(trees, F.col("rep") == F.col("node")).select("doc_id", "d1", "d2", "n", "tree")

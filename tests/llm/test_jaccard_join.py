@@ -67,6 +67,18 @@ def test_variants(spark, n, percent, seed, block, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(data, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent", "seed"), [(3, 90, 4), (5, 80, 5), (1, 80, 6)])
+def test_frequent_shingles_change_nothing(spark, n, percent, seed, monkeypatch):
+    monkeypatch.setattr(jj, "SLICE", 4000)
+    monkeypatch.setattr(jj, "FREQUENT_LEAST", 4)
+    data = variants(seed)
+    passage = " ".join(f"p{k}" for k in range(40))
+    data = [(i, f"{t} {passage}" if i % 3 == 0 else passage if i % 29 == 1 else t, *r) for i, t, *r in data]
+    df = spark.createDataFrame(data, SCHEMA).repartition(4)
+    assert len(jj.frequent(df, n, len(data))) > 30
+    assert sorted((tuple(r) for r in jj.classes(df, n, percent).collect()), key=str) == brute(data, n, percent)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_traversal_finds_every_component(seed, monkeypatch):
     monkeypatch.setattr(jj.Tree, "LEAF", 3)
