@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents
-from .text import flat, slices
+from .text import flat, slices, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 #: Mean bytes of a chunk (a power of two), bytes the hash looks back over, and bounds of what a worker keeps.
 CHUNK_BYTES = 512
 WINDOW = 16
-KEEP_CHUNK_BYTES = 16 << 20
-KEEP_WORDS = 500_000
+KEEP_CHUNK_BYTES = 12 << 20
+KEEP_WORDS = 250_000
 _SPACES = b" \t\n\x0b\f\r"
 _FIRST = re.compile(rb"[ \t-\r]")
 
@@ -68,7 +68,7 @@ def cuts(data: np.ndarray, mean: int = CHUNK_BYTES) -> np.ndarray:
 
 
 class Codec:
-    """Encodes and decodes whole texts; kept by each worker between tasks."""
+    """Encodes and decodes whole texts."""
 
     def __init__(self, path: str, mean: int = CHUNK_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; before the library looks
@@ -90,10 +90,12 @@ class Codec:
         self.names = np.frombuffer(b"".join(names), np.uint8)
 
     def learn(self, words: set[bytes]) -> None:
-        """Encodes the words that are not known yet, in one call."""
+        """Encodes the words that are not known yet, some thousands in a call."""
         new = [w for w in words if w not in self.words]
-        for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.words[w] = array("I", e.ids).tobytes()
+        for i in range(0, len(new), 4000):
+            part = new[i : i + 4000]
+            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.words[w] = array("I", e.ids).tobytes()
 
     def ids(self, words: list[bytes]) -> bytes:
         """ids of words that stand between white space."""
@@ -116,6 +118,11 @@ class Codec:
         if self.kept > KEEP_CHUNK_BYTES:
             self.chunks, self.kept = {}, 0
 
+    def forget(self) -> None:
+        """What a task has kept goes with it: the worker lives on, beside a JVM that needs the memory."""
+        self.words, self.chunks, self.kept = {b"": b""}, {}, 0
+        tidy()
+
     def chunk(self, raw: bytes) -> tuple:
         """(first fragment, ids, last fragment), or (raw,) if it has no white space."""
         got = self.chunks.get(raw)
@@ -194,6 +201,8 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, mean: int) -> It
         own.prepare(list({c for t in texts for c in t if c and c not in own.chunks}))
         ids = [own.encode(t) for t in texts]
         yield batch, list(zip(ids, own.decode(ids), strict=True))
+        del raw, texts, ids
+    own.forget()
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
