@@ -44,7 +44,7 @@ from .text import LOWER, U64, flat, mix, pack, slices, tidy, unpack, word_bounds
 from .toxicity import remainder
 
 ORDER = 6
-MOST = 8_000_000
+MOST = 4_000_000
 SLICE = 8 << 20
 #: Bytes of text whose n-grams are in memory at once: about 60 bytes each.
 PIECE = 3 << 20
@@ -100,6 +100,13 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
             for b, at in _split(bucket_of(mix(keys), buckets)):
                 yield _rows([(b, 0, put(np.diff(keys[at], prepend=U64(0)), n[at].astype("<u4")))])
 
+    training = docs.where(remainder(F.col("doc_id"), HELD_OUT) != REMAINDER).select("text")
+    return summed(training.mapInArrow(emit, "key int, kind int, blob binary"))
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """Packed keys and counts, added up by bucket; kind is the number of keys."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def total(blobs):
             keys, n = (np.concatenate(x) for x in zip(*((np.cumsum(k, dtype=U64), c) for k, c in (get(b, "<u8", "<u4") for b in blobs)), strict=True))
@@ -120,8 +127,7 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
         tidy()
 
     schema = "key int, kind int, blob binary"
-    training = docs.where(remainder(F.col("doc_id"), HELD_OUT) != REMAINDER).select("text")
-    return training.mapInArrow(emit, schema).repartition("key").sortWithinPartitions("key").mapInArrow(add, schema)
+    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(add, schema)
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -134,26 +140,31 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Keys as sorted hashes, found by the top bits of the hash; each with one number."""
+    """Keys as sorted hashes, found by the top bits of the hash; each with one number.
+
+    The top bits name a slot of a few entries, of which the next 32 bits are kept.
+    """
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray, first: np.ndarray, longest: int):
         self.hashes, self.values, self.first, self.longest = hashes, values, first, longest
-        self.shift = U64(64 - (len(first) - 1).bit_length() + 1)
+        self.bits = (len(first) - 1).bit_length() - 1
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(keys + U64(1))
+        return (h >> U64(64 - self.bits)).astype(np.int64), ((h >> U64(32 - self.bits)) & U64(0xFFFFFFFF)).astype(np.uint32)
 
     @classmethod
     def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
-        h = mix(keys + U64(1))
-        order = np.argsort(h)
-        h = h[order]
-        bits = max(1, min(24, len(h).bit_length()))
-        first = np.searchsorted(h, np.arange(1 << bits, dtype=U64) << U64(64 - bits)).astype(np.int32)
-        first = np.append(first, np.int32(len(h)))
-        return cls(h, values[order].astype(np.float32), first, int(np.diff(first).max(initial=0)))
+        bits = max(1, min(24, len(keys).bit_length() - 1))
+        out = cls(np.zeros(0, np.uint32), np.zeros(0, np.float32), np.zeros((1 << bits) + 1, np.int32), 0)
+        slot, rest = out.split(keys)
+        order = np.lexsort((rest, slot))
+        first = np.searchsorted(slot[order], np.arange((1 << bits) + 1)).astype(np.int32)
+        return cls(rest[order], values[order].astype(np.float32), first, int(np.diff(first).max(initial=0)))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of the keys and which were found."""
-        h = mix(keys + U64(1))
-        slot = (h >> self.shift).astype(np.int64)
+        slot, rest = self.split(keys)
         at, stop = self.first[slot], self.first[slot + 1]
         out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
         left = np.flatnonzero(at < stop)
@@ -161,7 +172,7 @@ class Table:
             if not len(left):
                 break
             here = at[left] + step
-            same = self.hashes[here] == h[left]
+            same = self.hashes[here] == rest[left]
             hit = left[same]
             out[hit], found[hit] = self.values[here[same]], True
             left = left[~same]
@@ -169,13 +180,16 @@ class Table:
         return out, found
 
 
-def estimate(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[Table, Table]]:
+def estimate(keys: np.ndarray, counts: np.ndarray, order: int, lower_types: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[Table, Table]]:
     """For orders 1 to ``order``: log10 probabilities of n-grams, and log10 weights of the lower order by context.
 
-    keys: distinct n-grams of the highest order, sorted.
+    keys: distinct n-grams of the highest order, sorted; lower_types: those one order lower with
+    their continuation counts, where keys are not all there are.
     """
     types = {order: (keys, counts)}
-    for k in range(order - 1, 0, -1):
+    if lower_types is not None:
+        types[order - 1] = lower_types
+    for k in range(order - 1 - (lower_types is not None), 0, -1):
         lower, n = np.unique(types[k + 1][0] & U64((1 << 8 * k) - 1), return_counts=True)
         types[k] = (lower, n)
     out: list[tuple[Table, Table]] = []
@@ -217,7 +231,7 @@ def log_probabilities(model: list[tuple[Table, Table]], grams_: np.ndarray) -> n
 
 def store(model: list[tuple[Table, Table]], path: str) -> None:
     """Little-endian arrays one after another; their places in the first bytes."""
-    arrays = [a for pair in model for t in pair for a in (t.hashes.astype("<u8"), t.values.astype("<f4"), t.first.astype("<i4"), np.array([t.longest], "<i4"))]
+    arrays = [a for pair in model for t in pair for a in (t.hashes.astype("<u4"), t.values.astype("<f4"), t.first.astype("<i4"), np.array([t.longest], "<i4"))]
     with open(path, "wb") as f:
         head = np.array([len(arrays), *[a.nbytes for a in arrays]], "<u8").tobytes()
         f.write(head)
@@ -231,7 +245,7 @@ def load(path: str) -> list[tuple[Table, Table]]:
     sizes = raw[8 : 8 * (n + 1)].view("<u8").astype(np.int64)
     at, parts = 8 * (n + 1), []
     for i, size in enumerate(sizes):
-        parts.append(raw[at : at + size].view(("<u8", "<f4", "<i4", "<i4")[i % 4]))
+        parts.append(raw[at : at + size].view(("<u4", "<f4", "<i4", "<i4")[i % 4]))
         at += size + -size % 8
     tables = [Table(*parts[i : i + 3], int(parts[i + 3][0])) for i in range(0, n, 4)]
     return [(tables[i], tables[i + 1]) for i in range(0, len(tables), 2)]
@@ -264,29 +278,63 @@ def mapped(name: str) -> list[tuple[Table, Table]]:
     return _mapped[name]
 
 
-def train(docs: DataFrame, order: int = ORDER, most: int = MOST) -> list[tuple[Table, Table]]:
-    """Counts in Spark, estimates on the driver from at most ``most`` n-grams."""
-    found = saved(counted(docs, order))
+def unpacked(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams and their counts, on the driver: callers bound their number."""
+    keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for r in found.select("blob").toLocalIterator():
+        k, n = get(r.blob, "<u8", "<i8")
+        keys.append(np.cumsum(k, dtype=U64))
+        counts.append(n)
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    at = np.argsort(keys)
+    return keys[at], counts[at]
+
+
+def cut(found: DataFrame, most: int) -> DataFrame:
+    """The n-grams without those of the lowest counts, as many counts as it takes; kind holds the number in a row."""
     least = 1
-    while (found.agg(F.sum("kind")).first()[0] or 0) > most:  # kind holds the number of n-grams
+    while (found.agg(F.sum("kind")).first()[0] or 0) > most:
 
-        def cut(batches, least=least + 1):
+        def keep(batches, least=least + 1):
             for batch in batches:
                 for blob in batch.column(2).to_pylist():
                     k, n = get(blob, "<u8", "<i8")
                     k = np.cumsum(k, dtype=U64)[n >= least]
                     yield _rows([(0, len(k), put(np.diff(k, prepend=U64(0)), n[n >= least]))])
 
-        found = saved(found.mapInArrow(cut, "key int, kind int, blob binary"))
+        found = saved(found.mapInArrow(keep, "key int, kind int, blob binary"))
         least += 1
-    keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for r in found.select("blob").toLocalIterator():
-        k, n = get(r.blob, "<u8", "<i8")
-        keys.append(np.cumsum(k, dtype=U64))
-        counts.append(n)
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    at = np.argsort(keys)
-    return estimate(keys[at], counts[at], order)
+    return found
+
+
+def continued(found: DataFrame, order: int) -> DataFrame:
+    """The n-grams one order lower, with the number of n-grams that continue them to the left; packed as ``found`` is."""
+    buckets = partitions(found.sparkSession)
+
+    def emit(batches):
+        for batch in batches:
+            for blob in batch.column(2).to_pylist():
+                k, n = np.unique(np.cumsum(get(blob, "<u8", "<i8")[0], dtype=U64) & U64((1 << 8 * (order - 1)) - 1), return_counts=True)
+                for b, at in _split(bucket_of(mix(k), buckets)):
+                    yield _rows([(b, 0, put(np.diff(k[at], prepend=U64(0)), n[at].astype("<u4")))])
+
+    return summed(found.mapInArrow(emit, "key int, kind int, blob binary"))
+
+
+def train(docs: DataFrame, order: int = ORDER, most: int = MOST) -> list[tuple[Table, Table]]:
+    """Counts in Spark, estimates on the driver from at most ``most`` n-grams of the highest order and as many of the next."""
+    found = saved(counted(docs, order))
+    kept = cut(found, most)
+    keys, counts = unpacked(kept)
+    if kept is found or order == 1:
+        return estimate(keys, counts, order)
+    lower, n = unpacked(cut(saved(continued(found, order)), most))
+    # Every n-gram that is kept has its lower-order part among those, if need be by its own count.
+    own, m = np.unique(keys & U64((1 << 8 * (order - 1)) - 1), return_counts=True)
+    lost = ~np.isin(own, lower)
+    lower, n = np.concatenate([lower, own[lost]]), np.concatenate([n, m[lost]])
+    at = np.argsort(lower)
+    return estimate(keys, counts, order, (lower[at], n[at]))
 
 
 def score_texts(model: list[tuple[Table, Table]], data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:

@@ -81,6 +81,7 @@ def test_probabilities_sum_to_one():
 
 def test_a_cut_off_keeps_the_distribution_proper(spark):
     model = lm.train(table(spark), 3, most=200)
+    assert len(model[2][0].hashes) <= 200 < len(lm.train(table(spark), 3)[2][0].hashes)
     g = np.array([(97 << 16) | (108 << 8) | x for x in range(256)], np.uint64)
     assert math.isclose((10 ** lm.log_probabilities(model, g)).sum(), 1, rel_tol=1e-5)
 
