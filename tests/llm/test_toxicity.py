@@ -74,3 +74,19 @@ def test_no_labels_and_empty_table(spark):
     none = tx.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in tx.scores(docs, none).collect()} == {0.0}
     assert tx.scores(spark.createDataFrame([], SCHEMA), none).count() == 0
+
+
+def test_words_of_a_copied_text_are_no_marks():
+    data = corpus(400)
+    toxic, ordinary = [t.encode() for _, t, k in data if k], [t.encode() for _, t, k in data if not k]
+    copied = b"plain harmless unusual wording here " + ordinary[0]
+    model = tx.fit(toxic + [copied + b" %d" % i for i in range(300)], ordinary)
+    assert b"harmless" not in model.toxic and b"abominator" in model.toxic
+    assert len(tx.distinct([copied, copied, ordinary[1], b"", copied + b" x"])) == 2
+
+
+def test_score_is_calibrated_to_labelled_shares():
+    data = corpus(400)
+    toxic, ordinary = [t.encode() for _, t, k in data if k], [t.encode() for _, t, k in data if not k]
+    a, b = tx.fit(toxic, ordinary), tx.fit(toxic, ordinary, shares=(1.0, 0.1))
+    assert np.isclose(b.weights[0] - a.weights[0], np.log(0.1))
