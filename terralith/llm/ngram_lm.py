@@ -7,12 +7,16 @@ of the tokens that needs no unknown word, and the number of its n-grams levels
 off, where word n-grams grow with the corpus beyond what a worker can map.
 
 1. Spark counts the n-grams of the highest order in the training texts: sorted
-   unique keys a slice, summed in buckets of the key range.
-2. The driver derives lower orders (continuation counts), discounts and
-   interpolated probabilities from the distinct n-grams, at most ``MOST`` of
-   them: were there more, those of the lowest counts would be left out
-   and their mass be given to the lower orders, as usual for count cut-offs.
-   Each order is stored as an array of hashes, sorted, with its probabilities and weights.
+   unique keys a slice, summed in shards by the last two bytes of the context.  All
+   that an n-gram of three bytes or more needs lies in its shard: its context's other
+   n-grams and its own shorter forms.
+2. Each shard derives its lower orders (continuation counts); the driver adds up their
+   counts of counts for the discounts, and estimates the orders of one and two bytes.
+   Then each shard interpolates its probabilities, and stores each order as an array
+   of hashes, sorted, with its probabilities and weights.  None is left out, whatever their
+   number; the driver writes the shards into one file a shard at a time.
+   With ``most`` n-grams of the lowest counts are left out of an order: totals and discounts
+   are still those of all, and the mass left out goes to the lower orders.
 3. The file goes to the shared folder and by ``SparkContext.addFile`` to every
    executor, whose workers map it into memory.
 4. The unigram baseline needs each word's exact training count.  Slices of input
@@ -44,7 +48,6 @@ from .text import LOWER, U64, flat, mix, pack, slices, tidy, unpack, word_bounds
 from .toxicity import remainder
 
 ORDER = 6
-MOST = 4_000_000
 SLICE = 8 << 20
 #: Bytes of text whose n-grams are in memory at once: about 60 bytes each.
 PIECE = 3 << 20
@@ -87,9 +90,13 @@ def own_grams(text: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndar
     return grams(text, order)[at - (order - 1)], np.concatenate([[0], np.cumsum(length)])
 
 
-def counted(docs: DataFrame, order: int) -> DataFrame:
-    """gram, n: the n-grams of the training texts with their counts, packed by bucket."""
-    buckets = partitions(docs.sparkSession)
+def shard_of(contexts: np.ndarray, shards: int) -> np.ndarray:
+    """By the last two bytes."""
+    return bucket_of(mix((contexts & U64(0xFFFF)) + U64(1)), shards)
+
+
+def counted(docs: DataFrame, order: int, shards: int) -> DataFrame:
+    """key, kind, blob: a shard, its number of n-grams of the training texts, and these with their counts, packed."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PIECE):
@@ -97,7 +104,7 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
             starts, ends, first = word_bounds(data, offs)
             text, at = stream(data, starts, ends, first, order)
             keys, n = np.unique(own_grams(text, at, order)[0], return_counts=True)
-            for b, at in _split(bucket_of(mix(keys), buckets)):
+            for b, at in _split(shard_of(keys >> U64(8), shards)):
                 yield _rows([(b, 0, put(np.diff(keys[at], prepend=U64(0)), n[at].astype("<u4")))])
 
     training = docs.where(remainder(F.col("doc_id"), HELD_OUT) != REMAINDER).select("text")
@@ -105,25 +112,25 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
 
 
 def summed(parts: DataFrame) -> DataFrame:
-    """Packed keys and counts, added up by bucket; kind is the number of keys."""
+    """Packed keys and counts, added up by shard; kind is the number of keys."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def total(blobs):
+        def total(shard, blobs):
             keys, n = (np.concatenate(x) for x in zip(*((np.cumsum(k, dtype=U64), c) for k, c in (get(b, "<u8", "<u4") for b in blobs)), strict=True))
             keys, at = np.unique(keys, return_inverse=True)
             n = np.bincount(at, n).astype(np.int64)
-            return _rows([(0, len(keys), put(np.diff(keys, prepend=U64(0)), n))])
+            return _rows([(shard, len(keys), put(np.diff(keys, prepend=U64(0)), n))])
 
         key, held = None, []
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if k != key and held:
-                    yield total(held)
+                    yield total(key, held)
                     held = []
                 key = k
                 held.append(blob)
         if held:
-            yield total(held)
+            yield total(key, held)
         tidy()
 
     schema = "key int, kind int, blob binary"
@@ -132,7 +139,10 @@ def summed(parts: DataFrame) -> DataFrame:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Of counts 1, 2 and 3 or more, from the counts of counts."""
-    n = np.array([(counts == k).sum() for k in (1, 2, 3, 4)], float)
+    return discounts_of(np.array([(counts == k).sum() for k in (1, 2, 3, 4)], float))
+
+
+def discounts_of(n: np.ndarray) -> np.ndarray:
     if not (n > 0).all():
         return np.array([0.5, 0.5, 0.5])
     y = n[0] / (n[0] + 2 * n[1])
@@ -140,32 +150,49 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Keys as sorted hashes, found by the top bits of the hash; each with one number.
+    """Keys as sorted hashes, found by their shard and the top bits of the hash; each with one number.
 
     The top bits name a slot of a few entries, of which the next 32 bits are kept.
+    shape: the longest slot, by how many bits a key is shifted for its context, each
+    shard's number of top bits, and each shard's number of entries.
     """
 
-    def __init__(self, hashes: np.ndarray, values: np.ndarray, first: np.ndarray, longest: int):
-        self.hashes, self.values, self.first, self.longest = hashes, values, first, longest
-        self.bits = (len(first) - 1).bit_length() - 1
-
-    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, hashes: np.ndarray, values: np.ndarray, first: np.ndarray, shape: np.ndarray):
+        self.hashes, self.values, self.first, self.shape = hashes, values, first, np.asarray(shape, np.int64)
+        self.longest, self.shift = int(self.shape[0]), U64(self.shape[1])
+        bits, sizes = self.shape[2:].reshape(2, -1)
+        shard = shard_of(np.arange(1 << 16, dtype=U64), len(bits))
+        # By the last two bytes of the context.
+        self.bits = bits[shard].astype(U64)
+        self.slots = (np.cumsum((1 << bits) + 1) - (1 << bits) - 1)[shard]
+        self.starts = (np.cumsum(sizes) - sizes)[shard]
+
+    @staticmethod
+    def bits_for(n: int) -> int:
+        return max(1, min(24, n.bit_length() - 1))
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots, the bits kept, and where the entries of the shard start."""
         h = mix(keys + U64(1))
-        return (h >> U64(64 - self.bits)).astype(np.int64), ((h >> U64(32 - self.bits)) & U64(0xFFFFFFFF)).astype(np.uint32)
+        of = ((keys >> self.shift) & U64(0xFFFF)).astype(np.int64)
+        bits = self.bits[of]
+        return self.slots[of] + (h >> (U64(64) - bits)).astype(np.int64), ((h >> (U64(32) - bits)) & U64(0xFFFFFFFF)).astype(np.uint32), self.starts[of]
 
     @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
-        bits = max(1, min(24, len(keys).bit_length() - 1))
-        out = cls(np.zeros(0, np.uint32), np.zeros(0, np.float32), np.zeros((1 << bits) + 1, np.int32), 0)
-        slot, rest = out.split(keys)
+    def of(cls, keys: np.ndarray, values: np.ndarray, shift: int) -> Table:
+        """A table of one shard."""
+        bits = cls.bits_for(len(keys))
+        shape = np.array([0, shift, bits, len(keys)])
+        slot, rest, _ = cls(np.zeros(0, np.uint32), np.zeros(0, np.float32), np.zeros((1 << bits) + 1, np.int32), shape).split(keys)
         order = np.lexsort((rest, slot))
         first = np.searchsorted(slot[order], np.arange((1 << bits) + 1)).astype(np.int32)
-        return cls(rest[order], values[order].astype(np.float32), first, int(np.diff(first).max(initial=0)))
+        shape[0] = np.diff(first).max(initial=0)
+        return cls(rest[order], values[order].astype(np.float32), first, shape)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of the keys and which were found."""
-        slot, rest = self.split(keys)
-        at, stop = self.first[slot], self.first[slot + 1]
+        slot, rest, start = self.split(keys)
+        at, stop = start + self.first[slot], start + self.first[slot + 1]
         out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
         left = np.flatnonzero(at < stop)
         for step in range(self.longest):
@@ -180,36 +207,52 @@ class Table:
         return out, found
 
 
-def estimate(keys: np.ndarray, counts: np.ndarray, order: int, lower_types: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[Table, Table]]:
+def shorter(keys: np.ndarray, counts: np.ndarray, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams of each order down to ``least``, sorted, with their counts; below the highest those of continuations."""
+    types = {order: (keys, counts)}
+    for k in range(order - 1, least - 1, -1):
+        types[k] = np.unique(types[k + 1][0] & U64((1 << 8 * k) - 1), return_counts=True)
+    return types
+
+
+def level(key: np.ndarray, n: np.ndarray, d: np.ndarray, below: tuple[np.ndarray, np.ndarray], k: int, cut: int = 0) -> tuple[np.ndarray, Table, Table]:
+    """Probabilities of all n-grams of an order, and the tables without those of counts up to ``cut``.
+
+    below: n-grams of the next lower order, sorted, with their probabilities.
+    """
+    take = np.where(n > cut, d[np.minimum(n, 3) - 1], n)  # what is left out goes to the lower order as a whole
+    context = key >> U64(8)
+    new = np.ones(len(key), bool)
+    new[1:] = context[1:] != context[:-1]
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(n, at).astype(float) if len(at) else np.zeros(0)
+    weight = np.add.reduceat(take, at) / total if len(at) else np.zeros(0)
+    of = np.cumsum(new) - 1
+    lower = below[1][np.searchsorted(below[0], key & U64((1 << 8 * (k - 1)) - 1) if k > 1 else key)]
+    p = (n - take) / total[of] + weight[of] * lower
+    kept = n > cut
+    some = np.unique(of[kept])  # a context without n-grams has the weight 1, as one that is not found
+    return p, Table.of(key[kept], np.log10(p[kept]), 8), Table.of(context[at][some], np.log10(weight[some]), 0)
+
+
+def estimate(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[Table, Table]]:
     """For orders 1 to ``order``: log10 probabilities of n-grams, and log10 weights of the lower order by context.
 
-    keys: distinct n-grams of the highest order, sorted; lower_types: those one order lower with
-    their continuation counts, where keys are not all there are.
+    keys: distinct n-grams of the highest order, sorted.
     """
-    types = {order: (keys, counts)}
-    if lower_types is not None:
-        types[order - 1] = lower_types
-    for k in range(order - 1 - (lower_types is not None), 0, -1):
-        lower, n = np.unique(types[k + 1][0] & U64((1 << 8 * k) - 1), return_counts=True)
-        types[k] = (lower, n)
+    return _estimate(keys, counts, order)[0]
+
+
+def _estimate(keys: np.ndarray, counts: np.ndarray, order: int) -> tuple[list[tuple[Table, Table]], np.ndarray]:
+    types = shorter(keys, counts, order, 1)
     out: list[tuple[Table, Table]] = []
     below = (np.arange(256, dtype=U64), np.full(256, 1 / 256))
     for k in range(1, order + 1):
         key, n = types[k]
-        d = discounts(n)
-        take = d[np.minimum(n, 3) - 1] if len(n) else np.zeros(0)
-        context = key >> U64(8)
-        new = np.ones(len(key), bool)
-        new[1:] = context[1:] != context[:-1]
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(n, at).astype(float) if len(at) else np.zeros(0)
-        weight = np.add.reduceat(take, at) / total if len(at) else np.zeros(0)
-        of = np.cumsum(new) - 1
-        lower = below[1][np.searchsorted(below[0], key & U64((1 << 8 * (k - 1)) - 1) if k > 1 else key)]
-        p = (n - take) / total[of] + weight[of] * lower
-        out.append((Table.of(key, np.log10(p)), Table.of(context[at], np.log10(weight))))
+        p, *tables = level(key, n, discounts(n), below, k)
+        out.append(tuple(tables))
         below = (key, p)
-    return out
+    return out, below[1]
 
 
 def log_probabilities(model: list[tuple[Table, Table]], grams_: np.ndarray) -> np.ndarray:
@@ -231,7 +274,7 @@ def log_probabilities(model: list[tuple[Table, Table]], grams_: np.ndarray) -> n
 
 def store(model: list[tuple[Table, Table]], path: str) -> None:
     """Little-endian arrays one after another; their places in the first bytes."""
-    arrays = [a for pair in model for t in pair for a in (t.hashes.astype("<u4"), t.values.astype("<f4"), t.first.astype("<i4"), np.array([t.longest], "<i4"))]
+    arrays = [a for pair in model for t in pair for a in (t.hashes.astype("<u4"), t.values.astype("<f4"), t.first.astype("<i4"), t.shape.astype("<i8"))]
     with open(path, "wb") as f:
         head = np.array([len(arrays), *[a.nbytes for a in arrays]], "<u8").tobytes()
         f.write(head)
@@ -245,17 +288,15 @@ def load(path: str) -> list[tuple[Table, Table]]:
     sizes = raw[8 : 8 * (n + 1)].view("<u8").astype(np.int64)
     at, parts = 8 * (n + 1), []
     for i, size in enumerate(sizes):
-        parts.append(raw[at : at + size].view(("<u4", "<f4", "<i4", "<i4")[i % 4]))
+        parts.append(raw[at : at + size].view(("<u4", "<f4", "<i4", "<i8")[i % 4]))
         at += size + -size % 8
-    tables = [Table(*parts[i : i + 3], int(parts[i + 3][0])) for i in range(0, n, 4)]
+    tables = [Table(*parts[i : i + 4]) for i in range(0, n, 4)]
     return [(tables[i], tables[i + 1]) for i in range(0, len(tables), 2)]
 
 
-def share(spark, model: list[tuple[Table, Table]]) -> str:
-    """Writes the model to the shared folder and gives it to every executor; returns its name there."""
-    name = f"ngrams-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(prefix="ngrams-"), name)
-    store(model, local)
+def share(spark, local: str) -> str:
+    """Moves the file of the model to the shared folder and gives it to every executor; returns its name there."""
+    name = os.path.basename(local)
     folder = shared_folder(spark)
     jvm = spark.sparkContext._jvm
     to = jvm.org.apache.hadoop.fs.Path(f"{folder}/models/{name}")
@@ -279,7 +320,7 @@ def mapped(name: str) -> list[tuple[Table, Table]]:
 
 
 def unpacked(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams and their counts, on the driver: callers bound their number."""
+    """Sorted n-grams and their counts, on the driver: of two bytes at most."""
     keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for r in found.select("blob").toLocalIterator():
         k, n = get(r.blob, "<u8", "<i8")
@@ -290,51 +331,111 @@ def unpacked(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], counts[at]
 
 
-def cut(found: DataFrame, most: int) -> DataFrame:
-    """The n-grams without those of the lowest counts, as many counts as it takes; kind holds the number in a row."""
-    least = 1
-    while (found.agg(F.sum("kind")).first()[0] or 0) > most:
+def shard_types(blob: bytes, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    keys, n = get(blob, "<u8", "<i8")
+    return shorter(np.cumsum(keys, dtype=U64), n, order, least)
+
+
+def counts_of_counts(found: DataFrame, order: int) -> tuple[dict[int, dict[int, int]], np.ndarray]:
+    """For orders from 3: how many n-grams have each count; and the continuation counts of all n-grams of two bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                types = shard_types(blob, order, 2)
+                yield _rows([(shard, k, put(*(a.astype("<i8") for a in (types[k] if k == 2 else np.unique(types[k][1], return_counts=True))))) for k in types])
+        tidy()
+
+    two, of = np.zeros(1 << 16, np.int64), {k: {} for k in range(3, order + 1)}
+    for r in saved(found.mapInArrow(run, "key int, kind int, blob binary")).toLocalIterator():
+        a, n = get(r.blob, "<i8", "<i8")
+        if r.kind == 2:
+            two[a] += n
+        else:
+            for c, m in zip(a.tolist(), n.tolist(), strict=True):
+                of[r.kind][c] = of[r.kind].get(c, 0) + m
+    return of, two
 
-        def keep(batches, least=least + 1):
-            for batch in batches:
-                for blob in batch.column(2).to_pylist():
-                    k, n = get(blob, "<u8", "<i8")
-                    k = np.cumsum(k, dtype=U64)[n >= least]
-                    yield _rows([(0, len(k), put(np.diff(k, prepend=U64(0)), n[n >= least]))])
 
-        found = saved(found.mapInArrow(keep, "key int, kind int, blob binary"))
-        least += 1
-    return found
+def cut_off(of: dict[int, int], most: int | None) -> int:
+    """The count up to which n-grams are left out so that ``most`` stay."""
+    left, cut = sum(of.values()), 0
+    for c in sorted(of):
+        if most is None or left <= most:
+            break
+        left, cut = left - of[c], c
+    return cut
 
 
-def continued(found: DataFrame, order: int) -> DataFrame:
-    """The n-grams one order lower, with the number of n-grams that continue them to the left; packed as ``found`` is."""
-    buckets = partitions(found.sparkSession)
+def shard_tables(found: DataFrame, order: int, d: dict[int, np.ndarray], cuts: dict[int, int], below: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The tables of each shard: kind is twice the order, and one more for weights."""
 
-    def emit(batches):
+    def run(batches):
         for batch in batches:
-            for blob in batch.column(2).to_pylist():
-                k, n = np.unique(np.cumsum(get(blob, "<u8", "<i8")[0], dtype=U64) & U64((1 << 8 * (order - 1)) - 1), return_counts=True)
-                for b, at in _split(bucket_of(mix(k), buckets)):
-                    yield _rows([(b, 0, put(np.diff(k[at], prepend=U64(0)), n[at].astype("<u4")))])
-
-    return summed(found.mapInArrow(emit, "key int, kind int, blob binary"))
-
-
-def train(docs: DataFrame, order: int = ORDER, most: int = MOST) -> list[tuple[Table, Table]]:
-    """Counts in Spark, estimates on the driver from at most ``most`` n-grams of the highest order and as many of the next."""
-    found = saved(counted(docs, order))
-    kept = cut(found, most)
-    keys, counts = unpacked(kept)
-    if kept is found or order == 1:
-        return estimate(keys, counts, order)
-    lower, n = unpacked(cut(saved(continued(found, order)), most))
-    # Every n-gram that is kept has its lower-order part among those, if need be by its own count.
-    own, m = np.unique(keys & U64((1 << 8 * (order - 1)) - 1), return_counts=True)
-    lost = ~np.isin(own, lower)
-    lower, n = np.concatenate([lower, own[lost]]), np.concatenate([n, m[lost]])
-    at = np.argsort(lower)
-    return estimate(keys, counts, order, (lower[at], n[at]))
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                types, lower, rows = shard_types(blob, order, 3), below, []
+                for k in range(3, order + 1):
+                    key, n = types[k]
+                    p, *tables = level(key, n, d[k], lower, k, cuts[k])
+                    lower = (key, p)
+                    rows += [(shard, 2 * k + i, len(t.hashes), t.longest, put(t.hashes.astype("<u4"), t.values.astype("<f4"), t.first.astype("<i4"))) for i, t in enumerate(tables)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "kind", "size", "longest", "blob"])
+        tidy()
+
+    return found.mapInArrow(run, "key int, kind int, size long, longest long, blob binary")
+
+
+def assemble(low: list[tuple[Table, Table]], parts: DataFrame, order: int, shards: int, path: str) -> None:
+    """The file of ``store`` from the lowest orders and the shards of the others, one blob in memory at a time."""
+    shapes = {2 * k + i: np.array([0, 8 * (1 - i), *[1] * shards, *[0] * shards], "<i8") for k in range(3, order + 1) for i in (0, 1)}
+    for r in parts.drop("blob").collect():
+        s = shapes[r.kind]
+        s[0], s[2 + r.key], s[2 + shards + r.key] = max(s[0], r.longest), Table.bits_for(r.size), r.size
+    arrays = [a for pair in low for t in pair for a in (t.hashes.astype("<u4"), t.values.astype("<f4"), t.first.astype("<i4"), t.shape.astype("<i8"))]
+    sizes = [a.nbytes for a in arrays]
+    for s in shapes.values():
+        bits, n = s[2:].reshape(2, -1)
+        arrays += [None, None, None, s]
+        sizes += [4 * int(n.sum()), 4 * int(n.sum()), 4 * int(((1 << bits) + 1).sum()), s.nbytes]
+    places = 8 * (len(sizes) + 1) + np.concatenate([[0], np.cumsum([x + -x % 8 for x in sizes])])
+    with open(path, "wb") as f:
+        f.truncate(int(places[-1]))
+        f.write(np.array([len(sizes), *sizes], "<u8").tobytes())
+        for a, place in zip(arrays, places, strict=False):
+            if a is not None:
+                f.seek(int(place))
+                f.write(a.tobytes())
+        for r in parts.toLocalIterator():
+            bits, n = shapes[r.kind][2:].reshape(2, -1)
+            starts = (int(n[: r.key].sum()), int(n[: r.key].sum()), int(((1 << bits[: r.key]) + 1).sum()))
+            for i, (a, start) in enumerate(zip(get(r.blob, "<u4", "<f4", "<i4"), starts, strict=True)):
+                f.seek(int(places[4 * (r.kind - 2) + i]) + 4 * start)
+                f.write(a.tobytes())
+
+
+def built(docs: DataFrame, order: int = ORDER, most: int | None = None) -> str:
+    """A local file of the model.  Counts and estimates in Spark; the driver holds orders of up to two bytes."""
+    path = os.path.join(tempfile.mkdtemp(prefix="ngrams-"), f"ngrams-{uuid.uuid4().hex}.bin")
+    shards = partitions(docs.sparkSession)
+    found = saved(counted(docs, order, shards))
+    if order < 3:
+        store(estimate(*unpacked(found), order), path)
+        return path
+    of, two = counts_of_counts(found, order)
+    keys = np.flatnonzero(two).astype(U64)
+    low, p = _estimate(keys, two[two > 0], 2)
+    d = {k: discounts_of(np.array([c.get(i, 0) for i in (1, 2, 3, 4)], float)) for k, c in of.items()}
+    cuts = {k: cut_off(c, most) for k, c in of.items()}
+    assemble(low, saved(shard_tables(found, order, d, cuts, (keys, p))), order, shards, path)
+    return path
+
+
+def train(docs: DataFrame, order: int = ORDER, most: int | None = None) -> list[tuple[Table, Table]]:
+    path = built(docs, order, most)
+    model = load(path)
+    os.remove(path)  # what is mapped stays
+    os.rmdir(os.path.dirname(path))
+    return model
 
 
 def score_texts(model: list[tuple[Table, Table]], data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
@@ -449,10 +550,10 @@ def baseline(rows: DataFrame, tokens: int, types: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def scores(docs: DataFrame, order: int = ORDER, most: int = MOST) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, most: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; perplexity a token is 10 ** (-score / n_tokens)."""
     spark = docs.sparkSession
-    name = share(spark, train(docs, order, most))
+    name = share(spark, built(docs, order, most))
     rows = saved(scored_slices(docs, name, order))
     counts = saved(word_counts(rows.where("kind = 1")))
     tokens, types = np.sum([get(r.blob, "<i8")[0] for r in counts.where("kind = 2").select("blob").toLocalIterator()] or [[0, 0]], axis=0).tolist()

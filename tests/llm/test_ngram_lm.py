@@ -1,3 +1,4 @@
+import inspect
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -86,6 +87,38 @@ def test_a_cut_off_keeps_the_distribution_proper(spark):
     assert math.isclose((10 ** lm.log_probabilities(model, g)).sum(), 1, rel_tol=1e-5)
 
 
+@pytest.mark.parametrize("most", [None, 200])
+def test_totals_and_discounts_are_of_all_n_grams(spark, most):
+    data, order = rows(), 4
+    brute = Brute([r[1] for r in data if not held(r[0])], order)
+    left = {k: sorted(v.values(), reverse=True) for k, v in brute.counts.items()}
+    # Of orders from 3: n-grams of the counts that fit into ``most``; the others give all they have to the lower order.
+    cut = {k: next((c for c in [0, *sorted(set(v))] if most is None or sum(x > c for x in v) <= most), 0) if k > 2 else 0 for k, v in left.items()}
+    assert (most is None) == (max(cut.values()) == 0)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        seen = brute.by[k].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        take = lambda n: n if n <= cut[k] else brute.d[k][min(n, 3) - 1]
+        n = brute.counts[k].get(g, 0)
+        return ((n - take(n) if n else 0) + sum(map(take, seen)) * p(g[1:])) / sum(seen)
+
+    model = lm.train(table(spark), order, most)
+    if most is None:
+        assert [len(m[0].hashes) for m in model] == [len(brute.counts[k]) for k in range(1, order + 1)]
+    grams = [*list(brute.counts[order])[:2000], b"alph", b"zzzz", b"be z", b"the\n"]
+    got = lm.log_probabilities(model, np.array([int.from_bytes(g, "big") for g in grams], np.uint64))
+    assert np.allclose(got, [math.log10(p(g)) for g in grams], rtol=1e-5, atol=1e-5)
+
+
+def test_no_n_gram_is_left_out_unless_asked():
+    assert not hasattr(lm, "MOST") and all(inspect.signature(f).parameters["most"].default is None for f in (lm.scores, lm.train, lm.built))
+
+
 def test_stored_model_is_the_model(tmp_path):
     text = np.frombuffer(b"the cat sat on the mat \nthe dog " * 20, np.uint8)
     keys, n = np.unique(lm.grams(text, 4), return_counts=True)
