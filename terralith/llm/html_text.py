@@ -2,11 +2,13 @@
 
 Blocks stand on lines of their own, paragraphs and their like between blank
 lines; list items carry a bullet or their number and are indented by depth; the
-cells of a table are padded so that columns align.  Not visible are elements with ``hidden``,
+cells of a table are padded so that columns align, also beside cells over several rows; inputs
+show their value.  Not visible are elements with ``hidden``,
 ``display:none`` or ``visibility:hidden`` (in the style attribute or in a rule of a
-style element whose selectors are a tag, a class or an id), head, script, style,
+style element whose selectors are a tag, a class or an id, by the order of the cascade), head, script, style,
 template and their like, closed dialogs, the body of closed details, and the options of
-a select but the chosen one.
+a select but the chosen one.  Rules in ``@media`` count where they hold for a screen ``SCREEN``
+pixels wide; of media features only widths are known, a query with another one doesn't hold.
 
 Pages are handled one at a time without recursion but for tables in tables, up to
 ``TABLES`` deep; what lies deeper is laid out as blocks.  Results in unusual
@@ -51,13 +53,20 @@ IMPLIED |= {k: IMPLIED["tbody"] for k in ("thead", "tfoot")} | {k: ({"td", "th",
 SCOPE = set("table td th caption template html body button object".split())
 IN_HEAD = set("base link meta title style script noscript template".split())
 TABLES = 40
+SCREEN = 1280
+#: Types of inputs that show no text of their value; unknown types are text.
+UNSHOWN_INPUTS = set("hidden password checkbox radio file color range image".split())
 
 _TAG = re.compile(r"<(?:(!--.*?(?:-->|$))|([!?][^>]*(?:>|$))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|(/[^a-zA-Z>][^>]*(?:>|$)))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_GONE = re.compile(r"display\s*:\s*none", re.I)
-_SEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_SIMPLE = re.compile(r"[.#]?[-\w]+")
+_DECLARED = re.compile(r"(?:^|[;{}])\s*(display|visibility)\s*:\s*([-a-z]+)\s*(!\s*important)?", re.I)
+_STOP = re.compile(r"[{};\"']")
+_STRING = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*(?:{q}|\n|$)", re.S) for q in "\"'"}
+_AT = re.compile(r"@([-\w]+)(.*)", re.S)
+_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+_WIDTH = re.compile(r"\(\s*(min|max)-(?:device-)?width\s*:\s*([\d.]+)\s*(px|r?em)\s*\)")
 
 
 class Node:
@@ -177,22 +186,126 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
-def hidden_by_rules(styles: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id) with display:none."""
-    out: set[str] = set()
+#: By selector and property: whether important, the place among the rules, and the value.
+Rules = dict[str, dict[str, tuple[bool, int, str]]]
+
+
+def css_blocks(css: str) -> Iterator[tuple[str, str]]:
+    """What stands before each outermost block, and the block, by the depth of braces; the end closes what is open."""
+    depth, start, at, before = 0, 0, 0, ""
+    while m := _STOP.search(css, at):
+        at, c = m.end(), m[0]
+        if c in _STRING:
+            at = _STRING[c].match(css, at).end()
+        elif c == "{":
+            if not depth:
+                before, start = css[start : m.start()].strip(), at
+            depth += 1
+        elif c == "}":
+            if depth == 1:
+                yield before, css[start : m.start()]
+            depth = max(0, depth - 1)
+            start = start if depth else at
+        elif not depth:
+            start = at
+    if depth:
+        yield before, css[start:]
+
+
+def on_screen(media: str) -> bool:
+    """Whether one query of a list of media queries holds."""
+
+    def holds(query: str) -> bool:
+        kind, *features = [x.strip() for x in re.split(r"\band\b", query)]
+        no = re.match(r"not\b", kind) is not None
+        kind = re.sub(r"^(not|only)\b\s*", "", kind)
+        if kind.startswith("("):
+            features.insert(0, kind)
+            kind = "all"
+        found = [_WIDTH.fullmatch(x) for x in features]
+        if not all(found):
+            return False
+        sizes = [(m[1], float(m[2]) * (1 if m[3] == "px" else 16)) for m in found if m[2].count(".") < 2 and m[2] != "."]
+        return no != (kind in ("all", "screen", "") and len(sizes) == len(found) and all(SCREEN >= x if way == "min" else SCREEN <= x for way, x in sizes))
+
+    return any(map(holds, media.lower().split(",")))
+
+
+def own_declarations(body: str) -> str:
+    """Those of a rule without strings and without rules in it."""
+    out: list[str] = []
+    now, depth = "", 0
+    for part in re.split(r"([{};])", _QUOTED.sub("", body)):
+        if part == "{":
+            now, depth = "", depth + 1
+        elif part == "}":
+            now, depth = "", max(0, depth - 1)
+        elif not depth and part == ";":
+            out.append(now)
+            now = ""
+        elif not depth:
+            now = part
+    return ";".join([*out, now])
+
+
+def style_rules(styles: list[str]) -> Rules:
+    """Display and visibility by simple selector (tag, .class, #id)."""
+    out: Rules = {}
+    place = 0
     for css in styles:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-            if _GONE.search(body):
-                out |= {s.strip() for s in selectors.split(",") if re.fullmatch(r"\s*(?:[.#]?[-\w]+)\s*", s)}
+        # Blocks in blocks: what follows an at-rule is read after what is in it.
+        stack = [css_blocks(re.sub(r"/\*.*?(?:\*/|$)", "", css, flags=re.S).replace("<!--", "").replace("-->", ""))]
+        while stack:
+            before, body = next(stack[-1], (None, ""))
+            if before is None:
+                stack.pop()
+                continue
+            if m := _AT.match(before):
+                name, rest = m[1].lower(), m[2].strip()
+                if len(stack) <= TABLES and ((name == "media" and on_screen(rest)) or name == "layer" or (name == "supports" and not rest.lower().startswith("not"))):
+                    stack.append(css_blocks(body))
+                continue
+            declared = [(m[1].lower(), m[2].lower(), bool(m[3])) for m in _DECLARED.finditer(own_declarations(body))]
+            if not declared:
+                continue
+            for selector in (x.strip() for x in before.split(",")):
+                if _SIMPLE.fullmatch(selector):
+                    place += 1
+                    # Names of elements are in lower case here.
+                    own = out.setdefault(selector if selector[0] in ".#" else selector.lower(), {})
+                    for what, value, important in declared:
+                        if what not in own or important >= own[what][0]:
+                            own[what] = (important, place, value)
     return out
 
 
-def gone(node: Node, rules: set[str]) -> bool:
+def styled(node: Node, what: str, rules: Rules) -> str:
+    """The value of display or visibility that wins; empty if none is given."""
+    a, best = node.attrs, (False, -1, 0, "")
+    if "style" in a:
+        for m in _DECLARED.finditer(a["style"]):
+            if m[1].lower() == what:
+                best = max(best, (bool(m[3]), 3, m.start(), m[2].lower()))
+    if rules:
+        for rank, names in ((0, [node.tag]), (1, [f".{c}" for c in a.get("class", "").split()]), (2, [f"#{a['id']}"] if "id" in a else [])):
+            for name in names:
+                if what in rules.get(name, ()):
+                    important, place, value = rules[name][what]
+                    best = max(best, (important, rank, place, value))
+    return best[3]
+
+
+def seen(node: Node, rules: Rules, shown: bool) -> bool:
+    value = styled(node, "visibility", rules) if rules or "style" in node.attrs else ""
+    return False if value in ("hidden", "collapse") else True if value in ("visible", "initial") else shown
+
+
+def gone(node: Node, rules: Rules) -> bool:
     """Not laid out at all."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or _GONE.search(a.get("style", "")) or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return True
-    return bool(rules) and (node.tag in rules or any(f".{c}" in rules for c in a.get("class", "").split()) or f"#{a.get('id')}" in rules)
+    return bool(rules or "style" in a) and styled(node, "display", rules) == "none"
 
 
 class Page:
@@ -233,27 +346,46 @@ class Page:
         self.mark = ""
 
 
-def cells(table: Node, rules: set[str], depth: int, shown: bool) -> tuple[list[str], list[list[tuple[int, str]]]]:
-    """Texts of captions, and rows of (columns spanned, text)."""
-    captions, rows, todo = [], [], [n for n in reversed(table.below)]
+def spans(node: Node, name: str, least: int, most: int) -> int:
+    n = node.attrs.get(name, "1").strip()
+    return min(max(int(n), least), most) if n.isdecimal() and len(n) < 6 else 1
+
+
+def cells(table: Node, rules: Rules, depth: int, shown: bool) -> tuple[list[str], list[list[tuple[int, str]]]]:
+    """Texts of captions, and rows of (columns spanned, text); where a cell of an earlier row reaches down, the text is empty."""
+    captions, rows, todo = [], [], [(n, shown, False, table) for n in reversed(table.below)]
+    group, taken = table, {}  # taken: by column, the first row that the cell above leaves free
     while todo:
-        n = todo.pop()
+        n, shown, folded, of = todo.pop()
         if isinstance(n, str):
             if n.strip() and shown:
                 captions.append(_BLANK.sub(" ", n).strip())
             continue
         if gone(n, rules):
             continue
+        if n.tag in ("tbody", "thead", "tfoot", "tr"):
+            folded = folded or styled(n, "visibility", rules) == "collapse"
+            shown = seen(n, rules, shown)
         if n.tag in ("tbody", "thead", "tfoot"):
-            todo += reversed(n.below)
+            todo += [(x, shown, folded, n) for x in reversed(n.below)]
         elif n.tag == "tr":
-            row = []
+            if of is not group:
+                group, taken = of, {}
+            row, at, number = [], 0, len(rows)
             for c in n.below:
                 if isinstance(c, str):
                     captions += [_BLANK.sub(" ", c).strip()] if c.strip() and shown else []
                 elif not gone(c, rules):
-                    span = c.attrs.get("colspan", "1")
-                    row.append((min(max(int(span), 1), 1000) if span.isdecimal() and len(span) < 6 else 1, " ".join(" ".join(render(c, rules, depth + 1, shown)).split())))
+                    free = at
+                    while taken.get(free, 0) > number:
+                        free += 1
+                    if free > at:
+                        row.append((free - at, ""))
+                    across, down = spans(c, "colspan", 1, 1000), spans(c, "rowspan", 0, 65534)
+                    row.append((across, "" if folded else " ".join(" ".join(render(c, rules, depth + 1, shown)).split())))
+                    at = free + across
+                    if down != 1:
+                        taken |= dict.fromkeys(range(free, at), number + down if down else float("inf"))
             rows.append(row)
         elif n.tag not in ("col", "colgroup"):
             captions += render(n, rules, depth + 1, shown)
@@ -288,7 +420,7 @@ def table_lines(rows: list[list[tuple[int, str]]]) -> list[str]:
     return out
 
 
-def render(root: Node, rules: set[str], depth: int = 0, shown: bool = True) -> list[str]:
+def render(root: Node, rules: Rules, depth: int = 0, shown: bool = True) -> list[str]:
     out = Page()
     # (node, seen, preformatted, list counter) or a function to call when the element ends
     todo: list = [(root, shown, False, None)]
@@ -314,8 +446,7 @@ def render(root: Node, rules: set[str], depth: int = 0, shown: bool = True) -> l
         tag = node.tag
         if gone(node, rules) and node is not root:
             continue
-        if m := _SEEN.search(node.attrs.get("style", "")):
-            shown = m[1].lower() == "visible"
+        shown = seen(node, rules, shown)
         if tag == "br":
             if out.now:
                 out.end_line()
@@ -325,6 +456,8 @@ def render(root: Node, rules: set[str], depth: int = 0, shown: bool = True) -> l
         if tag == "hr":
             out.end_line(1)
             continue
+        if tag == "input" and shown and node.attrs.get("value", "").strip() and node.attrs.get("type", "").strip().lower() not in UNSHOWN_INPUTS:
+            out.word(f" {node.attrs['value']} ")
         if tag in VOID:
             continue
         blanks = 1 if tag in SPACED else 0
@@ -386,7 +519,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root, styles = parse(page.replace("\0", "�"))
-    return "\n".join(render(root, hidden_by_rules(styles))).replace("\xa0", " ").strip("\n")
+    return "\n".join(render(root, style_rules(styles))).replace("\xa0", " ").strip("\n")
 
 
 def texts(pages: DataFrame, column: str = "html", key: str = "page_id") -> DataFrame:

@@ -46,6 +46,34 @@ def test_layout(page, text):
     assert ht.extract(page) == text
 
 
+RULES = [
+    ("<style>@media print{.nav{display:none}}</style><p class=nav>x", "x"),
+    ("<style>@media (max-width: 600px){.nav{display:none} em{display:none}} .y{display:none}</style><p class=nav>x<em>e</em><p class=y>y", "xe"),
+    ("<style>@media screen and (min-width:50em){.nav{display:none}}</style><p class=nav>x<p>y", "y"),
+    ("<style>@media not print{.n{display:none}} @media only screen{.m{display:none}}</style><i class=n>x</i><i class=m>x</i>y", "y"),
+    ("<style>@import 'a{'; @font-face{font-family:a} @keyframes k{from{visibility:hidden}} .z{display:none}</style><p class=z>x</p><from>y", "y"),
+    ("<style>@supports (display:grid){@media all{.a{display:none}}} .b{display:none</style><p class=a>x<p class=b>x<p>y", "y"),
+    ("<style>.h{visibility:hidden} .v{visibility:visible}</style><p class=h>x<b class=v>y</b>", "y"),
+    ("<style>.x{display:none} .x{display:block}#i{display:none}.j{display:block}</style><p class=x>y<p id=i class=j>x", "y"),
+    ("<style>p{display:none}.i{display:none!important}</style><p style='display:block'>y<p class=i style='display:block'>x", "y"),
+    ("<style>.x::after{content:'}'} .c{content:'{';display:none}</style><p class=x>y<p class=c>x", "y"),
+    ("<style>.a{color:red;.b{.c{display:none}}} .b{x{};display:none;}</style><p class='a c'>y<p class=b>x", "y"),
+    ("<style>" + "@media all{" * 20000 + ".a{display:none}</style>y", "y"),
+    ("<table><tr style='visibility:hidden'><td>a<tr><td>b</table>", "b"),
+    ("<style>.h{visibility:hidden}</style><table><tbody class=h><tr><td>a<td style='visibility:visible'>b<tbody><tr><td>cc<td>d</table>", "    b\ncc  d"),
+    ("<table><tr style='visibility:collapse'><td style='visibility:visible'>a<tr><td>b</table>", "b"),
+    ("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table>", "aa  b\n    c\nd   e"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a  b  c\nd     e\nf  g"),
+    ("<table><tr><td rowspan=2 colspan=2>w<td>x<tr><td>y</table>", "w   x\n    y"),
+    ("a<input value='v w'>b<input type=submit value=Go><input type=password value=x><input type=checkbox value=x><input hidden value=x>", "a v w b Go"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), RULES)
+def test_rules_spans_and_inputs(page, text):
+    assert ht.extract(page) == text
+
+
 def test_deep_and_long_pages_end():
     assert ht.extract("<div>" * 50_000 + "x") == "x"
     assert ht.extract("<table><tr><td>" * 500 + "x") == "x"
