@@ -101,6 +101,37 @@ def test_nearest_point_and_line(spark):
     assert {r.cell_id: r.distance for r in proximity.nearest_line(pts, line, 3000.0).collect()} == {0: 0.0, 1: 120.0, 2: 500.0, 3: 3000.0}
 
 
+def test_whole_tables_against_brute_force(spark):
+    from terralith.plans import model, registry
+    from terralith.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    run = lambda name: registry.QUERIES[name](spark, sf).toPandas()
+    v = views.vertex(spark, sf).toPandas().sort_values(["line_id", "seq"])
+    v["x2"], v["y2"] = v.groupby("line_id").x.shift(-1), v.groupby("line_id").y.shift(-1)
+    seg = v.dropna()[["x", "y", "x2", "y2"]].to_numpy()
+    cell, got = views.cell(spark, sf).select("cell_id", "x", "y").toPandas(), run("nearest_line_dist_whole").set_index("cell_id").distance
+    a, d = seg[:, :2], seg[:, 2:] - seg[:, :2]
+    for r in cell.itertuples():
+        t = np.clip(np.nan_to_num(((np.array([r.x, r.y]) - a) * d).sum(1) / np.where((d**2).sum(1) > 0, (d**2).sum(1), 1)), 0, 1)
+        assert math.isclose(got[r.cell_id], min(800, np.hypot(*(a + t[:, None] * d - [r.x, r.y]).T).min(initial=800)), abs_tol=2e-6)
+    assert len(got) == len(cell) and (v.line_id % 10 != 3).any()
+
+    z = model.standardised(spark, sf).select("cell_id", "z").toPandas().set_index("cell_id").z
+    got = run("explain_gap_whole").set_index("cell_id")
+    assert sorted(got.index) == sorted(z.index) and (z.index >= 20).any()
+    for i, p in z.items():
+        gap = np.abs(np.array(p) - np.array(z[7]))
+        # Positions of explain count from 0.
+        assert list(got.closest[i]) == np.lexsort((np.arange(len(gap)), gap))[:3].tolist()
+        assert list(got.most_different[i]) == np.lexsort((np.arange(len(gap)), -gap))[:3].tolist()
+
+    t = views.read(spark, sf, "lineitem").toPandas()
+    want = t[t.l_quantity > 5].sort_values(["l_suppkey", "l_orderkey", "l_linenumber"]).groupby("l_partkey").l_quantity.first()
+    got = run("mosaic_first_valid_whole").set_index("pixel").v
+    assert len(got) == len(want) and (got.sort_index() == want.sort_index()).all() and (t.l_suppkey % 3 != 0).any()
+
+
 def test_own_points_do_not_count(spark):
     q = spark.createDataFrame([(0, 50.0, -50.0), (1, 150.0, -50.0)], "cell_id long, x double, y double")
     p = spark.createDataFrame([(0, 60.0, -50.0), (0, 5.0, -5.0)], "own long, x double, y double")
