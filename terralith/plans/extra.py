@@ -168,24 +168,25 @@ def pca_variance(spark, sf):
 
 @query()
 def rf_oof(spark, sf):
-    return learn.out_of_fold(learn.ranked_features(_training(spark, sf), _INPUTS), _INPUTS, "y", trees=20, depth=6, check=False)[0]
+    return learn.out_of_fold(learn.ranked_features(_training(spark, sf), _INPUTS), _INPUTS, "y", check=False)[0]
 
 
 @query()
 def rf_importance(spark, sf):
     t = _training(spark, sf)
-    _, fitted = learn.out_of_fold(t, _INPUTS, "y", trees=10, depth=5, check=False)
-    return learn.permutation_importance(t, _INPUTS, "y", fitted[:1], [0], repeats=1)
+    _, fitted = learn.out_of_fold(t, _INPUTS, "y", check=False)
+    folds = [r[0] for r in t.select("fold").distinct().orderBy("fold").collect()]
+    return learn.permutation_importance(t, _INPUTS, "y", fitted, folds)
 
 
 @query()
 def rf_ablation(spark, sf):
-    return learn.ablation(_training(spark, sf), {"scores": ("a", "b"), "terrain": ("elev", "size")}, _INPUTS, "y", check=False, trees=10, depth=5)
+    return learn.ablation(_training(spark, sf), {"scores": ("a", "b"), "terrain": ("elev", "size")}, _INPUTS, "y", check=False)
 
 
 @query()
 def rf_tune(spark, sf):
-    best = learn.tune(_training(spark, sf), _INPUTS, "y", (1, 20), ("sqrt",), trees=5, depth=4, check=False)
+    best = learn.tune(_training(spark, sf), _INPUTS, "y", (1, 5, 20), ("sqrt", "0.5"), check=False)
     return spark.createDataFrame([(best["leaf"], best["features"], best["auc"])], "leaf int, features string, auc double")
 
 
@@ -255,7 +256,7 @@ def cluster_profiles(spark, sf):
 
 @query()
 def k_scan(spark, sf):
-    rows = learn.k_scan(clustered(spark, sf), ["frac_built", "frac_crop"], (3, 4), starts=1, sample=300)
+    rows = learn.k_scan(clustered(spark, sf), FRACS[:5], range(3, 11))
     return spark.createDataFrame([(r["k"], r["method"], float(r["cost"]), float(r["silhouette"]), float(r["davies_bouldin"])) for r in rows], "k int, method string, cost double, silhouette double, davies_bouldin double")
 
 

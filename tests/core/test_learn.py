@@ -78,3 +78,32 @@ def test_shuffling_keeps_values(town):
 def test_ranked_features(town):
     r = learn.ranked_features(town, ["elev_mean"])
     assert r.agg(F.max("elev_mean")).first()[0] == 1.0 and r.count() == 240
+
+
+def test_queries_use_all_folds_and_default_settings(spark, monkeypatch):
+    from terralith.plans import extra
+
+    sf, seen = "/root/testdata/sf0.001", {}
+    folds = sorted(r[0] for r in extra._training(spark, sf).select("fold").distinct().collect())
+
+    def note(name, out=None):
+        def call(df, *args, **kw):
+            seen[name] = (args, kw)
+            return out
+
+        monkeypatch.setattr(learn, name, call)
+
+    models = [f"model {f}" for f in folds]
+    note("out_of_fold", ("scores", models))
+    note("permutation_importance")
+    note("ablation")
+    note("tune", {"leaf": 1, "features": "sqrt", "auc": 0.5})
+    note("k_scan", [{"k": 3, "method": "kmeans", "cost": 1, "silhouette": 1, "davies_bouldin": 1}])
+    reduced = {"trees", "depth", "repeats", "starts", "sample"}
+    extra.rf_importance(spark, sf)
+    assert len(folds) > 1 and seen["permutation_importance"][0][2:] == (models, folds)
+    for q in (extra.rf_oof, extra.rf_ablation, extra.rf_tune, extra.k_scan):
+        q(spark, sf)
+    assert len(seen) == 5 and not any(reduced & set(kw) for _, kw in seen.values())
+    assert seen["tune"][0][2:] == ((1, 5, 20), ("sqrt", "0.5"))
+    assert list(seen["k_scan"][0][1]) == list(range(3, 11)) and len(seen["k_scan"][0][0]) > 2
