@@ -6,8 +6,9 @@ repeated; its earliest holder is its source, with the coordinates (document,
 word position).  Repeated edges go back to their documents, where edges whose
 source coordinates run on together, which is a path that does not branch, are
 compacted to one span; a span covers its words.  Last, every span is verified
-at its source coordinates by a second, independent hash over its words, in a
-join of spans with source texts.  Should one fail, two windows have shared a
+at its source coordinates, in a join of spans with source texts: the words' own
+bytes are compared, through their 128-bit BLAKE2b digests, which have nothing in
+common with the fingerprints.  Should one fail, two windows have shared a
 fingerprint and the whole run is repeated with longer ones: the result is
 exact at every size.
 
@@ -34,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, saved
+from .common import documents, saved
 from .text import U64, flat, mix, pack, slices, tidy, unpack, window_hashes, word_bounds, word_hashes
 
 K = 13
 SLICE = 8 << 20
 #: Bytes of text that are worth a document group of their own; blobs number slices or buckets times groups.
-GROUP = 2 << 20
+GROUP = 8 << 20
 
 
 def _z():
@@ -281,6 +282,13 @@ def spans(pos, src, src_tag, src_pos) -> list[np.ndarray]:
     return [pos[at], src[at], src_tag[at], src_pos[at], np.diff(np.append(at, len(pos)))]
 
 
+def span_digests(words: list[bytes], start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of the words of each span, joined by one space, as two 64-bit integers."""
+    raw = b"".join(hashlib.blake2b(b" ".join(words[a : a + m]), digest_size=16).digest() for a, m in zip(start.tolist(), n.tolist(), strict=True))
+    both = np.frombuffer(raw, "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 OUT = "kind int, key int, doc_id long, n_words long, n_removed long, kept string, blob binary"
 
 
@@ -291,8 +299,7 @@ def removal(rows: DataFrame, k: int, groups: int, seed: int, digest: bool) -> Da
         unz = _z().ZstdDecompressor()
         raw = [unz.decompress(b) if b else b"" for _, b in items]
         data, offs = flat(pa.array(raw, pa.large_binary()))
-        s = Slice(data, offs, k, seed)
-        h2 = None
+        first, tags = word_bounds(data, offs)[2], tags_of(data, offs, seed)
         ids = [d for d, _ in items]
         out, asked = [], []
         for i, d in enumerate(ids):
@@ -301,16 +308,13 @@ def removal(rows: DataFrame, k: int, groups: int, seed: int, digest: bool) -> Da
             if d is not None and flags is not None:
                 lo, hi = np.searchsorted(flags[0], [d, d + 1])
             if hi > lo:
-                a, b = lo + np.searchsorted(flags[1][lo:hi], [s.tags[i], s.tags[i] + 1])
+                a, b = lo + np.searchsorted(flags[1][lo:hi], [tags[i], tags[i] + 1])
                 lo, hi = int(a), int(b)
             removed = 0
             if hi > lo:
-                if h2 is None:
-                    h2 = np.concatenate([[U64(0)], np.cumsum(s.windows(2) if len(s.words) >= k else np.zeros(0, U64), dtype=U64)])
                 pos = flags[2][lo:hi]
                 start, src, tag, at, n = spans(pos, *(x[lo:hi] for x in flags[3:]))
-                edge = s.first[i] + start
-                asked.append((np.full(len(start), d), src, tag, at, n, (h2[edge + n] - h2[edge]).view(np.int64)))
+                asked.append((np.full(len(start), d), src, tag, at, n + k - 1, *span_digests(words, start, n + k - 1)))
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + n + k - 1, -1)
@@ -318,7 +322,7 @@ def removal(rows: DataFrame, k: int, groups: int, seed: int, digest: bool) -> Da
                 removed = len(words) - int(keep.sum())
                 words = compress(words, keep.tolist())
             kept = b" ".join(words)
-            out.append((0, 0, d, int(s.first[i + 1] - s.first[i]), removed, hashlib.sha256(kept).hexdigest() if digest else kept.decode(), None))
+            out.append((0, 0, d, int(first[i + 1] - first[i]), removed, hashlib.sha256(kept).hexdigest() if digest else kept.decode(), None))
             if d is not None and sources is not None and len(sources) and sources[min(np.searchsorted(sources, d), len(sources) - 1)] == d:
                 out.append((2, int(group_of(np.array([d]), groups)[0]), d, None, None, None, items[i][1]))
         if asked:
@@ -379,7 +383,7 @@ def failures(done: DataFrame, k: int, seed: int) -> DataFrame:
                     held.append(blob)
                     continue
                 if held:
-                    asked = [np.concatenate(x) for x in zip(*(get(b, *["<i8"] * 6) for b in held), strict=True)]
+                    asked = [np.concatenate(x) for x in zip(*(get(b, *["<i8"] * 7) for b in held), strict=True)]
                     order = np.lexsort((asked[2], asked[1]))
                     asked, held, sought = [x[order] for x in asked], [], len(order)
                     seen = np.zeros(len(order), bool)
@@ -388,17 +392,15 @@ def failures(done: DataFrame, k: int, seed: int) -> DataFrame:
                 lo, hi = np.searchsorted(asked[1], [d, d + 1])
                 if hi <= lo:
                     continue
-                data, offs = flat(pa.array([unz.decompress(blob)], pa.large_binary()))
-                s = Slice(data, offs, k, seed)
-                mine = lo + np.flatnonzero(asked[2][lo:hi] == s.tags[0])
+                raw = unz.decompress(blob)
+                mine = lo + np.flatnonzero(asked[2][lo:hi] == tags_of(*flat(pa.array([raw], pa.large_binary())), seed)[0])
                 mine = mine[~seen[mine]]
-                if not len(mine) or len(s.words) < k:
+                if not len(mine):
                     continue
                 seen[mine] = True
                 sought -= len(mine)
-                h2 = np.concatenate([[U64(0)], np.cumsum(s.windows(2), dtype=U64)])
-                at, n = asked[3][mine], asked[4][mine]
-                ok = (h2[at + n] - h2[at]).view(np.int64) == asked[5][mine]
+                a, b = span_digests(raw.split(), asked[3][mine], asked[4][mine])
+                ok = (a == asked[5][mine]) & (b == asked[6][mine])
                 bad += asked[0][mine][~ok].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], ["doc_id"])
         if held or (asked is not None and sought):
@@ -415,9 +417,8 @@ def fingerprint_bytes(words: int, buckets: int) -> int:
 
 def deduplicate(docs: DataFrame, k: int = K, digest: bool = False, seed: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the kept words joined by one space, or their SHA-256 with ``digest``."""
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(8, min(partitions(spark), size // GROUP))
+    groups = max(8, size // GROUP)
     buckets = 2 * groups
     width = fingerprint_bytes(size // 6, buckets)
     while True:

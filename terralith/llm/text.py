@@ -9,6 +9,7 @@ size, never by the length of a document.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ except (OSError, AttributeError):  # another C library
     _libc = None
 #: Bytes of text handled at once by ``slices``.
 SLICE_BYTES = 3 << 20
-_SPAN = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes from which on a word is hashed on its own.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,28 +36,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def table(seed: int) -> np.ndarray:
-    """256 random 64-bit values, one for each byte value."""
-    with np.errstate(over="ignore"):
-        return mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed) * U64(0xD1342543DE82EF95))
-
-
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        up, down = np.full(n, _BASE, U64), np.full(n, pow(_BASE, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-    return _powers
-
-
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,25 +88,42 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def _seeded(seed: int) -> np.uint64:
+    with np.errstate(over="ignore"):
+        return mix(np.array([seed], U64) * U64(0xD1342543DE82EF95) + U64(0x9E3779B97F4A7C15))[0]
+
+
+#: By the number of bytes that a word has left, what of the next eight is its own.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word: polynomial over random byte values, then mixed."""
-    out = np.empty(len(starts), U64)
-    values = table(seed)
+    """A 64-bit hash of each word's bytes.
+
+    Up to ``LONG`` bytes are mixed in eight at a time, each time by a bijection of
+    the whole state, after the length; longer words are hashed by keyed BLAKE2b.
+    So no pattern of the bytes makes two words agree, only chance.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
     if lower:
-        values = values[LOWER]
-    i = 0
+        data = LOWER[data]
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
     with np.errstate(over="ignore"):
-        while i < len(starts):
-            a = starts[i]
-            j = max(i + 1, int(np.searchsorted(ends, a + _SPAN, "right")))
-            b = ends[j - 1]
-            up, down = _power_tables(int(b - a) + 1)
-            sums = np.zeros(b - a + 1, U64)
-            np.cumsum(values[data[a:b]] * up[: b - a], dtype=U64, out=sums[1:])
-            s, e = starts[i:j] - a, ends[i:j] - a
-            out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U64)
-            i = j
-        return mix(out)
+        key = _seeded(seed)
+        out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) ^ key)
+        at = None
+        for k in range(0, min(int(size.max()), LONG), 8):
+            at = np.flatnonzero((size > k) & (size <= LONG)) if k else (np.flatnonzero(size <= LONG) if size.max() > LONG else slice(None))
+            out[at] = mix((out[at] ^ (eight[starts[at] + k] & _OWN[np.minimum(size[at] - k, 8)])) + key)
+    raw = None
+    for i in np.flatnonzero(size > LONG).tolist():
+        raw = raw if raw is not None else memoryview(data)
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, key=int(key).to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 def window_hashes(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
@@ -132,11 +132,9 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, U64)
     with np.errstate(over="ignore"):
-        factor = U64((0xD6E8FEB86659FD93 * (2 * seed + 1)) % (1 << 64) | 1)
-        out, f = np.zeros(n, U64), U64(1)
-        for j in range(k):
-            out += words[j : j + n] * f
-            f = f * factor
+        out = np.zeros(n, U64)
+        for j in range(k):  # an odd factor of its own for each place: powers of one would cancel in patterns
+            out += words[j : j + n] * (_seeded(seed * 1_000_003 + j) | U64(1))
         return mix(out)
 
 

@@ -33,3 +33,22 @@ def rows(n=60, seed=3):
 
 def table(spark, n=60, seed=3):
     return spark.createDataFrame(rows(n, seed), SCHEMA).repartition(3)
+
+
+def alternating(n, swap=False):
+    """A word of n bytes, n a power of two, whose two swaps of a and b agree under every polynomial hash modulo 2**64 from 1 kB on."""
+    s = "b" if swap else "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def look_alikes():
+    """Documents of such words: none shares a window of 13 words, and no pair is nearer than 8 shingles of 14."""
+    out = []
+    for i, n in enumerate((1024, 2048, 4096)):
+        for swap in (False, True):
+            words = [alternating(n, swap) if k in (6,) else f"w{i}x{k}" for k in range(13)]
+            out.append((10 * i + swap, " ".join(words), "en", "s", 0, 0, ""))
+    out.append((103, "unseen " + alternating(2048, True) + " end", "en", "s", 0, 0, ""))
+    return out

@@ -5,7 +5,7 @@ import pytest
 
 from terralith.llm import jaccard_join as jj
 
-from .cases import SCHEMA, rows, table
+from .cases import SCHEMA, look_alikes, rows, table
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -110,3 +110,9 @@ def test_representatives_and_empty_table(spark):
     keep = {d for d, _, c in brute(rows(), 5, 80) if d == c}
     assert {r.doc_id for r in got.collect()} == keep | {None}
     assert jj.classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    got = jj.classes(spark.createDataFrame(look_alikes(), SCHEMA), 3, 90)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(look_alikes(), 3, 90)
+    assert all(r.component_id == r.doc_id for r in got.collect())

@@ -1,11 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from terralith.llm import substring_dedup as sd
 
-from .cases import SCHEMA, rows, table
+from .cases import SCHEMA, alternating, look_alikes, rows, table
 
 
 def brute(data, k):
@@ -77,3 +78,16 @@ def test_digest_and_empty_table(spark):
     want = {(d, hashlib.sha256(t.encode()).hexdigest()) for d, _, _, t in brute(rows(), 13)}
     assert {(r.doc_id, r.kept) for r in sd.deduplicate(table(spark), digest=True).collect()} == want
     assert sd.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    got = sd.deduplicate(spark.createDataFrame(look_alikes(), SCHEMA))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(look_alikes(), 13)
+    assert all(r.n_removed == 0 for r in got.collect())
+
+
+def test_spans_are_compared_by_their_bytes():
+    a, b = (sd.span_digests([alternating(1024, swap).encode(), b"x", b"y z"[:1]], np.array([0, 1]), np.array([3, 2])) for swap in (False, True))
+    assert (a[0][0], a[1][0]) != (b[0][0], b[1][0]) and (a[0][1], a[1][1]) == (b[0][1], b[1][1])
+    joined = hashlib.blake2b(b"x y", digest_size=16).digest()
+    assert (int(a[0][1]), int(a[1][1])) == tuple(int.from_bytes(joined[i : i + 8], "little", signed=True) for i in (0, 8))
