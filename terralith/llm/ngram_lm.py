@@ -1,564 +1,440 @@
-"""Scores texts with an interpolated modified Kneser-Ney n-gram model.
-
-A text is its words, lower-cased in A-Z, each followed by a blank, and one end
-mark; that is one to one with its tokens.  The model predicts these bytes, each
-from the ``order - 1`` before it, across word ends: so it is a proper model
-of the tokens that needs no unknown word, and the number of its n-grams levels
-off, where word n-grams grow with the corpus beyond what a worker can map.
-
-1. Spark counts the n-grams of the highest order in the training texts: sorted
-   unique keys a slice, summed in shards by the last two bytes of the context.  All
-   that an n-gram of three bytes or more needs lies in its shard: its context's other
-   n-grams and its own shorter forms.
-2. Each shard derives its lower orders (continuation counts); the driver adds up their
-   counts of counts for the discounts, and estimates the orders of one and two bytes.
-   Then each shard interpolates its probabilities, and stores each order as an array
-   of hashes, sorted, with its probabilities and weights.  None is left out, whatever their
-   number; the driver writes the shards into one file a shard at a time.
-   With ``most`` n-grams of the lowest counts are left out of an order: totals and discounts
-   are still those of all, and the mass left out goes to the lower orders.
-3. The file goes to the shared folder and by ``SparkContext.addFile`` to every
-   executor, whose workers map it into memory.
-4. The unigram baseline needs each word's exact training count.  Slices of input
-   send their distinct words to buckets, get back the counts in the same order, and
-   sum them by document: the vocabulary is never in one place.
-
-Results in unusual cases: null and empty texts are one end mark; a null doc_id
+"""Scores texts with an interpolated modified Kneser-Ney n-gram model over words.
+
+A text is its words, lower-cased in A-Z, and one end; ``order - 1`` start marks
+stand before it.  A word's probability is
+``(c - D(c)) / C + g * p'`` at each order, with the discounts D of counts 1, 2 and
+3 or more, the context's total C, its share g of all that is discounted, and p'
+of the next lower order; below the words' own distribution all known words and one
+unknown one are alike.  The highest order counts n-grams, lower ones the distinct
+words before them.
+
+1. Slices of the training texts send their distinct n-grams, with counts, to the
+   shard of the context's hash.  A shard adds them up, sends what its types say
+   of the next lower order to that order's shards, and is saved in the shared
+   folder: sorted hashes of contexts, sorted hashes of n-grams (the number of the context
+   above the hash of the last word) and counts.  Discounts come from sums over shards.
+2. A slice that is scored asks the shards for its distinct n-grams.  A worker that has a
+   shard's questions maps the shard's arrays into memory and finds them by binary search.
+   Answers go back to the slice's texts in the order of the questions, and the
+   slice interpolates.  The unigram baseline is answered beside it, from exact counts.
+
+Nothing is cut off, the model grows with the corpus, and no worker holds more of it than a
+shard: shards are of bounded size and as many as the corpus needs.  A context that a
+third of all texts hold has as many n-grams as words follow it, since slices send
+distinct ones.
+
+Words are told apart by 64 bits of a hash in the baseline and by 48 in n-grams, where two words
+would have to agree after the same context.
+
+Results in unusual cases: null and empty texts are one end; a null doc_id
 counts as crc32 0, in training; rows that repeat a doc_id are rows of their own;
-without training texts every probability is uniform; an empty table gives no
-rows; other columns are ignored.
+without training texts every probability is 1, that of the one unknown word; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
+import gc
+import hashlib
 import tempfile
-import uuid
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, saved, shared_folder
-from .substring_dedup import _rows, _split, bucket_of, get, put
-from .text import LOWER, U64, flat, mix, pack, slices, tidy, unpack, word_bounds, word_hashes
+from .common import documents, saved
+from .substring_dedup import _split, bucket_of, get, put
+from .text import U64, flat, mix, pack, slices, tidy, unpack, word_bounds, word_hashes
 from .toxicity import remainder
 
-ORDER = 6
-SLICE = 8 << 20
-#: Bytes of text whose n-grams are in memory at once: about 60 bytes each.
-PIECE = 3 << 20
+ORDER = 2
+#: Bytes of text in a slice, and bytes of text whose n-grams a shard holds.
+SLICE = 6 << 20
+SHARD = 12 << 20
 HELD_OUT, REMAINDER = 7, 2
-END = 10  # a byte that no word holds
-_END_WORD = mix(np.array([0xE0D], U64))[0]
-
-
-def stream(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes that the model reads, and where each text's own bytes start (one more at the end).
-
-    Before each text stand order - 1 end marks.
-    """
-    n_rows, pad = len(first) - 1, order - 1
-    size = ends - starts
-    row = np.repeat(np.arange(n_rows), np.diff(first))
-    # Where each word goes: words and blanks before it, and pads and end marks of the texts so far.
-    before = np.concatenate([[0], np.cumsum(size + 1)])
-    at = before[:-1] + (row + 1) * pad + row
-    out = np.full(before[-1] + n_rows * (pad + 1), END, np.uint8)
-    out[np.repeat(at - before[:-1] + np.arange(len(at)), size) + np.arange(size.sum())] = LOWER[data][np.repeat(starts - before[:-1] + np.arange(len(at)), size) + np.arange(size.sum())]
-    out[at + size] = 32
-    texts = before[first] + np.arange(n_rows + 1) * (pad + 1) + pad
-    return out, texts
-
-
-def grams(text: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at each byte but the first order - 1, as an integer."""
-    n = max(0, len(text) - order + 1)
-    out = np.zeros(n, U64)
-    for j in range(order):
-        out = (out << U64(8)) | text[j : j + n]
-    return out
-
-
-def own_grams(text: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that predict texts' own bytes (not the pads), and each text's first (one more at the end)."""
-    length = np.diff(starts) - (order - 1)
-    at = np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-    return grams(text, order)[at - (order - 1)], np.concatenate([[0], np.cumsum(length)])
-
-
-def shard_of(contexts: np.ndarray, shards: int) -> np.ndarray:
-    """By the last two bytes."""
-    return bucket_of(mix((contexts & U64(0xFFFF)) + U64(1)), shards)
+START, END = (int(mix(np.array([x], U64))[0]) for x in (0x57A7, 0xE0D))
+#: Bytes of a word's hash in n-grams.
+WIDTH = 6
+UPPER = U64(((1 << 8 * WIDTH) - 1) << (64 - 8 * WIDTH))
+GRAMS, WORDS, TEXT, ANSWER, MODEL = range(5)
+SCHEMA = "level int, key long, kind int, who long, blob binary"
+
+
+class Slice:
+    """The n-grams of the texts of one slice, distinct ones sorted by the hashes of context and word."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, order: int):
+        starts, ends, first = word_bounds(data, offs)
+        n = np.diff(first)
+        rows = len(n)
+        self.n, self.order = n + 1, order
+        # Start marks, words and the end of each text one after another.
+        self.row = np.repeat(np.arange(rows, dtype=np.int32), self.n)
+        begin = np.cumsum(n + order) - (n + order)
+        words = np.full(int((n + order).sum()), START, U64)
+        words[np.repeat(begin + order - 1 - first[:-1], n) + np.arange(len(starts))] = word_hashes(data, starts, ends, lower=True)
+        words[begin + order - 1 + n] = END
+        self.words = words
+        self.at = np.repeat(begin + order - 1 - (np.cumsum(self.n) - self.n), self.n) + np.arange(len(self.row))
+        self.types, self.number = np.unique(words[self.at], return_inverse=True)
+
+    def contexts(self, k: int) -> np.ndarray:
+        """Hashes of the k - 1 words before each word and end; below the highest order their upper bits, as shards send them on."""
+        own = ~U64(0) if k == self.order else UPPER
+        if k == 2:
+            return self.words[self.at - 1] & own
+        with np.errstate(over="ignore"):
+            h = np.full(len(self.at), k, U64)
+            for j in range(k - 1, 0, -1):
+                h = mix(h * U64(0x9E3779B97F4A7C15) ^ self.words[self.at - j])
+        return h & own
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts; numbers of context and word of each distinct n-gram; and the n-gram at each word and end."""
+        contexts, of = np.unique(self.contexts(k), return_inverse=True)
+        types, which = np.unique(of.astype(np.int64) * len(self.types) + self.number, return_inverse=True)
+        return contexts, types // len(self.types), types % len(self.types), which
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["level", "key", "kind", "who", "blob"])
+
+
+def packed_grams(contexts: np.ndarray, of: np.ndarray, last: np.ndarray, counts: np.ndarray | None, lower: list[np.ndarray]) -> bytes:
+    """contexts: sorted; of: each n-gram's, sorted; last: hashes of last words; lower: hashes of its shorter contexts, longest first."""
+    n = np.bincount(of, minlength=len(contexts)).astype("<u4")
+    head = put(contexts, n, np.zeros(0, "<i8") if counts is None else counts.astype("<i8"))
+    return head + b"".join(pack(x >> U64(64 - 8 * WIDTH), WIDTH) for x in (last, *lower)) + np.array([len(of), len(lower)], "<u8").tobytes()
+
+
+def unpacked_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Contexts, n-grams of each, hashes of last words, counts, shorter contexts; hashes in their upper bits."""
+    size, more = (int(x) for x in np.frombuffer(blob[-16:], "<u8"))
+    cut = len(blob) - 16 - size * WIDTH * (1 + more)
+    contexts, n, counts = get(blob[:cut], "<u8", "<u4", "<i8")
+    parts = [unpack(blob[cut + i * size * WIDTH : cut + (i + 1) * size * WIDTH], WIDTH) << U64(64 - 8 * WIDTH) for i in range(1 + more)]
+    return contexts, n, parts[0], counts, parts[1:]
+
+
+def gram_keys(of: np.ndarray, last: np.ndarray, contexts: int) -> np.ndarray:
+    """The number of the context above as many bits of the word's hash as there is room for."""
+    bits = U64(max(1, int(contexts).bit_length()))
+    return (of.astype(U64) << (U64(64) - bits)) | (last >> bits)
+
+
+def emitted(parts: Iterator[tuple[int, np.ndarray]], level: int, who: int, contexts, of, last, counts, lower, kind: int = GRAMS) -> list[tuple]:
+    """Rows of n-grams by the shard of their context; parts: shards with the places of their contexts, which follow one another."""
+    rows = []
+    for b, at in parts:
+        a, z = np.searchsorted(of, [at[0], at[-1] + 1])
+        rows.append((level, b, kind, who, packed_grams(contexts[at[0] : at[-1] + 1], of[a:z] - at[0], last[a:z], None if counts is None else counts[a:z], [x[a:z] for x in lower])))
+    return rows
 
 
 def counted(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """key, kind, blob: a shard, its number of n-grams of the training texts, and these with their counts, packed."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", PIECE):
-            data, offs = flat(batch.column("text"))
-            starts, ends, first = word_bounds(data, offs)
-            text, at = stream(data, starts, ends, first, order)
-            keys, n = np.unique(own_grams(text, at, order)[0], return_counts=True)
-            for b, at in _split(shard_of(keys >> U64(8), shards)):
-                yield _rows([(b, 0, put(np.diff(keys[at], prepend=U64(0)), n[at].astype("<u4")))])
+    """Level ``order``: distinct n-grams of slices of the training texts; level 1: their distinct words; with counts, by shard."""
 
-    training = docs.where(remainder(F.col("doc_id"), HELD_OUT) != REMAINDER).select("text")
-    return summed(training.mapInArrow(emit, "key int, kind int, blob binary"))
-
-
-def summed(parts: DataFrame) -> DataFrame:
-    """Packed keys and counts, added up by shard; kind is the number of keys."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def total(shard, blobs):
-            keys, n = (np.concatenate(x) for x in zip(*((np.cumsum(k, dtype=U64), c) for k, c in (get(b, "<u8", "<u4") for b in blobs)), strict=True))
-            keys, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, n).astype(np.int64)
-            return _rows([(shard, len(keys), put(np.diff(keys, prepend=U64(0)), n))])
-
-        key, held = None, []
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if k != key and held:
-                    yield total(key, held)
-                    held = []
-                key = k
-                held.append(blob)
-        if held:
-            yield total(key, held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            s = Slice(*flat(batch.column("text")), order)
+            n = np.bincount(s.number, minlength=len(s.types))
+            rows = [(1, b, WORDS, 0, put(s.types[at], n[at].astype("<i8"))) for b, at in _split(bucket_of(s.types, shards))]
+            contexts, of, word, which = s.grams(order)
+            lower = []
+            if order > 2:
+                place = np.empty(len(of), np.int64)
+                place[which] = np.arange(len(which))
+                lower = [s.contexts(k)[place] for k in range(order - 1, 1, -1)]
+            rows += emitted(_split(bucket_of(contexts, shards)), order, 0, contexts, of, s.types[word], np.bincount(which), lower)
+            yield batch_of(rows)
         tidy()
 
-    schema = "key int, kind int, blob binary"
-    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(add, schema)
+    training = docs.where(remainder(F.col("doc_id"), HELD_OUT) != REMAINDER).select("text")
+    return training.mapInArrow(run, SCHEMA)
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list[tuple]]:
+    """The rows (level, key, kind, who, blob) of each value of a column that they are sorted by."""
+    now, held = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("level", "key", "kind", "who", "blob")]
+        for value, *row in zip(columns[("level", "key", "kind", "who").index(by)], *columns, strict=True):
+            if value != now and held:
+                yield held
+                held = []
+            now = value
+            held.append(tuple(row))
+    if held:
+        yield held
+
+
+def counts_of_counts(n: np.ndarray) -> list[int]:
+    return [int((n == c).sum()) for c in (1, 2, 3, 4)]
+
+
+def sum_grams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Contexts; each distinct n-gram's key, context, hash of the last word, count and shorter contexts."""
+    parts = [unpacked_grams(b) for b in blobs]
+    contexts, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    of = np.repeat(of, np.concatenate([p[1] for p in parts]))
+    last = np.concatenate([p[2] for p in parts])
+    keys, at, which = np.unique(gram_keys(of, last, len(contexts)), return_index=True, return_inverse=True)
+    n = np.bincount(which, np.concatenate([p[3] for p in parts]), minlength=len(keys)).astype(np.int64)
+    return contexts, keys, of[at], last[at], n, [np.concatenate([p[4][i] for p in parts])[at] for i in range(len(parts[0][4]))]
+
+
+def summed(parts: DataFrame, level: int, shards: int) -> DataFrame:
+    """Kind MODEL: the level's shards; GRAMS: what they say of the next lower level; ``stats``: counts of counts, total and types, of words too."""
+
+    def one(rows: list[tuple]) -> tuple[list[tuple], list[list[int]]]:
+        key = rows[0][1]
+        if level == 1:
+            more = [get(blob, "<u8", "<i8") for _, _, kind, _, blob in rows if kind == GRAMS]
+            raw = [get(blob, "<u8", "<i8") for _, _, kind, _, blob in rows if kind == WORDS]
+            arrays, stats = [], []
+            for found in (more, raw):
+                hashes, which = np.unique(np.concatenate([np.zeros(0, "<u8"), *(x[0] for x in found)]), return_inverse=True)
+                n = np.bincount(which, np.concatenate([np.zeros(0, "<i8"), *(x[1] for x in found)]), minlength=len(hashes)).astype("<i8")
+                arrays += [hashes, n]
+                stats += [*counts_of_counts(n), int(n.sum()), len(n)]
+            return [(1, key, MODEL, 0, put(*arrays))], [stats]
+        contexts, keys, of, last, n, lower = sum_grams([r[4] for r in rows])
+        out = [(level, key, MODEL, 0, put(contexts, keys, n.astype("<i8")))]
+        if level == 2:  # of unigrams
+            words, which = np.unique(last, return_inverse=True)
+            more = np.bincount(which).astype("<i8")
+            out += [(1, b, GRAMS, 0, put(words[at], more[at])) for b, at in _split(bucket_of(words, shards))]
+        else:
+            short, of_short = np.unique(lower[0], return_inverse=True)
+            order = np.lexsort((last, of_short))
+            o, w = of_short[order], last[order]
+            new = np.ones(len(o), bool)
+            new[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
+            at = np.flatnonzero(new)
+            out += emitted(_split(bucket_of(short, shards)), level - 1, 0, short, o[at], w[at], np.diff(np.append(at, len(o))), [x[order][at] for x in lower[1:]])
+        return out, [[*counts_of_counts(n), int(n.sum()), len(n), *[0] * 6]]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, "key"):
+            out, stats = one(rows)
+            batch = batch_of(out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stats + [None] * (len(out) - 1), pa.list_(pa.int64()))], [*batch.schema.names, "stats"])
+            tidy()
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Of counts 1, 2 and 3 or more, from the counts of counts."""
-    return discounts_of(np.array([(counts == k).sum() for k in (1, 2, 3, 4)], float))
+    return parts.where(F.col("level") == level).repartition("key").sortWithinPartitions("key").mapInArrow(run, SCHEMA + ", stats array<long>")
 
 
 def discounts_of(n: np.ndarray) -> np.ndarray:
+    """Of counts 1, 2 and 3 or more, from the counts of counts 1 to 4."""
+    n = np.asarray(n, float)
     if not (n > 0).all():
         return np.array([0.5, 0.5, 0.5])
     y = n[0] / (n[0] + 2 * n[1])
     return np.clip([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0.05, [0.95, 1.95, 2.95])
 
 
-class Table:
-    """Keys as sorted hashes, found by their shard and the top bits of the hash; each with one number.
-
-    The top bits name a slot of a few entries, of which the next 32 bits are kept.
-    shape: the longest slot, by how many bits a key is shifted for its context, each
-    shard's number of top bits, and each shard's number of entries.
-    """
-
-    def __init__(self, hashes: np.ndarray, values: np.ndarray, first: np.ndarray, shape: np.ndarray):
-        self.hashes, self.values, self.first, self.shape = hashes, values, first, np.asarray(shape, np.int64)
-        self.longest, self.shift = int(self.shape[0]), U64(self.shape[1])
-        bits, sizes = self.shape[2:].reshape(2, -1)
-        shard = shard_of(np.arange(1 << 16, dtype=U64), len(bits))
-        # By the last two bytes of the context.
-        self.bits = bits[shard].astype(U64)
-        self.slots = (np.cumsum((1 << bits) + 1) - (1 << bits) - 1)[shard]
-        self.starts = (np.cumsum(sizes) - sizes)[shard]
-
-    @staticmethod
-    def bits_for(n: int) -> int:
-        return max(1, min(24, n.bit_length() - 1))
-
-    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slots, the bits kept, and where the entries of the shard start."""
-        h = mix(keys + U64(1))
-        of = ((keys >> self.shift) & U64(0xFFFF)).astype(np.int64)
-        bits = self.bits[of]
-        return self.slots[of] + (h >> (U64(64) - bits)).astype(np.int64), ((h >> (U64(32) - bits)) & U64(0xFFFFFFFF)).astype(np.uint32), self.starts[of]
-
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray, shift: int) -> Table:
-        """A table of one shard."""
-        bits = cls.bits_for(len(keys))
-        shape = np.array([0, shift, bits, len(keys)])
-        slot, rest, _ = cls(np.zeros(0, np.uint32), np.zeros(0, np.float32), np.zeros((1 << bits) + 1, np.int32), shape).split(keys)
-        order = np.lexsort((rest, slot))
-        first = np.searchsorted(slot[order], np.arange((1 << bits) + 1)).astype(np.int32)
-        shape[0] = np.diff(first).max(initial=0)
-        return cls(rest[order], values[order].astype(np.float32), first, shape)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the keys and which were found."""
-        slot, rest, start = self.split(keys)
-        at, stop = start + self.first[slot], start + self.first[slot + 1]
-        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-        left = np.flatnonzero(at < stop)
-        for step in range(self.longest):
-            if not len(left):
-                break
-            here = at[left] + step
-            same = self.hashes[here] == rest[left]
-            hit = left[same]
-            out[hit], found[hit] = self.values[here[same]], True
-            left = left[~same]
-            left = left[at[left] + step + 1 < stop[left]]
-        return out, found
-
-
-def shorter(keys: np.ndarray, counts: np.ndarray, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Distinct n-grams of each order down to ``least``, sorted, with their counts; below the highest those of continuations."""
-    types = {order: (keys, counts)}
-    for k in range(order - 1, least - 1, -1):
-        types[k] = np.unique(types[k + 1][0] & U64((1 << 8 * k) - 1), return_counts=True)
-    return types
-
-
-def level(key: np.ndarray, n: np.ndarray, d: np.ndarray, below: tuple[np.ndarray, np.ndarray], k: int, cut: int = 0) -> tuple[np.ndarray, Table, Table]:
-    """Probabilities of all n-grams of an order, and the tables without those of counts up to ``cut``.
-
-    below: n-grams of the next lower order, sorted, with their probabilities.
-    """
-    take = np.where(n > cut, d[np.minimum(n, 3) - 1], n)  # what is left out goes to the lower order as a whole
-    context = key >> U64(8)
-    new = np.ones(len(key), bool)
-    new[1:] = context[1:] != context[:-1]
-    at = np.flatnonzero(new)
-    total = np.add.reduceat(n, at).astype(float) if len(at) else np.zeros(0)
-    weight = np.add.reduceat(take, at) / total if len(at) else np.zeros(0)
-    of = np.cumsum(new) - 1
-    lower = below[1][np.searchsorted(below[0], key & U64((1 << 8 * (k - 1)) - 1) if k > 1 else key)]
-    p = (n - take) / total[of] + weight[of] * lower
-    kept = n > cut
-    some = np.unique(of[kept])  # a context without n-grams has the weight 1, as one that is not found
-    return p, Table.of(key[kept], np.log10(p[kept]), 8), Table.of(context[at][some], np.log10(weight[some]), 0)
-
-
-def estimate(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[Table, Table]]:
-    """For orders 1 to ``order``: log10 probabilities of n-grams, and log10 weights of the lower order by context.
-
-    keys: distinct n-grams of the highest order, sorted.
-    """
-    return _estimate(keys, counts, order)[0]
-
-
-def _estimate(keys: np.ndarray, counts: np.ndarray, order: int) -> tuple[list[tuple[Table, Table]], np.ndarray]:
-    types = shorter(keys, counts, order, 1)
-    out: list[tuple[Table, Table]] = []
-    below = (np.arange(256, dtype=U64), np.full(256, 1 / 256))
-    for k in range(1, order + 1):
-        key, n = types[k]
-        p, *tables = level(key, n, discounts(n), below, k)
-        out.append(tuple(tables))
-        below = (key, p)
-    return out, below[1]
-
-
-def log_probabilities(model: list[tuple[Table, Table]], grams_: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each n-gram's last byte."""
-    out = np.zeros(len(grams_))
-    left = np.arange(len(grams_))
-    for k in range(len(model), 0, -1):
-        g = grams_[left] & U64((1 << 8 * k) - 1)
-        p, found = model[k - 1][0].find(g)
-        out[left[found]] += p[found]
-        left, g = left[~found], g[~found]
-        if not len(left):
-            return out
-        w, known = model[k - 1][1].find(g >> U64(8))
-        out[left[known]] += w[known]
-    out[left] += np.log10(1 / 256)
-    return out
-
-
-def store(model: list[tuple[Table, Table]], path: str) -> None:
-    """Little-endian arrays one after another; their places in the first bytes."""
-    arrays = [a for pair in model for t in pair for a in (t.hashes.astype("<u4"), t.values.astype("<f4"), t.first.astype("<i4"), t.shape.astype("<i8"))]
-    with open(path, "wb") as f:
-        head = np.array([len(arrays), *[a.nbytes for a in arrays]], "<u8").tobytes()
-        f.write(head)
-        for a in arrays:
-            f.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
-
-
-def load(path: str) -> list[tuple[Table, Table]]:
-    raw = np.memmap(path, np.uint8, "r")
-    n = int(raw[:8].view("<u8")[0])
-    sizes = raw[8 : 8 * (n + 1)].view("<u8").astype(np.int64)
-    at, parts = 8 * (n + 1), []
-    for i, size in enumerate(sizes):
-        parts.append(raw[at : at + size].view(("<u4", "<f4", "<i4", "<i8")[i % 4]))
-        at += size + -size % 8
-    tables = [Table(*parts[i : i + 4]) for i in range(0, n, 4)]
-    return [(tables[i], tables[i + 1]) for i in range(0, len(tables), 2)]
-
-
-def share(spark, local: str) -> str:
-    """Moves the file of the model to the shared folder and gives it to every executor; returns its name there."""
-    name = os.path.basename(local)
-    folder = shared_folder(spark)
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(f"{folder}/models/{name}")
-    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{local}"), to)
-    os.rmdir(os.path.dirname(local))
-    spark.sparkContext.addFile(fs.makeQualified(to).toString())
-    return name
-
-
-_mapped: dict[str, list] = {}
+@dataclass
+class Model:
+    """shards: rows of kind MODEL by level; discounts by level; of unigrams the total and the share discounted; N and V of the baseline."""
+
+    order: int
+    n_shards: int
+    shards: DataFrame
+    discounts: dict[int, np.ndarray]
+    unigrams: int
+    spare: float
+    tokens: int
+    types: int
+
+
+def release() -> None:
+    """Lets Spark's cleaner drop shuffle files that nothing refers to any more; else they stay until the driver's heap is full."""
+    from pyspark import SparkContext
+
+    gc.collect()
+    if SparkContext._active_spark_context is not None:
+        SparkContext._active_spark_context._jvm.System.gc()
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """The model of the training texts, its shards in the shared folder."""
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(4, size // SHARD)
+    parts = counted(docs, order, shards)
+    words = parts.where("level = 1")
+    made, stats, below = [], {}, parts
+    for level in range(order, 0, -1):
+        found = saved(summed(below.unionByName(words) if level == 1 else below, level, shards))
+        sums = found.agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(12)]).first()
+        stats[level] = list(sums)
+        made.append(found.where(F.col("kind") == MODEL).drop("stats"))
+        below = found.where(F.col("kind") == GRAMS).drop("stats")
+        release()
+    shards_of = made[0]
+    for m in made[1:]:
+        shards_of = shards_of.unionByName(m)
+    d = {k: discounts_of(s[:4]) for k, s in stats.items()}
+    one = stats[1]
+    many = one[5] - one[0] - one[1]
+    spare = float(d[1] @ [one[0], one[1], many]) / one[4] if one[4] else 1.0
+    return Model(order, shards, shards_of, d, one[4], spare, one[10], one[11])
+
+
+def slice_id(batch: pa.RecordBatch, data: np.ndarray) -> int:
+    h = hashlib.blake2b(data, digest_size=8)
+    h.update(repr(batch.column("doc_id").to_pylist()).encode() + repr(np.diff(flat(batch.column("text"))[1]).tolist()).encode())
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def asked(docs: DataFrame, order: int, shards: int) -> DataFrame:
+    """Distinct n-grams of every order and words of each slice, by shard."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            data, offs = flat(batch.column("text"))
+            who = slice_id(batch, data)
+            s = Slice(data, offs, order)
+            yield batch_of([(1, b, WORDS, who, put(s.types[at])) for b, at in _split(bucket_of(s.types, shards))])
+            for k in range(2, order + 1):
+                contexts, of, word, _ = s.grams(k)
+                yield batch_of(emitted(_split(bucket_of(contexts, shards)), k, who, contexts, of, s.types[word], None, []))
+        tidy()
 
-def mapped(name: str) -> list[tuple[Table, Table]]:
-    if name not in _mapped:
-        from pyspark import SparkFiles
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
-        _mapped.clear()
-        _mapped[name] = load(SparkFiles.get(name))
-    return _mapped[name]
 
+def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """The arrays in a file without a name, mapped into memory: the system drops pages that a worker does not use."""
+    with tempfile.TemporaryFile() as f:
+        for a in arrays:
+            f.write(a.tobytes() + b"\0" * 8)
+        f.flush()
+        out, at = [], 0
+        for a in arrays:
+            out.append(np.memmap(f, a.dtype, "r", at, (len(a),)) if len(a) else a)
+            at += a.nbytes + 8
+    return out
 
-def unpacked(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams and their counts, on the driver: of two bytes at most."""
-    keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for r in found.select("blob").toLocalIterator():
-        k, n = get(r.blob, "<u8", "<i8")
-        keys.append(np.cumsum(k, dtype=U64))
-        counts.append(n)
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    at = np.argsort(keys)
-    return keys[at], counts[at]
 
+def found(table: np.ndarray, values: np.ndarray, asked_: np.ndarray) -> np.ndarray:
+    """The values of the hashes asked for, 0 where the sorted table lacks them."""
+    if not len(table):
+        return np.zeros(len(asked_), np.int64)
+    at = np.minimum(np.searchsorted(table, asked_), len(table) - 1)
+    return np.where(table[at] == asked_, values[at], 0)
 
-def shard_types(blob: bytes, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    keys, n = get(blob, "<u8", "<i8")
-    return shorter(np.cumsum(keys, dtype=U64), n, order, least)
 
+def answered(questions: DataFrame, model: Model) -> DataFrame:
+    """Answers by slice, in the order of its questions: of n-grams the count, of each context the total and the numbers of counts; of words both counts."""
 
-def counts_of_counts(found: DataFrame, order: int) -> tuple[dict[int, dict[int, int]], np.ndarray]:
-    """For orders from 3: how many n-grams have each count; and the continuation counts of all n-grams of two bytes."""
+    def context_sums(contexts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        of = (keys >> (U64(64) - U64(max(1, len(contexts).bit_length())))).astype(np.int64)
+        return [np.bincount(of, w, minlength=len(contexts)).astype("<i8") for w in (n, n == 1, n == 2, n > 2)]
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = level = None
+        # Rows one at a time: a shard's own comes first, and questions need not be held.
         for batch in batches:
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                types = shard_types(blob, order, 2)
-                yield _rows([(shard, k, put(*(a.astype("<i8") for a in (types[k] if k == 2 else np.unique(types[k][1], return_counts=True))))) for k in types])
+            rows = []
+            for k, key, kind, who, blob in zip(*(batch.column(c).to_pylist() for c in ("level", "key", "kind", "who", "blob")), strict=True):
+                if (k, key) != level:
+                    level, shard = (k, key), None
+                if kind == MODEL:
+                    if k == 1:
+                        shard = mapped(get(blob, "<u8", "<i8", "<u8", "<i8"))
+                    else:
+                        contexts, keys, n = get(blob, "<u8", "<u8", "<i8")
+                        shard = mapped([contexts, keys, n, *context_sums(contexts, keys, n)])
+                    continue
+                if k == 1:
+                    (words,) = get(blob, "<u8")
+                    more, more_n, raw, raw_n = shard or [np.zeros(0, U64), np.zeros(0, np.int64)] * 2
+                    rows.append((k, key, ANSWER, who, put(found(raw, raw_n, words), found(more, more_n, words & UPPER))))
+                    continue
+                contexts, n, last, _, _ = unpacked_grams(blob)
+                if shard is None or not len(shard[0]):
+                    rows.append((k, key, ANSWER, who, put(*[np.zeros(x, "<i8") for x in (len(last), *[len(contexts)] * 4)])))
+                    continue
+                table, keys, counts, *sums = shard
+                at = np.minimum(np.searchsorted(table, contexts), len(table) - 1)
+                known = table[at] == contexts
+                of = np.repeat(np.arange(len(contexts)), n)
+                got = np.where(known[of], found(keys, counts, gram_keys(at[of], last, len(table))), 0)
+                rows.append((k, key, ANSWER, who, put(got.astype("<i8"), *[np.where(known, x[at], 0).astype("<i8") for x in sums])))
+            if rows:
+                yield batch_of(rows)
         tidy()
 
-    two, of = np.zeros(1 << 16, np.int64), {k: {} for k in range(3, order + 1)}
-    for r in saved(found.mapInArrow(run, "key int, kind int, blob binary")).toLocalIterator():
-        a, n = get(r.blob, "<i8", "<i8")
-        if r.kind == 2:
-            two[a] += n
-        else:
-            for c, m in zip(a.tolist(), n.tolist(), strict=True):
-                of[r.kind][c] = of[r.kind].get(c, 0) + m
-    return of, two
-
-
-def cut_off(of: dict[int, int], most: int | None) -> int:
-    """The count up to which n-grams are left out so that ``most`` stay."""
-    left, cut = sum(of.values()), 0
-    for c in sorted(of):
-        if most is None or left <= most:
-            break
-        left, cut = left - of[c], c
-    return cut
+    both = model.shards.unionByName(questions.withColumn("kind", F.lit(MODEL + 1)))
+    return both.repartition("level", "key").sortWithinPartitions("level", "key", "kind").mapInArrow(run, SCHEMA)
 
 
-def shard_tables(found: DataFrame, order: int, d: dict[int, np.ndarray], cuts: dict[int, int], below: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The tables of each shard: kind is twice the order, and one more for weights."""
-
-    def run(batches):
-        for batch in batches:
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                types, lower, rows = shard_types(blob, order, 3), below, []
-                for k in range(3, order + 1):
-                    key, n = types[k]
-                    p, *tables = level(key, n, d[k], lower, k, cuts[k])
-                    lower = (key, p)
-                    rows += [(shard, 2 * k + i, len(t.hashes), t.longest, put(t.hashes.astype("<u4"), t.values.astype("<f4"), t.first.astype("<i4"))) for i, t in enumerate(tables)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "kind", "size", "longest", "blob"])
-        tidy()
-
-    return found.mapInArrow(run, "key int, kind int, size long, longest long, blob binary")
-
-
-def assemble(low: list[tuple[Table, Table]], parts: DataFrame, order: int, shards: int, path: str) -> None:
-    """The file of ``store`` from the lowest orders and the shards of the others, one blob in memory at a time."""
-    shapes = {2 * k + i: np.array([0, 8 * (1 - i), *[1] * shards, *[0] * shards], "<i8") for k in range(3, order + 1) for i in (0, 1)}
-    for r in parts.drop("blob").collect():
-        s = shapes[r.kind]
-        s[0], s[2 + r.key], s[2 + shards + r.key] = max(s[0], r.longest), Table.bits_for(r.size), r.size
-    arrays = [a for pair in low for t in pair for a in (t.hashes.astype("<u4"), t.values.astype("<f4"), t.first.astype("<i4"), t.shape.astype("<i8"))]
-    sizes = [a.nbytes for a in arrays]
-    for s in shapes.values():
-        bits, n = s[2:].reshape(2, -1)
-        arrays += [None, None, None, s]
-        sizes += [4 * int(n.sum()), 4 * int(n.sum()), 4 * int(((1 << bits) + 1).sum()), s.nbytes]
-    places = 8 * (len(sizes) + 1) + np.concatenate([[0], np.cumsum([x + -x % 8 for x in sizes])])
-    with open(path, "wb") as f:
-        f.truncate(int(places[-1]))
-        f.write(np.array([len(sizes), *sizes], "<u8").tobytes())
-        for a, place in zip(arrays, places, strict=False):
-            if a is not None:
-                f.seek(int(place))
-                f.write(a.tobytes())
-        for r in parts.toLocalIterator():
-            bits, n = shapes[r.kind][2:].reshape(2, -1)
-            starts = (int(n[: r.key].sum()), int(n[: r.key].sum()), int(((1 << bits[: r.key]) + 1).sum()))
-            for i, (a, start) in enumerate(zip(get(r.blob, "<u4", "<f4", "<i4"), starts, strict=True)):
-                f.seek(int(places[4 * (r.kind - 2) + i]) + 4 * start)
-                f.write(a.tobytes())
-
-
-def built(docs: DataFrame, order: int = ORDER, most: int | None = None) -> str:
-    """A local file of the model.  Counts and estimates in Spark; the driver holds orders of up to two bytes."""
-    path = os.path.join(tempfile.mkdtemp(prefix="ngrams-"), f"ngrams-{uuid.uuid4().hex}.bin")
-    shards = partitions(docs.sparkSession)
-    found = saved(counted(docs, order, shards))
-    if order < 3:
-        store(estimate(*unpacked(found), order), path)
-        return path
-    of, two = counts_of_counts(found, order)
-    keys = np.flatnonzero(two).astype(U64)
-    low, p = _estimate(keys, two[two > 0], 2)
-    d = {k: discounts_of(np.array([c.get(i, 0) for i in (1, 2, 3, 4)], float)) for k, c in of.items()}
-    cuts = {k: cut_off(c, most) for k, c in of.items()}
-    assemble(low, saved(shard_tables(found, order, d, cuts, (keys, p))), order, shards, path)
-    return path
-
-
-def train(docs: DataFrame, order: int = ORDER, most: int | None = None) -> list[tuple[Table, Table]]:
-    path = built(docs, order, most)
-    model = load(path)
-    os.remove(path)  # what is mapped stays
-    os.rmdir(os.path.dirname(path))
-    return model
-
-
-def score_texts(model: list[tuple[Table, Table]], data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
-    """log10 of the probability of each text."""
-    text, at = stream(data, *word_bounds(data, offs), order)
-    g, own = own_grams(text, at, order)
-    logs = np.concatenate([log_probabilities(model, g[i : i + (1 << 18)]) for i in range(0, len(g), 1 << 18)])
-    return np.add.reduceat(logs, own[:-1])  # every text has its end mark
-
-
-def scored_slices(docs: DataFrame, name: str, order: int) -> DataFrame:
-    """Kind 0, by slice: rows with their scores and word numbers; kind 1, by bucket: a slice's distinct words."""
-    buckets = partitions(docs.sparkSession)
+def texts(docs: DataFrame) -> DataFrame:
+    """Each slice's rows, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = mapped(name)
         for batch in slices(batches, "text", SLICE):
             data, offs = flat(batch.column("text"))
-            starts, ends, first = word_bounds(data, offs)
-            score = np.concatenate([score_texts(model, *flat(p.column("text")), order) for p in slices([batch], "text", PIECE)])
-            held = np.asarray(batch.column("held_out"))
-            # Each text's words and its end mark.
-            n = np.diff(first) + 1
-            words = np.full(int(n.sum()), _END_WORD, U64)
-            words[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n - 1)] = word_hashes(data, starts, ends, lower=True)
-            types, number = np.unique(words, return_inverse=True)
-            training = np.bincount(number, np.repeat(~held, n), minlength=len(types)).astype(np.int64)
             ids = batch.column("doc_id").cast(pa.int64())
-            null = np.asarray(ids.is_null())
-            ids = np.asarray(ids.fill_null(0)).astype("<i8")
-            slice_id = zlib.crc32(data) << 31 ^ zlib.crc32(ids.tobytes()) ^ batch.num_rows << 20
-            bucket = bucket_of(types, buckets)
-            place = np.empty(len(types), np.int64)
-            order_ = np.argsort(bucket, kind="stable")  # buckets one after another, each in the order of the words
-            place[order_] = np.arange(len(types))
-            keys, kinds, blobs, others = [slice_id], [0], [put(ids, null, held, n.astype("<u4"), score, place[number].astype("<u4"))], [0]
-            for b, at in _split(bucket):
-                keys.append(b)
-                kinds.append(1)
-                blobs.append(put(training[at].astype("<u4")) + pack(types[at], 8) + np.array([len(at)], "<u8").tobytes())
-                others.append(slice_id)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary()), pa.array(others, pa.int64())], ["key", "kind", "blob", "other"])
-
-    rows = docs.select("doc_id", (remainder(F.col("doc_id"), HELD_OUT) == REMAINDER).alias("held_out"), "text")
-    return rows.mapInArrow(run, "key long, kind int, blob binary, other long")
-
-
-def word_counts(words: DataFrame) -> DataFrame:
-    """Kind 1, by slice: the training counts of its words of one bucket; kind 2: tokens and distinct words of the bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bucket(b, blobs, who):
-            counts, hashes = [], []
-            for blob in blobs:
-                n = int(np.frombuffer(blob[-8:], "<u8")[0])
-                counts.append(get(blob[: len(blob) - 8 - 8 * n], "<u4")[0])
-                hashes.append(unpack(blob[len(blob) - 8 - 8 * n : -8], 8))
-            types, number = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(number, np.concatenate(counts), minlength=len(types)).astype(np.int64)
-            back = np.split(total[number].astype("<i8"), np.cumsum([len(h) for h in hashes])[:-1])
-            keys, kinds = [*who, 0], [*[1] * len(who), 2]
-            out = [*[put(x) for x in back], put(np.array([total.sum(), (total > 0).sum()], "<i8"))]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()), pa.array(out, pa.binary()), pa.array([b] * len(keys), pa.int64())], ["key", "kind", "blob", "other"])
-
-        key, held, who = None, [], []
-        for batch in batches:
-            for k, blob, other in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
-                if k != key and held:
-                    yield bucket(key, held, who)
-                    held, who = [], []
-                key = k
-                held.append(blob)
-                who.append(other)
-        if held:
-            yield bucket(key, held, who)
+            yield batch_of([(0, 0, TEXT, slice_id(batch, data), put(np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_null()), np.asarray(batch.column("held_out")), offs.astype("<i8"), data))])
         tidy()
 
-    return words.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, kind int, blob binary, other long")
+    return docs.select("doc_id", (remainder(F.col("doc_id"), HELD_OUT) == REMAINDER).alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
-def baseline(rows: DataFrame, tokens: int, types: int) -> DataFrame:
-    """The result rows of slices (kind 0) that have their word counts (kind 1)."""
+def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return counts - np.concatenate([[0.0], d])[np.minimum(counts, 3)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(mine, back):
-            counts = np.concatenate([get(b, "<i8")[0] for _, b in sorted(dict(back).items())])
-            logs, known = np.log10((counts + 1) / (tokens + types + 1)), counts > 0
-            for blob in mine:
-                ids, null, held, n, score, place = get(blob, "<i8", "?", "?", "<u4", "<f8", "<u4")
-                at = np.concatenate([[0], np.cumsum(n[:-1])]).astype(np.int64)
-                m = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=null), pa.array(held), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(known[place].astype(np.int64), at)), pa.array(np.full(m, tokens)), pa.array(np.add.reduceat(logs[place], at)), pa.array(score)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-        key, mine, back = None, [], []
-        for batch in batches:
-            for k, kind, blob, other in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if k != key and mine:
-                    yield from finish(mine, back)
-                if k != key:
-                    key, mine, back = k, [], []
-                if kind == 0:
-                    mine.append(blob)
-                else:
-                    back.append((other, blob))
-        if mine:
-            yield from finish(mine, back)
-        tidy()
 
-    return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; perplexity a token is 10 ** (-score / n_tokens)."""
+    order, d, total, spare, tokens, types = model.order, model.discounts, model.unigrams, model.spare, model.tokens, model.types
+
+    def finish(blob: bytes, answers: dict[int, list[tuple[int, bytes]]]) -> pa.RecordBatch:
+        ids, null, held, offs, data = get(blob, "<i8", "?", "?", "<i8", "u1")
+        s = Slice(data, offs, order)
+        told = {k: [np.concatenate(x) for x in zip(*(get(b, *["<i8"] * (2 if k == 1 else 5)) for _, b in sorted(v)), strict=True)] for k, v in answers.items()}
+        raw, more = told[1]
+        base = np.log10((raw + 1) / (tokens + types + 1))[s.number]
+        known = (raw > 0)[s.number]
+        p = (discounted(more, d[1]) / max(total, 1) + spare / (types + 1))[s.number]
+        for k in range(2, order + 1):
+            contexts, of, _, which = s.grams(k)
+            n, all_, *few = told[k]
+            some = np.maximum(all_, 1)
+            seen = (all_ > 0)[of]
+            alpha = np.where(seen, discounted(n, d[k]) / some[of], 0.0)
+            share = np.where(seen, (d[k] @ np.array(few))[of] / some[of], 1.0)
+            p = alpha[which] + share[which] * p
+        at = np.cumsum(s.n) - s.n
+        m = len(ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=null), pa.array(held), pa.array(s.n.astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.full(m, tokens)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at))],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, "who"):
+            answers: dict[int, dict[int, bytes]] = {}
+            for level, key, kind, _, blob in rows:
+                if kind == ANSWER:
+                    answers.setdefault(level, {})[key] = blob
+            for _, _, kind, _, blob in rows:  # slices of equal rows share their answers
+                if kind == TEXT:
+                    yield finish(blob, {k: list(v.items()) for k, v in answers.items()})
+                    tidy()
 
-def scores(docs: DataFrame, order: int = ORDER, most: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; perplexity a token is 10 ** (-score / n_tokens)."""
-    spark = docs.sparkSession
-    name = share(spark, built(docs, order, most))
-    rows = saved(scored_slices(docs, name, order))
-    counts = saved(word_counts(rows.where("kind = 1")))
-    tokens, types = np.sum([get(r.blob, "<i8")[0] for r in counts.where("kind = 2").select("blob").toLocalIterator()] or [[0, 0]], axis=0).tolist()
-    return baseline(rows.where("kind = 0").unionByName(counts.where("kind = 1")), tokens, types)
+    both = texts(docs).unionByName(answered(asked(docs, order, model.n_shards), model))
+    return both.repartition("who").sortWithinPartitions("who").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_ngram_lm(spark, sf_dir):
-    return scores(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return scores(docs, train(docs))
