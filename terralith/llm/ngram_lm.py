@@ -8,15 +8,17 @@ of the next lower order; below the words' own distribution all known words and o
 unknown one are alike.  The highest order counts n-grams, lower ones the distinct
 words before them.
 
-1. Slices of the training texts send their distinct n-grams, with counts, to the
+1. Slices of texts send their distinct n-grams, with counts of the training texts, to the
    shard of the context's hash.  A shard adds them up, sends what its types say
    of the next lower order to that order's shards, and is saved in the shared
-   folder: sorted hashes of contexts, sorted hashes of n-grams (the number of the context
-   above the hash of the last word) and counts.  Discounts come from sums over shards.
-2. A slice that is scored asks the shards for its distinct n-grams.  A worker that has a
-   shard's questions maps the shard's arrays into memory and finds them by binary search.
-   Answers go back to the slice's texts in the order of the questions, and the
+   folder: sorted hashes of contexts, hashes of last words sorted within them, and
+   counts.  Discounts come from sums over shards.
+2. A worker that has a shard maps its sorted arrays (the number of the context above the
+   hash of the last word) into memory and finds the n-grams it is asked for by binary search.
+   Counts go back to the slice's texts in the order of the questions, and the
    slice interpolates.  The unigram baseline is answered beside it, from exact counts.
+   A corpus that is learned from and scored asks where it is counted, in one exchange
+   (``scored``); a model that is kept (``train``) answers any other texts (``scores``).
 
 Nothing is cut off, the model grows with the corpus, and no worker holds more of it than a
 shard: shards are of bounded size and as many as the corpus needs.  A context that a
@@ -52,7 +54,7 @@ from .toxicity import remainder
 
 ORDER = 2
 #: Bytes of text in a slice, and bytes of text whose n-grams a shard holds.
-SLICE = 6 << 20
+SLICE = 8 << 20
 SHARD = 12 << 20
 HELD_OUT, REMAINDER = 7, 2
 START, END = (int(mix(np.array([x], U64))[0]) for x in (0x57A7, 0xE0D))
@@ -70,7 +72,7 @@ class Slice:
         starts, ends, first = word_bounds(data, offs)
         n = np.diff(first)
         rows = len(n)
-        self.n, self.order = n + 1, order
+        self.n = n + 1
         # Start marks, words and the end of each text one after another.
         self.row = np.repeat(np.arange(rows, dtype=np.int32), self.n)
         begin = np.cumsum(n + order) - (n + order)
@@ -82,15 +84,14 @@ class Slice:
         self.types, self.number = np.unique(words[self.at], return_inverse=True)
 
     def contexts(self, k: int) -> np.ndarray:
-        """Hashes of the k - 1 words before each word and end; below the highest order their upper bits, as shards send them on."""
-        own = ~U64(0) if k == self.order else UPPER
+        """Hashes of the k - 1 words before each word and end; their upper bits, as they are sent."""
         if k == 2:
-            return self.words[self.at - 1] & own
+            return self.words[self.at - 1] & UPPER
         with np.errstate(over="ignore"):
             h = np.full(len(self.at), k, U64)
             for j in range(k - 1, 0, -1):
                 h = mix(h * U64(0x9E3779B97F4A7C15) ^ self.words[self.at - j])
-        return h & own
+        return h & UPPER
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts; numbers of context and word of each distinct n-gram; and the n-gram at each word and end."""
@@ -105,10 +106,20 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["level", "key", "kind", "who", "blob"])
 
 
-def packed_grams(contexts: np.ndarray, of: np.ndarray, last: np.ndarray, counts: np.ndarray | None, lower: list[np.ndarray]) -> bytes:
+def tight(rising: np.ndarray) -> np.ndarray:
+    """Rising 64-bit integers as differences, in as many bytes as the largest needs."""
+    d = np.diff(rising, prepend=U64(0))
+    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
+    return np.frombuffer(bytes([width]) + pack(d, width), np.uint8)
+
+
+def untight(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(unpack(raw[1:].tobytes(), int(raw[0])), dtype=U64)
+
+
+def packed_grams(contexts: np.ndarray, of: np.ndarray, last: np.ndarray, counts: np.ndarray, lower: list[np.ndarray]) -> bytes:
     """contexts: sorted; of: each n-gram's, sorted; last: hashes of last words; lower: hashes of its shorter contexts, longest first."""
-    n = np.bincount(of, minlength=len(contexts)).astype("<u4")
-    head = put(contexts, n, np.zeros(0, "<i8") if counts is None else counts.astype("<i8"))
+    head = put(tight(contexts >> U64(64 - 8 * WIDTH)), np.bincount(of, minlength=len(contexts)).astype("<u4"), counts.astype("<i8"))
     return head + b"".join(pack(x >> U64(64 - 8 * WIDTH), WIDTH) for x in (last, *lower)) + np.array([len(of), len(lower)], "<u8").tobytes()
 
 
@@ -116,9 +127,9 @@ def unpacked_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """Contexts, n-grams of each, hashes of last words, counts, shorter contexts; hashes in their upper bits."""
     size, more = (int(x) for x in np.frombuffer(blob[-16:], "<u8"))
     cut = len(blob) - 16 - size * WIDTH * (1 + more)
-    contexts, n, counts = get(blob[:cut], "<u8", "<u4", "<i8")
+    contexts, n, counts = get(blob[:cut], "u1", "<u4", "<i8")
     parts = [unpack(blob[cut + i * size * WIDTH : cut + (i + 1) * size * WIDTH], WIDTH) << U64(64 - 8 * WIDTH) for i in range(1 + more)]
-    return contexts, n, parts[0], counts, parts[1:]
+    return untight(contexts) << U64(64 - 8 * WIDTH), n, parts[0], counts, parts[1:]
 
 
 def gram_keys(of: np.ndarray, last: np.ndarray, contexts: int) -> np.ndarray:
@@ -127,35 +138,42 @@ def gram_keys(of: np.ndarray, last: np.ndarray, contexts: int) -> np.ndarray:
     return (of.astype(U64) << (U64(64) - bits)) | (last >> bits)
 
 
-def emitted(parts: Iterator[tuple[int, np.ndarray]], level: int, who: int, contexts, of, last, counts, lower, kind: int = GRAMS) -> list[tuple]:
-    """Rows of n-grams by the shard of their context; parts: shards with the places of their contexts, which follow one another."""
+def emitted(level: int, who: int | None, shards: int, contexts, of, last, counts, lower) -> list[tuple]:
+    """Rows of n-grams by the shard of their context: contexts of a shard follow one another."""
     rows = []
-    for b, at in parts:
+    for b, at in _split(bucket_of(contexts, shards)):
         a, z = np.searchsorted(of, [at[0], at[-1] + 1])
-        rows.append((level, b, kind, who, packed_grams(contexts[at[0] : at[-1] + 1], of[a:z] - at[0], last[a:z], None if counts is None else counts[a:z], [x[a:z] for x in lower])))
+        rows.append((level, b, GRAMS, who, packed_grams(contexts[at[0] : at[-1] + 1], of[a:z] - at[0], last[a:z], counts[a:z], [x[a:z] for x in lower])))
     return rows
 
 
-def counted(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """Level ``order``: distinct n-grams of slices of the training texts; level 1: their distinct words; with counts, by shard."""
+def sent(docs: DataFrame, order: int, level: int, shards: int, asking: bool) -> DataFrame:
+    """Distinct n-grams of slices, of level 1 words, by shard, with their counts in training texts; these alone unless the slices ask for counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            s = Slice(*flat(batch.column("text")), order)
-            n = np.bincount(s.number, minlength=len(s.types))
-            rows = [(1, b, WORDS, 0, put(s.types[at], n[at].astype("<i8"))) for b, at in _split(bucket_of(s.types, shards))]
-            contexts, of, word, which = s.grams(order)
-            lower = []
-            if order > 2:
+            data, offs = flat(batch.column("text"))
+            who = slice_id(batch, data) if asking else None
+            s = Slice(data, offs, order)
+            training = np.repeat(~np.asarray(batch.column("held_out")), s.n)
+            if level == 1:
+                n = np.bincount(s.number, training, len(s.types)).astype("<i8")
+                yield batch_of([(1, b, WORDS, who, put(tight(s.types[at]), n[at])) for b, at in _split(bucket_of(s.types, shards))])
+                continue
+            contexts, of, word, which = s.grams(level)
+            n, lower = np.bincount(which, training, len(of)), []
+            if level < order:  # counted by the shards of the next higher level
+                n[:] = 0
+            elif order > 2:
                 place = np.empty(len(of), np.int64)
                 place[which] = np.arange(len(which))
                 lower = [s.contexts(k)[place] for k in range(order - 1, 1, -1)]
-            rows += emitted(_split(bucket_of(contexts, shards)), order, 0, contexts, of, s.types[word], np.bincount(which), lower)
-            yield batch_of(rows)
+            yield batch_of(emitted(level, who, shards, contexts, of, s.types[word], n, lower))
+            tidy()
         tidy()
 
-    training = docs.where(remainder(F.col("doc_id"), HELD_OUT) != REMAINDER).select("text")
-    return training.mapInArrow(run, SCHEMA)
+    rows = docs.select("doc_id", (remainder(F.col("doc_id"), HELD_OUT) == REMAINDER).alias("held_out"), "text")
+    return (rows if asking else rows.where("not held_out")).mapInArrow(run, SCHEMA)
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list[tuple]]:
@@ -177,56 +195,64 @@ def counts_of_counts(n: np.ndarray) -> list[int]:
     return [int((n == c).sum()) for c in (1, 2, 3, 4)]
 
 
-def sum_grams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Contexts; each distinct n-gram's key, context, hash of the last word, count and shorter contexts."""
-    parts = [unpacked_grams(b) for b in blobs]
+def sum_grams(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Contexts; the context, hash of the last word, count and shorter contexts of each distinct n-gram that was counted."""
+    more = max(len(p[4]) for p in parts)
+    parts = sorted(parts, key=lambda p: -len(p[4]))  # what only asks has no shorter contexts and comes last
     contexts, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     of = np.repeat(of, np.concatenate([p[1] for p in parts]))
     last = np.concatenate([p[2] for p in parts])
     keys, at, which = np.unique(gram_keys(of, last, len(contexts)), return_index=True, return_inverse=True)
     n = np.bincount(which, np.concatenate([p[3] for p in parts]), minlength=len(keys)).astype(np.int64)
-    return contexts, keys, of[at], last[at], n, [np.concatenate([p[4][i] for p in parts])[at] for i in range(len(parts[0][4]))]
+    at, n = at[n > 0], n[n > 0]
+    some, number = np.unique(of[at], return_inverse=True)
+    return contexts[some], number, last[at], n, [np.concatenate([p[4][i] for p in parts if p[4]])[at] for i in range(more)]
 
 
 def summed(parts: DataFrame, level: int, shards: int) -> DataFrame:
-    """Kind MODEL: the level's shards; GRAMS: what they say of the next lower level; ``stats``: counts of counts, total and types, of words too."""
-
-    def one(rows: list[tuple]) -> tuple[list[tuple], list[list[int]]]:
-        key = rows[0][1]
-        if level == 1:
-            more = [get(blob, "<u8", "<i8") for _, _, kind, _, blob in rows if kind == GRAMS]
-            raw = [get(blob, "<u8", "<i8") for _, _, kind, _, blob in rows if kind == WORDS]
-            arrays, stats = [], []
-            for found in (more, raw):
-                hashes, which = np.unique(np.concatenate([np.zeros(0, "<u8"), *(x[0] for x in found)]), return_inverse=True)
-                n = np.bincount(which, np.concatenate([np.zeros(0, "<i8"), *(x[1] for x in found)]), minlength=len(hashes)).astype("<i8")
-                arrays += [hashes, n]
-                stats += [*counts_of_counts(n), int(n.sum()), len(n)]
-            return [(1, key, MODEL, 0, put(*arrays))], [stats]
-        contexts, keys, of, last, n, lower = sum_grams([r[4] for r in rows])
-        out = [(level, key, MODEL, 0, put(contexts, keys, n.astype("<i8")))]
+    """Kind MODEL: the level's shards; GRAMS: what they say of the next lower level; ANSWER: to slices that ask; ``stats``: counts of counts, total and types, of words too."""
+
+    def words(key: int, rows: list[tuple]) -> tuple[list[tuple], list[int]]:
+        more = [get(r[4], "<u8", "<i8") for r in rows if r[2] == GRAMS]
+        raw = [(untight(t), n) for t, n in (get(r[4], "u1", "<i8") for r in rows if r[2] == WORDS)]
+        arrays, stats = [], []
+        for got in (more, raw):
+            hashes, which = np.unique(np.concatenate([np.zeros(0, U64), *(x[0] for x in got)]), return_inverse=True)
+            n = np.bincount(which, np.concatenate([np.zeros(0, np.int64), *(x[1] for x in got)]), minlength=len(hashes)).astype(np.int64)
+            arrays += [hashes[n > 0], n[n > 0]]
+            stats += [*counts_of_counts(n), int(n.sum()), int((n > 0).sum())]
+        return [(1, key, MODEL, None, put(tight(arrays[0]), arrays[1].astype("<i8"), tight(arrays[2]), arrays[3].astype("<i8")))], stats
+
+    def grams(key: int, rows: list[tuple]) -> tuple[list[tuple], list[int]]:
+        contexts, of, last, n, lower = sum_grams([unpacked_grams(r[4]) for r in rows])
+        out = [(level, key, MODEL, None, packed_grams(contexts, of, last, n, []))]
         if level == 2:  # of unigrams
-            words, which = np.unique(last, return_inverse=True)
-            more = np.bincount(which).astype("<i8")
-            out += [(1, b, GRAMS, 0, put(words[at], more[at])) for b, at in _split(bucket_of(words, shards))]
-        else:
+            types, which = np.unique(last, return_inverse=True)
+            more = np.bincount(which, minlength=len(types)).astype("<i8")
+            out += [(1, b, GRAMS, None, put(types[at], more[at])) for b, at in _split(bucket_of(types, shards))]
+        elif len(of):
             short, of_short = np.unique(lower[0], return_inverse=True)
             order = np.lexsort((last, of_short))
             o, w = of_short[order], last[order]
             new = np.ones(len(o), bool)
             new[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
             at = np.flatnonzero(new)
-            out += emitted(_split(bucket_of(short, shards)), level - 1, 0, short, o[at], w[at], np.diff(np.append(at, len(o))), [x[order][at] for x in lower[1:]])
-        return out, [[*counts_of_counts(n), int(n.sum()), len(n), *[0] * 6]]
+            out += emitted(level - 1, None, shards, short, o[at], w[at], np.diff(np.append(at, len(o))), [x[order][at] for x in lower[1:]])
+        return out, [*counts_of_counts(n), int(n.sum()), len(n), *[0] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, "key"):
-            out, stats = one(rows)
+            out, stats = (words if level == 1 else grams)(rows[0][1], rows)
+            if any(r[3] is not None for r in rows):
+                shard = Shard(level, out[0][4])
+                out += [(level, r[1], ANSWER, r[3], shard.answer(r[4])) for r in rows if r[3] is not None]
+                del shard
             batch = batch_of(out)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stats + [None] * (len(out) - 1), pa.list_(pa.int64()))], [*batch.schema.names, "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([stats] + [None] * (len(out) - 1), pa.list_(pa.int64()))], [*batch.schema.names, "stats"])
+            del out, rows, batch
             tidy()
 
-    return parts.where(F.col("level") == level).repartition("key").sortWithinPartitions("key").mapInArrow(run, SCHEMA + ", stats array<long>")
+    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, SCHEMA + ", stats array<long>")
 
 
 def discounts_of(n: np.ndarray) -> np.ndarray:
@@ -261,30 +287,31 @@ def release() -> None:
         SparkContext._active_spark_context._jvm.System.gc()
 
 
-def train(docs: DataFrame, order: int = ORDER) -> Model:
-    """The model of the training texts, its shards in the shared folder."""
+def learned(docs: DataFrame, order: int, asking: bool) -> tuple[Model, DataFrame]:
+    """The model of the training texts, its shards in the shared folder; and answers to all texts, if they ask."""
     if order < 2:
         raise ValueError("the order must be 2 at least")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, size // SHARD)
-    parts = counted(docs, order, shards)
-    words = parts.where("level = 1")
-    made, stats, below = [], {}, parts
+    rows, stats, above = None, {}, None
     for level in range(order, 0, -1):
-        found = saved(summed(below.unionByName(words) if level == 1 else below, level, shards))
-        sums = found.agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(12)]).first()
+        parts = sent(docs, order, level, shards, asking) if asking or level in (order, 1) else None
+        parts = above if parts is None else parts if above is None else parts.unionByName(above)
+        got = saved(summed(parts, level, shards))
+        sums = got.agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(12)]).first()
         stats[level] = list(sums)
-        made.append(found.where(F.col("kind") == MODEL).drop("stats"))
-        below = found.where(F.col("kind") == GRAMS).drop("stats")
+        got = got.drop("stats")
+        rows = got if rows is None else rows.unionByName(got)
+        above = got.where((F.col("kind") == GRAMS) & (F.col("level") == level - 1))
         release()
-    shards_of = made[0]
-    for m in made[1:]:
-        shards_of = shards_of.unionByName(m)
     d = {k: discounts_of(s[:4]) for k, s in stats.items()}
     one = stats[1]
-    many = one[5] - one[0] - one[1]
-    spare = float(d[1] @ [one[0], one[1], many]) / one[4] if one[4] else 1.0
-    return Model(order, shards, shards_of, d, one[4], spare, one[10], one[11])
+    spare = float(d[1] @ [one[0], one[1], one[5] - one[0] - one[1]]) / one[4] if one[4] else 1.0
+    return Model(order, shards, rows.where(F.col("kind") == MODEL), d, one[4], spare, one[10], one[11]), rows.where(F.col("kind") == ANSWER)
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    return learned(docs, order, False)[0]
 
 
 def slice_id(batch: pa.RecordBatch, data: np.ndarray) -> int:
@@ -293,23 +320,6 @@ def slice_id(batch: pa.RecordBatch, data: np.ndarray) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def asked(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """Distinct n-grams of every order and words of each slice, by shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            data, offs = flat(batch.column("text"))
-            who = slice_id(batch, data)
-            s = Slice(data, offs, order)
-            yield batch_of([(1, b, WORDS, who, put(s.types[at])) for b, at in _split(bucket_of(s.types, shards))])
-            for k in range(2, order + 1):
-                contexts, of, word, _ = s.grams(k)
-                yield batch_of(emitted(_split(bucket_of(contexts, shards)), k, who, contexts, of, s.types[word], None, []))
-        tidy()
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
-
-
 def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
     """The arrays in a file without a name, mapped into memory: the system drops pages that a worker does not use."""
     with tempfile.TemporaryFile() as f:
@@ -331,49 +341,58 @@ def found(table: np.ndarray, values: np.ndarray, asked_: np.ndarray) -> np.ndarr
     return np.where(table[at] == asked_, values[at], 0)
 
 
-def answered(questions: DataFrame, model: Model) -> DataFrame:
-    """Answers by slice, in the order of its questions: of n-grams the count, of each context the total and the numbers of counts; of words both counts."""
+class Shard:
+    """A shard's arrays, mapped, and what it answers: of n-grams the count, of each context the total and the numbers of counts; of words both counts."""
 
-    def context_sums(contexts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        of = (keys >> (U64(64) - U64(max(1, len(contexts).bit_length())))).astype(np.int64)
-        return [np.bincount(of, w, minlength=len(contexts)).astype("<i8") for w in (n, n == 1, n == 2, n > 2)]
+    def __init__(self, level: int, blob: bytes | None):
+        self.level = level
+        if blob is None:
+            self.arrays = [np.zeros(0, x) for x in ("<u8", "<i8", "<u8", "<i8")] if level == 1 else [np.zeros(0, "<u8")] * 2 + [np.zeros(0, "<i8")] * 5
+        elif level == 1:
+            more, more_n, raw, raw_n = get(blob, "u1", "<i8", "u1", "<i8")
+            self.arrays = mapped([untight(more), more_n, untight(raw), raw_n])
+        else:
+            contexts, size, last, n, _ = unpacked_grams(blob)
+            of = np.repeat(np.arange(len(contexts)), size)
+            sums = [np.bincount(of, w, minlength=len(contexts)).astype("<i8") for w in (n, n == 1, n == 2, n > 2)]
+            self.arrays = mapped([contexts, gram_keys(of, last, len(contexts)), n, *sums])
+
+    def answer(self, blob: bytes) -> bytes:
+        if self.level == 1:
+            more, more_n, raw, raw_n = self.arrays
+            words = untight(get(blob, "u1", "<i8")[0])
+            return put(found(raw, raw_n, words), found(more, more_n, words & UPPER))
+        contexts, n, last, _, _ = unpacked_grams(blob)
+        table, keys, counts, *sums = self.arrays
+        if not len(table):
+            return put(*[np.zeros(x, "<i8") for x in (len(last), *[len(contexts)] * 4)])
+        at = np.minimum(np.searchsorted(table, contexts), len(table) - 1)
+        known = table[at] == contexts
+        got = np.where(np.repeat(known, n), found(keys, counts, gram_keys(np.repeat(at, n), last, len(table))), 0)
+        return put(got.astype("<i8"), *[np.where(known, x[at], 0).astype("<i8") for x in sums])
+
+
+def answered(docs: DataFrame, model: Model) -> DataFrame:
+    """Answers to the slices of other texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = level = None
-        # Rows one at a time: a shard's own comes first, and questions need not be held.
-        for batch in batches:
+        now = shard = None
+        for batch in batches:  # a shard's own row comes first, so that questions need not be held
             rows = []
-            for k, key, kind, who, blob in zip(*(batch.column(c).to_pylist() for c in ("level", "key", "kind", "who", "blob")), strict=True):
-                if (k, key) != level:
-                    level, shard = (k, key), None
-                if kind == MODEL:
-                    if k == 1:
-                        shard = mapped(get(blob, "<u8", "<i8", "<u8", "<i8"))
-                    else:
-                        contexts, keys, n = get(blob, "<u8", "<u8", "<i8")
-                        shard = mapped([contexts, keys, n, *context_sums(contexts, keys, n)])
-                    continue
-                if k == 1:
-                    (words,) = get(blob, "<u8")
-                    more, more_n, raw, raw_n = shard or [np.zeros(0, U64), np.zeros(0, np.int64)] * 2
-                    rows.append((k, key, ANSWER, who, put(found(raw, raw_n, words), found(more, more_n, words & UPPER))))
-                    continue
-                contexts, n, last, _, _ = unpacked_grams(blob)
-                if shard is None or not len(shard[0]):
-                    rows.append((k, key, ANSWER, who, put(*[np.zeros(x, "<i8") for x in (len(last), *[len(contexts)] * 4)])))
-                    continue
-                table, keys, counts, *sums = shard
-                at = np.minimum(np.searchsorted(table, contexts), len(table) - 1)
-                known = table[at] == contexts
-                of = np.repeat(np.arange(len(contexts)), n)
-                got = np.where(known[of], found(keys, counts, gram_keys(at[of], last, len(table))), 0)
-                rows.append((k, key, ANSWER, who, put(got.astype("<i8"), *[np.where(known, x[at], 0).astype("<i8") for x in sums])))
+            for level, key, kind, who, blob in zip(*(batch.column(c).to_pylist() for c in ("level", "key", "kind", "who", "blob")), strict=True):
+                if (level, key) != now:
+                    now, shard = (level, key), Shard(level, blob if kind == MODEL else None)
+                if kind != MODEL:
+                    rows.append((level, key, ANSWER, who, shard.answer(blob)))
             if rows:
                 yield batch_of(rows)
         tidy()
 
-    both = model.shards.unionByName(questions.withColumn("kind", F.lit(MODEL + 1)))
-    return both.repartition("level", "key").sortWithinPartitions("level", "key", "kind").mapInArrow(run, SCHEMA)
+    both = model.shards
+    for level in range(1, model.order + 1):
+        both = both.unionByName(sent(docs, model.order, level, model.n_shards, True))
+    first = F.when(F.col("kind") == MODEL, 0).otherwise(1)
+    return both.repartition("level", "key").sortWithinPartitions("level", "key", first).mapInArrow(run, SCHEMA)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -393,7 +412,7 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts - np.concatenate([[0.0], d])[np.minimum(counts, 3)]
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
+def interpolated(docs: DataFrame, model: Model, answers: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; perplexity a token is 10 ** (-score / n_tokens)."""
     order, d, total, spare, tokens, types = model.order, model.discounts, model.unigrams, model.spare, model.tokens, model.types
 
@@ -431,10 +450,20 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                     yield finish(blob, {k: list(v.items()) for k, v in answers.items()})
                     tidy()
 
-    both = texts(docs).unionByName(answered(asked(docs, order, model.n_shards), model))
+    both = texts(docs).unionByName(answers)
     return both.repartition("who").sortWithinPartitions("who").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """Any texts by a model, with the columns of ``interpolated``."""
+    return interpolated(docs, model, answered(docs, model))
+
+
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """The texts by the model of their own training part."""
+    model, answers = learned(docs, order, True)
+    return interpolated(docs, model, answers)
+
+
 def op7_ngram_lm(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return scores(docs, train(docs))
+    return scored(documents(spark, sf_dir))

@@ -71,20 +71,21 @@ def compare(got, data, order):
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_scores(spark, order):
     compare(lm.scores(table(spark), lm.train(table(spark), order)).collect(), rows(), order)
+    compare(lm.scored(table(spark), order).collect(), rows(), order)
 
 
 @pytest.mark.parametrize("order", [2, 3])
 def test_slices_and_shards_change_nothing(spark, order, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 2000)
     small = table(spark).repartition(9)
-    compare(lm.scores(small, lm.train(small, order)).collect(), rows(), order)
+    compare(lm.scored(small, order).collect(), rows(), order)
 
 
 def test_words_that_weak_hashes_confuse(spark):
     data = look_alikes()
     assert any(held(r[0]) for r in data)
     df = spark.createDataFrame(data, SCHEMA)
-    compare(lm.scores(df, lm.train(df)).collect(), data, 2)
+    compare(lm.scored(df).collect(), data, 2)
 
 
 def test_a_model_scores_another_table(spark):
@@ -134,4 +135,5 @@ def test_empty_table_and_no_training_texts(spark):
     only = next(i for i in range(100) if held(i))
     one = spark.createDataFrame([(only, "a b")], "doc_id long, text string")
     got = lm.scores(one, lm.train(one)).collect()
+    assert got == lm.scored(one).collect() and lm.scored(empty).count() == 0
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0)]
