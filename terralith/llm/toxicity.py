@@ -1,18 +1,19 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-Two dictionaries are trained: one on ordinary text and one on toxic text, the
-latter put on top of the ordinary one, since toxic documents are mostly made of
-ordinary words.  Every whole text is cut into windows at word ends; the gain of a
-window is how many bytes shorter the toxic dictionary makes it.  Gains
-at calibrated thresholds are the inputs of a logistic score that is calibrated,
-as the thresholds are, on the training sample.
-
-The toxic dictionary's segments are chosen as a dictionary trainer chooses them,
-by how often they recur, but set against ordinary text, by the likelihood
-ratio of the document frequencies.
-
-Fitting takes a bounded sample of labelled rows (``SAMPLE`` of each class, by a
-hash of the id; texts over ``SAMPLE_TEXT`` bytes are not fitted on); scoring
+Dictionaries are trained by zstandard's own trainer, one on ordinary text and one on
+toxic text; both stand behind the same large one of ordinary text, so that words
+which any text has cost the same in both.  Every whole text is cut into windows at
+word ends; the gain of a window is how many bytes shorter the toxic dictionary
+makes it.  Gains at calibrated thresholds are the inputs of a logistic score that is
+calibrated, as the thresholds are, on parts of the sample that a dictionary was not trained on.
+
+Most of a toxic text is ordinary.  So training goes in rounds: first on the windows of
+each class that the large dictionary compresses worst, then on the windows
+of toxic texts that gain and on those of ordinary texts that gain wrongly, as dictionaries of
+the other folds tell.  Nothing but compressed lengths chooses what a dictionary is trained on.
+
+Fitting takes a bounded sample of labelled rows (``SAMPLE`` of each class by a
+hash of the id, as far as their whole texts have ``SAMPLE_BYTES`` together); scoring
 takes every row and whole text and is one scan without a shuffle.
 
 Results in unusual cases: null and empty texts get the score of a text without
@@ -24,7 +25,6 @@ other columns are ignored (``scores``) or kept (``reject``).
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,13 +37,16 @@ from .common import documents
 from .text import LOWER, flat, mix, slices, window_hashes, word_bounds, word_hashes
 
 SAMPLE = 3000
-SAMPLE_TEXT = 20_000
-WINDOW = 64
-DICTIONARY = 48 << 10
-SEGMENTS = 12 << 10
-#: A segment is this many times as frequent in toxic texts, with this likelihood ratio at least.
-ODDS = 8
-RATIO = 25.0
+SAMPLE_BYTES = 24 << 20
+WINDOW = 32
+#: Bytes of the large dictionary of ordinary text, and of those of the classes; segments that the trainer picks for them.
+DICTIONARY, CLASS = 112 << 10, 4 << 10
+SEGMENT, CLASS_SEGMENT = 64, 32
+FOLDS, ROUNDS = 4, 2
+#: Windows of the first round: this share, those that the large dictionary compresses worst.
+HARD = 0.3
+#: A window gains if toxic windows reach its gain this many times as often as ordinary ones.
+TIMES = 5
 HELD_OUT = 5
 
 
@@ -53,6 +56,9 @@ def remainder(doc_id: Column, mod: int) -> Column:
 
 @dataclass
 class Model:
+    """common stands before both dictionaries of the classes."""
+
+    common: bytes = b""
     ordinary: bytes = b""
     toxic: bytes = b""
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -74,36 +80,32 @@ def windows(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     return starts[at], ends[np.append(at[1:] - 1, len(starts) - 1)], np.searchsorted(at, first)
 
 
-#: Stands at the end of both dictionaries and before each window, so that a block always pays for its header.
+#: Stands at the end of dictionaries and before each window, so that a block always pays for its header.
 _CARRIER = (mix(np.arange(40, dtype=np.uint64)) % np.uint64(56) + np.uint64(192)).astype(np.uint8)
 _coders: dict = {}
 
 
-def coders(model: Model):
-    """Compressors with the ordinary dictionary and with the toxic one.
-
-    Both dictionaries hold the ordinary text at the same offsets; where the toxic
-    one has its segments the other has bytes that no text has, so that lengths
-    differ by matches in the segments and by nothing else.
-    """
+def coder(content: bytes):
     import zstandard as z
 
-    key = (hash(model.ordinary), hash(model.toxic))
+    params = z.ZstdCompressionParameters(compression_level=1, window_log=18, hash_log=17, chain_log=17, search_log=6, target_length=0, min_match=5, strategy=z.STRATEGY_BTULTRA2, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+    d = z.ZstdCompressionDict(content + _CARRIER.tobytes(), dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=params)
+    return z.ZstdCompressor(dict_data=d, compression_params=params)
+
+
+def coders(model: Model):
+    """Compressors with the ordinary dictionary and with the toxic one, both of the same length."""
+    key = (hash(model.common), hash(model.ordinary), hash(model.toxic))
     if key not in _coders:
         _coders.clear()
-        filler = (mix(np.arange(len(model.toxic), dtype=np.uint64) + np.uint64(99)) % np.uint64(64) + np.uint64(128)).astype(np.uint8).tobytes()
-        made = []
-        for content in (filler, model.toxic):
-            params = z.ZstdCompressionParameters(compression_level=1, window_log=18, hash_log=17, chain_log=17, search_log=4, target_length=0, min_match=6, strategy=z.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
-            d = z.ZstdCompressionDict(model.ordinary + content + _CARRIER.tobytes(), dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            made.append(z.ZstdCompressor(dict_data=d, compression_params=params))
-        _coders[key] = made
+        size = max(len(model.ordinary), len(model.toxic))
+        _coders[key] = [coder(model.common + part.rjust(size, b"\xff")) for part in (model.ordinary, model.toxic)]
     return _coders[key]
 
 
-def gains(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Bytes that the toxic dictionary saves in each window."""
+def lengths(compressor, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Compressed bytes of each window; data is in lower case."""
     if not len(starts):
         return np.zeros(0, np.int64)
     import zstandard as z
@@ -113,10 +115,15 @@ def gains(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     buffer, own = np.empty(at[-1], np.uint8), np.ones(at[-1], bool)
     carrier = at[:-1, None] + np.arange(c)
     buffer[carrier], own[carrier] = _CARRIER, False
-    buffer[own] = LOWER[data[np.repeat((starts - np.cumsum(n) + n).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)]]
+    buffer[own] = data[np.repeat((starts - np.cumsum(n) + n).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)]
     joined = z.BufferWithSegments(buffer.tobytes(), np.column_stack([at[:-1], n + c]).astype(np.uint64).tobytes())
-    ordinary, toxic = ([len(x) for x in coder.multi_compress_to_buffer(joined)] for coder in coders(model))
-    return np.array(ordinary, np.int64) - np.array(toxic, np.int64)
+    return np.array([len(x) for x in compressor.multi_compress_to_buffer(joined)], np.int64)
+
+
+def gains(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bytes that the toxic dictionary saves in each window."""
+    ordinary, toxic = (lengths(x, LOWER[data], starts, ends) for x in coders(model))
+    return ordinary - toxic
 
 
 THRESHOLDS = (1, 2, 3, 4, 6)
@@ -138,38 +145,6 @@ def features(gain: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.column_stack(columns).astype(float)
 
 
-def segments(toxic: list[bytes], ordinary: list[bytes], size: int) -> bytes:
-    """Beginnings of words, whole ones included, that recur in toxic texts and are rare in ordinary ones.
-
-    They are ranked by the likelihood ratio of the document frequencies; the most telling stand last, where offsets are short.
-    """
-
-    def counts(texts):
-        seen: Counter = Counter()
-        for t in texts:
-            parts = set()
-            for w in set(t.split()):
-                s = b" " + w + b" "
-                parts |= {s[:k] for k in range(6, min(len(s), 14))} | {s[:64]}
-            seen.update(parts)
-        return seen
-
-    t, o, nt, no = counts(toxic), counts(ordinary), len(toxic), len(ordinary)
-    ratio = {}
-    for p, k in t.items():
-        a, b = (k + 0.5) / (nt + 1), (o[p] + 0.5) / (no + 1)
-        if k >= 4 and len(p) >= 6 and a > ODDS * b:
-            m = (k + o[p] + 1) / (nt + no + 2)
-            g = 2 * (k * np.log(a / m) + (nt - k) * np.log((1 - a) / (1 - m)) + o[p] * np.log(b / m) + (no - o[p]) * np.log((1 - b) / (1 - m)))
-            if g >= RATIO:
-                ratio[p] = g
-    picked: list[bytes] = []
-    for p in sorted(ratio, key=lambda p: (-ratio[p], -len(p), p)):
-        if not any(p in q or q in p for q in picked):
-            picked.append(p)
-    return b"".join(reversed(picked))[-size:]
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Newton's method with a ridge, classes as they come."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -209,42 +184,77 @@ def distinct(texts: list[bytes], words: int = 4) -> list[bytes]:
     return kept
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], window: int = WINDOW, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Dictionaries from half of the sample, score calibrated on the other half, and the reverse.
-
-    shares: the share of each class's labelled texts that the sample holds; the score is calibrated to
-    the classes as they are labelled, not as they are sampled.
-    """
+def dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
     import zstandard as z
 
-    if len(toxic) < 4 or len(ordinary) < 4:
-        return Model()
+    try:
+        return z.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except z.ZstdError:  # too little text to train on
+        return b"".join(samples)[-size:]
+
+
+class Fold:
+    """Windows of a part of the sample, of toxic texts and of ordinary ones."""
+
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes], window: int):
+        self.sides = []
+        for texts in (toxic, ordinary):
+            data, offs = _flat(texts)
+            self.sides.append((data, *windows(data, offs, window)))
+        self.raw = [side[0].tobytes() for side in self.sides]
+        self.picked: list[list[bytes]] = [[], []]
+
+    def pick(self, side: int, which: np.ndarray) -> None:
+        _, starts, ends, _ = self.sides[side]
+        self.picked[side] = [b" " + self.raw[side][a:b] + b" " for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+
+    def gains(self, model: Model) -> list[np.ndarray]:
+        return [gains(model, *side[:3]) for side in self.sides]
+
+
+def threshold(toxic: np.ndarray, ordinary: np.ndarray) -> int:
+    """The least gain that toxic windows reach TIMES as often."""
+    for g in range(1, 24):
+        a, b = float((toxic >= g).mean()), float((ordinary >= g).mean())
+        if a > 0 and a >= TIMES * b:
+            return g
+    return max(1, int(np.quantile(toxic, 0.99)))
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], window: int = WINDOW, labelled: tuple[int, int] | None = None) -> Model:
+    """Dictionaries of all folds, and a score calibrated on each fold with the dictionaries of the others.
+
+    labelled: rows of each class; the score is calibrated to their shares, not to those of the sample.
+    """
     toxic, ordinary = ([LOWER[np.frombuffer(t, np.uint8)].tobytes() for t in distinct(side)] for side in (toxic, ordinary))
-    if len(toxic) < 4 or len(ordinary) < 4:
+    if len(toxic) < FOLDS or len(ordinary) < FOLDS:
         return Model()
-
-    def train(tox, ord_):
-        try:
-            common = z.train_dictionary(DICTIONARY, ord_).as_bytes()
-        except z.ZstdError:  # too little text to train on
-            common = b"".join(ord_)[-DICTIONARY:]
-        return Model(common, segments(tox, ord_, SEGMENTS), window=window)
-
-    # Dictionaries from one half meet unseen texts in the other: that calibrates the score of dictionaries from all.
-    xs, ys = [], []
-    for half in (0, 1):
-        m = train(toxic[half::2], ordinary[half::2])
-        for side, label in ((toxic, 1.0), (ordinary, 0.0)):
-            rest = side[1 - half :: 2]
-            data, offs = _flat(rest)
-            a, b, first = windows(data, offs, window)
-            xs.append(features(gains(m, data, a, b), first))
-            ys.append(np.full(len(rest), label))
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    model = train(toxic, ordinary)
+    folds = [Fold(toxic[k::FOLDS], ordinary[k::FOLDS], window) for k in range(FOLDS)]
+    common = dictionary(DICTIONARY, ordinary, SEGMENT)
+    for k, fold in enumerate(folds):
+        compressor = coder(dictionary(DICTIONARY, [t for j in range(FOLDS) if j != k for t in ordinary[j::FOLDS]], SEGMENT))
+        cost = [lengths(compressor, *side[:3]) / (side[2] - side[1] + 8.0) for side in fold.sides]
+        least = np.quantile(cost[1], 1 - HARD)
+        for side in (0, 1):
+            fold.pick(side, np.flatnonzero(cost[side] >= least))
+
+    def trained(of: list[Fold]) -> Model:
+        a, b = (dictionary(CLASS, [x for f in of for x in f.picked[side]], CLASS_SEGMENT) for side in (0, 1))
+        return Model(common, b, a, window=window)
+
+    for turn in range(ROUNDS + 1):
+        found = [fold.gains(trained([f for f in folds if f is not fold])) for fold in folds]
+        if turn < ROUNDS:
+            for fold, (a, b) in zip(folds, found, strict=True):
+                fold.pick(0, np.flatnonzero(a >= threshold(a, b)))
+                fold.pick(1, np.flatnonzero(b >= 1))
+    x = np.concatenate([features(g, side[3]) for fold, got in zip(folds, found, strict=True) for g, side in zip(got, fold.sides, strict=True)])
+    y = np.concatenate([np.full(len(side[3]) - 1, label) for fold in folds for side, label in zip(fold.sides, (1.0, 0.0), strict=True)])
+    model = trained(folds)
     model.centre, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     model.weights = logistic((x - model.centre) / model.scale, y)
-    model.weights[0] += math.log(shares[1] / shares[0])
+    if labelled:
+        model.weights[0] += math.log(labelled[0] / labelled[1] / (len(toxic) / len(ordinary)))
     return model
 
 
@@ -256,22 +266,34 @@ def score(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -700, 700)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, longest: int = SAMPLE_TEXT) -> tuple[list[bytes], list[bytes], tuple[float, float]]:
-    """At most ``size`` training texts of each class, chosen by a hash of the id; and the shares of the classes that this is."""
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[bytes], list[bytes], tuple[int, int]]:
+    """Training texts of each class, at most ``size`` and ``most`` bytes, chosen by a hash of the id; and how many are labelled."""
     known = labels.where("doc_id is not null and toxic is not null").where(remainder(F.col("doc_id"), HELD_OUT) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = {int(r.toxic): r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = [d.collect() for d in (known.where(F.col("toxic") == k).orderBy(*order).limit(size) for k in (1, 0))]
-    few = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic)) for d in ids for r in d], "_id long, _toxic int")  # 2 x size rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    got = sorted(((r._toxic, r.doc_id, r.text.encode()) for r in rows.select("_toxic", "doc_id", "text").toLocalIterator()), key=lambda r: r[:2])
-    shares = tuple(len(d) / max(1, there.get(k, 0)) or 1.0 for k, d in zip((1, 0), ids, strict=True))
-    return [t for k, _, t in got if k == 1], [t for k, _, t in got if k == 0], shares
+    spark, used = docs.sparkSession, []
+    for k in (1, 0):
+        ids = [r.doc_id for r in known.where(F.col("toxic") == k).orderBy(*order).limit(size).select("doc_id").collect()]
+
+        def of(wanted):
+            few = spark.createDataFrame([(d,) for d in wanted], "_id long")  # ``size`` rows at most
+            return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
+
+        length: dict[int, int] = {}
+        for r in of(ids).groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect():
+            length[r.doc_id] = r.n
+        total, taken = 0, []
+        for d in (d for d in ids if d in length):
+            if total + length[d] <= most:
+                total += length[d]
+                taken.append(d)
+        used.append([t for _, t in sorted((r.doc_id, r.text.encode()) for r in of(taken).select("doc_id", "text").toLocalIterator())])
+    return *used, (there.get(1, 0), there.get(0, 0))
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    toxic, ordinary, shares = sample(docs, labels, **options)
-    return fit(toxic, ordinary, shares=shares)
+    toxic, ordinary, labelled = sample(docs, labels, **options)
+    return fit(toxic, ordinary, labelled=labelled)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -81,12 +81,39 @@ def test_words_of_a_copied_text_are_no_marks():
     toxic, ordinary = [t.encode() for _, t, k in data if k], [t.encode() for _, t, k in data if not k]
     copied = b"plain harmless unusual wording here " + ordinary[0]
     model = tx.fit(toxic + [copied + b" %d" % i for i in range(300)], ordinary)
-    assert b"harmless" not in model.toxic and b"abominator" in model.toxic
+    assert b"harmless unusual" not in model.toxic and b"abominat" in model.toxic
     assert len(tx.distinct([copied, copied, ordinary[1], b"", copied + b" x"])) == 2
 
 
 def test_score_is_calibrated_to_labelled_shares():
     data = corpus(400)
     toxic, ordinary = [t.encode() for _, t, k in data if k], [t.encode() for _, t, k in data if not k]
-    a, b = tx.fit(toxic, ordinary), tx.fit(toxic, ordinary, shares=(1.0, 0.1))
+    a, b = (tx.fit(toxic, ordinary, labelled=n) for n in ((100, 300), (10, 300)))
     assert np.isclose(b.weights[0] - a.weights[0], np.log(0.1))
+
+
+def test_the_sample_is_bounded_by_bytes_of_whole_texts(spark):
+    docs = spark.createDataFrame([(i, "x " * (50 if i % 10 else 5000)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    toxic, ordinary, labelled = tx.sample(docs, labels, most=12_000)
+    assert all(sum(map(len, side)) <= 12_000 and {len(t) for t in side} <= {100, 10_000} for side in (toxic, ordinary))
+    assert labelled == tuple(sum(zlib.crc32(str(i).encode()) % 5 != 0 and i % 2 == k for i in range(100)) for k in (1, 0))
+
+
+def test_classes_differ_without_any_telling_words():
+    """No word is rarer in one class than twice as in the other: the order of words alone tells them apart."""
+    r = random.Random(5)
+    vocab = ["".join(r.choice(["an", "ti", "re", "so", "lu", "me"]) for _ in range(2)) for _ in range(40)]
+    bad = [" ".join(r.sample(vocab, 4)) for _ in range(3)]
+    toxic, ordinary = [], []
+    for i in range(500):
+        words = [r.choice(vocab) for _ in range(60)]
+        for _ in range(4):
+            at, phrase = r.randrange(len(words)), r.choice(bad).split()
+            if i % 2:
+                r.shuffle(phrase)
+            words[at:at] = phrase
+        (ordinary if i % 2 else toxic).append(" ".join(words).encode())
+    model = tx.fit(toxic[:200], ordinary[:200])
+    got = [tx.score(model, *tx._flat(side[200:])) for side in (toxic, ordinary)]
+    assert np.mean(got[0][:, None] > got[1][None, :]) > 0.6
