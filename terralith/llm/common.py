@@ -31,6 +31,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` saved, and marked for broadcast if it has at most so many rows."""
+    df = saved(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind them as make them differ from all columns of ``df``."""
+    taken, end = {c.lower() for c in df.columns}, ""
+    while any((n + end).lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
 def n_words(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -42,11 +42,11 @@ WINDOW = 32
 #: Bytes of the large dictionary of ordinary text, and of those of the classes; segments that the trainer picks for them.
 DICTIONARY, CLASS = 112 << 10, 4 << 10
 SEGMENT, CLASS_SEGMENT = 64, 32
-FOLDS, ROUNDS = 4, 2
+FOLDS, ROUNDS = 4, 3
 #: Windows of the first round: this share, those that the large dictionary compresses worst.
 HARD = 0.3
 #: A window gains if toxic windows reach its gain this many times as often as ordinary ones.
-TIMES = 5
+TIMES = 3
 HELD_OUT = 5
 
 
@@ -185,12 +185,18 @@ def distinct(texts: list[bytes], words: int = 4) -> list[bytes]:
 
 
 def dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
+    """The trainer's; with longer segments where it gives up early."""
     import zstandard as z
 
-    try:
-        return z.train_dictionary(size, samples, k=segment, d=6).as_bytes()
-    except z.ZstdError:  # too little text to train on
-        return b"".join(samples)[-size:]
+    best = b""
+    for k in range(segment, 2 * segment, max(1, segment // 4)):
+        try:
+            best = max(best, z.train_dictionary(size, samples, k=k, d=6).as_bytes(), key=len)
+        except z.ZstdError:  # too little text to train on
+            break
+        if len(best) >= size // 2:
+            break
+    return best or b"".join(samples)[-size:]
 
 
 class Fold:

@@ -31,6 +31,21 @@ def rows(n=60, seed=3):
     return out
 
 
+#: Every name that an operator uses within, as columns of a user.
+INNER = "_id _sha _nth id sha own_sha nth _key _take _text _size key take text_ size_ total same own _same _own _t _s _w _q _keep keep recipe r group_size keep_id kept first n_points norm chunk taken target source_size bucket buckets epochs rest e_bucket b_before b_size b_rest weight w cap level capped turn n_rows d1 d2 tree blocks mine with task side rep n a b node component key_ which held_out score predicted".split()
+
+
+def clashing(spark, n=60):
+    """The table with a column of each of those names, which holds its own name and the row's doc_id."""
+    from pyspark.sql import functions as F
+
+    return table(spark, n).select("doc_id", "text", "lang", "source", "n_chars", *[F.concat_ws(" ", F.lit(c), F.col("doc_id")).alias(c) for c in INNER])
+
+
+def unchanged(got):
+    return all(r[c] == c + ("" if r.doc_id is None else f" {r.doc_id}") for r in got.collect() for c in INNER)
+
+
 def table(spark, n=60, seed=3):
     return spark.createDataFrame(rows(n, seed), SCHEMA).repartition(3)
 

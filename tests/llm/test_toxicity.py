@@ -6,7 +6,7 @@ import pytest
 
 from terralith.llm import toxicity as tx
 
-from .cases import SCHEMA, rows, table
+from .cases import SCHEMA, clashing, rows, table, unchanged
 
 
 def corpus(n=600, seed=1):
@@ -117,3 +117,9 @@ def test_classes_differ_without_any_telling_words():
     model = tx.fit(toxic[:200], ordinary[:200])
     got = [tx.score(model, *tx._flat(side[200:])) for side in (toxic, ordinary)]
     assert np.mean(got[0][:, None] > got[1][None, :]) > 0.6
+
+
+def test_clashing_columns_are_kept(spark, model):
+    docs = clashing(spark)
+    got = tx.reject(docs, model)
+    assert got.columns == docs.columns and unchanged(got)
