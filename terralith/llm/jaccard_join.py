@@ -22,7 +22,7 @@ are tied to another.
 Results in unusual cases: null, empty and wordless texts have no shingles and
 link with nothing; a null doc_id has a null component and links with nothing;
 rows that share a doc_id are one document, linked to itself; an empty table
-gives no rows; other columns are ignored (``classes``) or kept (``representatives``).
+gives no rows; other columns are ignored (``classes``) or kept, whatever their names (``representatives``).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators.components import Forest, connected_components
 
-from .common import documents, partitions, saved
+from .common import documents, own_names, partitions, saved
 from .substring_dedup import _rows, _split, bucket_of, deltas, get, put
 from .text import U64, flat, mix, pack, slices, tidy, unpack, window_hashes, word_bounds, word_hashes
 
@@ -475,8 +475,9 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK)
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id stands for its component; texts without shingles all stay."""
-    kept = classes(docs, n, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    (keep,) = own_names(docs, "keep")
+    kept = classes(docs.select("doc_id", "text"), n, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(keep)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(keep)), "left_semi")
 
 
 def op5_jaccard_join(spark, sf_dir):

@@ -8,13 +8,14 @@ source's words meet its target exactly.
 A source may hold most rows.  Keys are therefore cut into buckets of equal
 probability; bucket totals (partial aggregation, a bounded number of rows for a
 source) tell which bucket holds the end of the budget, and only that bucket's
-rows are sorted and prefix-summed.
+rows are sorted and prefix-summed.  What is known of a source meets its rows by broadcast, as long
+as there are at most 10,000 sources, so that a large one is not brought together.
 
 Results in unusual cases: null or empty text has size 0 and is never taken; a
 null source is a source of its own, last in order; a null quality weight counts
 as 1; rows that repeat a doc_id are rows of their own, ties go by key, doc_id
 and size; an empty table gives no rows; other columns are ignored (``plan_mix``)
-or kept (``mix``).
+or kept (``mix``), whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, n_words, saved, uniform_bits
+from .common import documents, n_words, own_names, saved, small, uniform_bits
 
 SEED = 17
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -75,6 +76,7 @@ def plan_mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = SEED
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_epochs)), F.floor(F.rint("target") / F.col("source_size")))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.rint("target").cast("long") - F.col("epochs") * F.col("source_size"))
     plan = plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(bucket_rows)))).select(F.col("source").alias("_s"), "source_size", "target", "epochs", "rest", "buckets")
+    plan = small(plan)
     same = F.col("source").eqNullSafe(F.col("_s"))
     keyed = rows.join(plan, same).drop("_s").withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")))
     # The bucket in which the rest of the budget ends: one row a source and bucket, then one row a source.
@@ -82,7 +84,7 @@ def plan_mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = SEED
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = sums.withColumn("b_before", F.coalesce(F.sum("b_size").over(up_to), F.lit(0)))
     ends = ends.where("b_before < b_rest and b_before + b_size >= b_rest").select(F.col("source").alias("_s"), F.col("bucket").alias("e_bucket"), "b_before")
-    keyed = keyed.join(ends, same, "left").drop("_s")
+    keyed = keyed.join(small(ends), same, "left").drop("_s")
     columns = ["doc_id", "source", "size", "source_size", "target"]
     whole = keyed.where("e_bucket is null or bucket <> e_bucket").select(*columns, (F.col("size") * (F.col("epochs") + F.when(F.col("bucket") < F.col("e_bucket"), 1).otherwise(0))).alias("taken"))
     cut = keyed.where("bucket = e_bucket")
@@ -98,23 +100,33 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     match) if it is taken in part.  Documents that share a doc_id and a source
     and differ in text are taken by their own sizes.
     """
-    def key(size):
+    key, size_, total, same, own, take, text_ = own_names(docs, "key", "size_", "total", "same", "own", "take", "text_")
+
+    def key_of_row(size):
         return F.to_json(F.struct("doc_id", "source", size.alias("size")))
 
-    plan = plan_mix(docs, **options).where("taken > 0").groupBy(key(F.col("size")).alias("_key")).agg(F.sum("taken").alias("_t"), F.count(F.lit(1)).alias("_same"))
-    own = docs.withColumn("_size", n_words(F.col("text")))
-    joined = own.withColumn("_key", key(F.col("_size"))).join(plan, "_key")
+    # The plan's own columns are named here, so that columns of ``docs`` can't meet them.
+    plan = plan_mix(docs.select("doc_id", "source", "text"), **options).where("taken > 0").groupBy(key_of_row(F.col("size")).alias(key)).agg(F.sum("taken").alias(total), F.count(F.lit(1)).alias(same))
+    rows = docs.withColumn(size_, n_words(F.col("text")))
+    joined = rows.withColumn(key, key_of_row(F.col(size_))).join(plan, key)
     # Repeated rows share what they take: each its whole part, the first the remainder.
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
-    each = F.floor(F.col("_t") / F.col("_same"))
-    joined = joined.withColumn("_own", F.when(F.col("_same") == 1, F.col("_t")).otherwise(each + F.when(nth == 1, F.col("_t") - each * F.col("_same")).otherwise(0)))
-    copies = F.floor(F.col("_own") / F.col("_size"))
-    part = F.col("_own") - copies * F.col("_size")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("text"))
+    each = F.floor(F.col(total) / F.col(same))
+    joined = joined.withColumn(own, F.when(F.col(same) == 1, F.col(total)).otherwise(each + F.when(nth == 1, F.col(total) - each * F.col(same)).otherwise(0)))
+    copies = F.floor(F.col(own) / F.col(size_))
+    part = F.col(own) - copies * F.col(size_)
     takes = F.concat(F.array_repeat(F.lit(None).cast("long"), copies.cast("int")), F.when(part > 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<long>")))
-    rows = joined.withColumn("_take", F.explode(takes))
-    text = F.when(F.col("_take").isNull(), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.coalesce("_take", F.lit(0)).cast("int")), " "))
-    columns = [F.when(F.col("_take").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType)).alias("n_chars") if c == "n_chars" else F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.withColumn("_text", text).select(*columns)
+    taken = joined.withColumn(take, F.explode(takes))
+    text = F.when(F.col(take).isNull(), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.coalesce(take, F.lit(0)).cast("int")), " "))
+
+    def column(c):
+        if c == "text":
+            return F.col(text_).alias("text")
+        if c == "n_chars":
+            return F.when(F.col(take).isNull(), F.col("n_chars")).otherwise(F.length(text_).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+        return F.col(f"`{c}`")
+
+    return taken.withColumn(text_, text).select(*[column(c) for c in docs.columns])
 
 
 def label_weights(spark, sf_dir: str) -> DataFrame:

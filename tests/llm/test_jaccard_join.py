@@ -5,7 +5,7 @@ import pytest
 
 from terralith.llm import jaccard_join as jj
 
-from .cases import SCHEMA, look_alikes, rows, table
+from .cases import SCHEMA, clashing, look_alikes, rows, table, unchanged
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -116,3 +116,10 @@ def test_words_that_weak_hashes_confuse(spark):
     got = jj.classes(spark.createDataFrame(look_alikes(), SCHEMA), 3, 90)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(look_alikes(), 3, 90)
     assert all(r.component_id == r.doc_id for r in got.collect())
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = clashing(spark)
+    got = jj.representatives(docs)
+    assert got.columns == docs.columns and unchanged(got)
+    assert got.count() == jj.representatives(table(spark)).count()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terralith.llm import mixing
 
-from .cases import SCHEMA, rows, table
+from .cases import SCHEMA, clashing, rows, table, unchanged
 
 
 def brute_targets(sizes, weights, share, most):
@@ -75,3 +75,17 @@ def test_mix_emits_what_the_plan_takes(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = clashing(spark)
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and unchanged(got)
+    plain = sorted((str(r.doc_id), r.text) for r in mixing.mix(table(spark)).collect())
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == plain
+
+
+def test_many_sources_go_without_a_broadcast(spark, monkeypatch):
+    want = sorted(map(str, mixing.plan_mix(table(spark)).collect()))
+    monkeypatch.setattr(mixing, "small", lambda df: df)
+    assert sorted(map(str, mixing.plan_mix(table(spark)).collect())) == want
