@@ -10,8 +10,9 @@ template and their like, closed dialogs, the body of closed details, and the opt
 a select but the chosen one.  Rules in ``@media`` count where they hold for a screen ``SCREEN``
 pixels wide; of media features only widths are known, a query with another one doesn't hold.
 
-Pages are handled one at a time without recursion but for tables in tables, up to
-``TABLES`` deep; what lies deeper is laid out as blocks.  Results in unusual
+Pages are handled one at a time without recursion, tables in tables from the inside out.  The
+scanner only moves forward, and open elements are found by tables of their places, so that the
+work grows with the length of a page, whatever is in it.  Results in unusual
 cases: null or empty HTML gives an empty text; broken markup is repaired or
 shown as text; repeated rows are rows of their own; an empty table gives no
 rows; other columns are ignored.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,20 +54,21 @@ IMPLIED = {
 IMPLIED |= {k: IMPLIED["tbody"] for k in ("thead", "tfoot")} | {k: ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}) for k in ("caption", "colgroup")}
 SCOPE = set("table td th caption template html body button object".split())
 IN_HEAD = set("base link meta title style script noscript template".split())
-TABLES = 40
 SCREEN = 1280
 #: Types of inputs that show no text of their value; unknown types are text.
 UNSHOWN_INPUTS = set("hidden password checkbox radio file color range image".split())
 
-_TAG = re.compile(r"<(?:(!--.*?(?:-->|$))|([!?][^>]*(?:>|$))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|(/[^a-zA-Z>][^>]*(?:>|$)))", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_BETWEEN = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _SIMPLE = re.compile(r"[.#]?[-\w]+")
 _DECLARED = re.compile(r"(?:^|[;{}])\s*(display|visibility)\s*:\s*([-a-z]+)\s*(!\s*important)?", re.I)
 _STOP = re.compile(r"[{};\"']")
 _STRING = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*(?:{q}|\n|$)", re.S) for q in "\"'"}
 _AT = re.compile(r"@([-\w]+)(.*)", re.S)
-_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
 _WIDTH = re.compile(r"\(\s*(min|max)-(?:device-)?width\s*:\s*([\d.]+)\s*(px|r?em)\s*\)")
 
 
@@ -76,45 +79,99 @@ class Node:
         self.tag, self.attrs, self.below = tag, attrs, []
 
 
+def attributes(page: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], int]:
+    """Attributes from a place after a tag's name, and the place after the tag; a quote that nothing closes is a letter.
+
+    last: where the page's last quote of each kind is.
+    """
+    out: dict[str, str] = {}
+    while True:
+        at = _BETWEEN.match(page, at).end()
+        if page[at : at + 1] in (">", ""):
+            return out, at + 1
+        name = _ATTRIBUTE.match(page, at)
+        at = name.end()
+        value = ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            if quote in last and at < last[quote]:
+                stop = page.find(quote, at + 1)
+                value, at = page[at + 1 : stop], stop + 1
+            elif quote:
+                found = _UNQUOTED.match(page, at)
+                value, at = found[0], found.end()
+        out.setdefault(name[0].lower(), html.unescape(value))
+
+
+def tags(page: str) -> Iterator[tuple[str, str, str, dict[str, str], int]]:
+    """(text before, "/" or "", name, attributes, place after); what is told by ``send`` is where to go on.  The name is empty at the end."""
+    at, end = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    begin = 0
+    while True:
+        open_ = page.find("<", at)
+        if open_ < 0:
+            yield page[begin:], "", "", {}, end
+            return
+        after = page[open_ + 1 : open_ + 2]
+        if after in ("!", "?") or (after == "/" and not page[open_ + 2 : open_ + 3].isalpha()):
+            if after == "/" and page[open_ + 2 : open_ + 3] in (">", ""):
+                stop, close = open_ + 2, ">"
+            else:
+                close = "-->" if page.startswith("<!--", open_) else ">"
+                stop = open_ + 2
+            found = page.find(close, stop)
+            at = end if found < 0 else found + len(close)
+            if begin < open_:
+                yield page[begin:open_], "", "!", {}, at
+            begin = at
+            continue
+        name = _NAME.match(page, open_ + 1 + (after == "/"))
+        if name is None or not name[0][0].isascii():
+            at = open_ + 1
+            continue
+        attrs, stop = attributes(page, name.end(), last)
+        stop = min(stop, end)
+        told = yield page[begin:open_], "/" if after == "/" else "", name[0].lower(), attrs, stop
+        at = begin = stop if told is None else told
+        if told is not None:
+            yield "", "", "!", {}, at
+
+
 def parse(page: str) -> tuple[Node, list[str]]:
     """The tree of a page, and the texts of its style elements."""
     root = Node("html", {})
     stack, styles = [root], []
-    opened: dict[str, int] = {"html": 1}
-    at, end = 0, len(page)
+    places: dict[str, list[int]] = {"html": [0]}
+    end = len(page)
 
     def push(node: Node) -> None:
         stack[-1].below.append(node)
+        places.setdefault(node.tag, []).append(len(stack))
         stack.append(node)
-        opened[node.tag] = opened.get(node.tag, 0) + 1
 
-    def pop() -> Node:
-        node = stack.pop()
-        opened[node.tag] -= 1
-        return node
+    def pop() -> None:
+        places[stack.pop().tag].pop()
 
-    def close(tags: set[str], scope: set[str]) -> None:
-        """Ends the outermost open element of the tags inside the scope, with all in it."""
-        if not any(opened.get(t) for t in tags):
-            return
-        found = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                found = k
-            elif stack[k].tag in scope:
-                break
-        while found and len(stack) > found:
+    def innermost(names: set[str]) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
+    def close(names: set[str], scope: set[str]) -> None:
+        """Ends the outermost open element of the names inside the scope, with all in it."""
+        bound, found = innermost(scope), end + 1
+        for t in names:
+            if places.get(t) and places[t][-1] > bound:
+                found = min(found, places[t][bisect_right(places[t], bound)])
+        while len(stack) > found:
             pop()
 
-    def close_p() -> None:
-        if opened.get("p"):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    while len(stack) > k:
-                        pop()
-                    return
-                if stack[k].tag in SCOPE:
-                    return
+    def close_one(tag: str, scope: set[str]) -> None:
+        """Ends the innermost open element of the name, unless one of the scope is open in it."""
+        if places.get(tag) and places[tag][-1] > innermost(scope):
+            found = places[tag][-1]
+            while len(stack) > found:
+                pop()
 
     def text(s: str) -> None:
         if not s:
@@ -123,46 +180,30 @@ def parse(page: str) -> tuple[Node, list[str]]:
             pop()
         stack[-1].below.append(html.unescape(s))
 
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[4] is None:
+    found = tags(page)
+    for before, slash, tag, attrs, at in found:
+        text(before)
+        if tag in ("", "!"):
             continue
-        tag = m[4].lower()
-        if m[3]:
-            if tag == "p" and not opened.get("p"):
+        if slash:
+            if tag == "p" and not places.get("p"):
                 stack[-1].below.append(Node("p", {}))
             elif tag == "br":
                 stack[-1].below.append(Node("br", {}))
-            elif tag not in ("html", "body") and opened.get(tag):
-                stop = {"table"} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot") else set() if tag == "table" else {"td", "th", "caption", "table"}
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k].tag in stop:
-                        break
+            elif tag not in ("html", "body"):
+                close_one(tag, {"table"} - {tag} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot") else set() if tag == "table" else {"td", "th", "caption", "table"} - {tag})
             continue
-        attrs: dict[str, str] = {}
-        if m[5]:
-            for a in _ATTRIBUTE.finditer(m[5]):
-                attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         if tag in ("html", "body", "head"):
-            if tag == "html" or (tag == "body" and opened.get("body")):
+            if tag == "html" or (tag == "body" and places.get("body")):
                 for k, v in attrs.items():
-                    next(n for n in stack if n.tag == tag).attrs.setdefault(k, v)
+                    stack[places[tag][0]].attrs.setdefault(k, v)
                 continue
-            if tag == "head" and (opened.get("body") or opened.get("head")):
+            if tag == "head" and (places.get("body") or places.get("head")):
                 continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
             pop()
         if tag in CLOSES_P:
-            close_p()
+            close_one("p", SCOPE)
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             pop()
         if tag in IMPLIED:
@@ -175,12 +216,12 @@ def parse(page: str) -> tuple[Node, list[str]]:
         elif tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
             inner = page[at : stop.start() if stop else end]
-            at = end if not stop else max(stop.end(), page.find(">", stop.end()) + 1 or end)
             stack[-1].below.append(node)
             if tag == "style":
                 styles.append(inner)
             elif tag in ("textarea", "xmp"):
                 node.below.append(html.unescape(inner) if tag == "textarea" else inner)
+            found.send(end if not stop else page.find(">", stop.end()) + 1 or end)
         else:
             push(node)
     return root, styles
@@ -190,28 +231,6 @@ def parse(page: str) -> tuple[Node, list[str]]:
 Rules = dict[str, dict[str, tuple[bool, int, str]]]
 
 
-def css_blocks(css: str) -> Iterator[tuple[str, str]]:
-    """What stands before each outermost block, and the block, by the depth of braces; the end closes what is open."""
-    depth, start, at, before = 0, 0, 0, ""
-    while m := _STOP.search(css, at):
-        at, c = m.end(), m[0]
-        if c in _STRING:
-            at = _STRING[c].match(css, at).end()
-        elif c == "{":
-            if not depth:
-                before, start = css[start : m.start()].strip(), at
-            depth += 1
-        elif c == "}":
-            if depth == 1:
-                yield before, css[start : m.start()]
-            depth = max(0, depth - 1)
-            start = start if depth else at
-        elif not depth:
-            start = at
-    if depth:
-        yield before, css[start:]
-
-
 def on_screen(media: str) -> bool:
     """Whether one query of a list of media queries holds."""
 
@@ -231,21 +250,45 @@ def on_screen(media: str) -> bool:
     return any(map(holds, media.lower().split(",")))
 
 
-def own_declarations(body: str) -> str:
-    """Those of a rule without strings and without rules in it."""
-    out: list[str] = []
-    now, depth = "", 0
-    for part in re.split(r"([{};])", _QUOTED.sub("", body)):
-        if part == "{":
-            now, depth = "", depth + 1
-        elif part == "}":
-            now, depth = "", max(0, depth - 1)
-        elif not depth and part == ";":
-            out.append(now)
-            now = ""
-        elif not depth:
-            now = part
-    return ";".join([*out, now])
+def css_rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and own declarations, without strings, of the rules that hold on a screen, read once by the depth of braces.
+
+    Rules in rules and what follows an at-rule without a block are left out; the end closes what is open.
+    """
+    open_: list[tuple[str, bool, list[str]]] = []  # selectors, empty for at-rules; whether it holds; declarations
+    parts: list[str] = []
+    at = start = 0
+
+    def close() -> Iterator[tuple[str, str]]:
+        selectors, holds, own = open_.pop()
+        if selectors and holds:
+            yield selectors, ";".join([*own, "".join(parts)])
+
+    while m := _STOP.search(css, at):
+        parts.append(css[start : m.start()])
+        at = start = m.end()
+        c = m[0]
+        if c in _STRING:
+            at = start = _STRING[c].match(css, at).end()
+            continue
+        before = "".join(parts).strip()
+        if c == "{":
+            holds = not open_ or (open_[-1][1] and not open_[-1][0])
+            if at_rule := _AT.match(before):
+                name, rest = at_rule[1].lower(), at_rule[2].strip()
+                shown = (name == "media" and on_screen(rest)) or name == "layer" or (name == "supports" and not rest.lower().startswith("not"))
+                open_.append(("", holds and shown, []))
+            else:
+                open_.append((before or "?", holds, []))
+        elif c == "}" and open_:
+            yield from close()
+        elif c == ";" and open_:
+            open_[-1][2].append(before)
+        parts = []
+    parts.append(css[start:])
+    while open_:
+        yield from close()
+        parts = []
 
 
 def style_rules(styles: list[str]) -> Rules:
@@ -253,19 +296,8 @@ def style_rules(styles: list[str]) -> Rules:
     out: Rules = {}
     place = 0
     for css in styles:
-        # Blocks in blocks: what follows an at-rule is read after what is in it.
-        stack = [css_blocks(re.sub(r"/\*.*?(?:\*/|$)", "", css, flags=re.S).replace("<!--", "").replace("-->", ""))]
-        while stack:
-            before, body = next(stack[-1], (None, ""))
-            if before is None:
-                stack.pop()
-                continue
-            if m := _AT.match(before):
-                name, rest = m[1].lower(), m[2].strip()
-                if len(stack) <= TABLES and ((name == "media" and on_screen(rest)) or name == "layer" or (name == "supports" and not rest.lower().startswith("not"))):
-                    stack.append(css_blocks(body))
-                continue
-            declared = [(m[1].lower(), m[2].lower(), bool(m[3])) for m in _DECLARED.finditer(own_declarations(body))]
+        for before, body in css_rules(re.sub(r"/\*.*?(?:\*/|$)", "", css, flags=re.S).replace("<!--", "").replace("-->", "")):
+            declared = [(m[1].lower(), m[2].lower(), bool(m[3])) for m in _DECLARED.finditer(body)]
             if not declared:
                 continue
             for selector in (x.strip() for x in before.split(",")):
@@ -351,7 +383,11 @@ def spans(node: Node, name: str, least: int, most: int) -> int:
     return min(max(int(n), least), most) if n.isdecimal() and len(n) < 6 else 1
 
 
-def cells(table: Node, rules: Rules, depth: int, shown: bool) -> tuple[list[str], list[list[tuple[int, str]]]]:
+#: Lines of tables that are laid out already, by their nodes.
+Laid = dict[int, list[str]]
+
+
+def cells(table: Node, rules: Rules, laid: Laid, shown: bool) -> tuple[list[str], list[list[tuple[int, str]]]]:
     """Texts of captions, and rows of (columns spanned, text); where a cell of an earlier row reaches down, the text is empty."""
     captions, rows, todo = [], [], [(n, shown, False, table) for n in reversed(table.below)]
     group, taken = table, {}  # taken: by column, the first row that the cell above leaves free
@@ -382,13 +418,13 @@ def cells(table: Node, rules: Rules, depth: int, shown: bool) -> tuple[list[str]
                     if free > at:
                         row.append((free - at, ""))
                     across, down = spans(c, "colspan", 1, 1000), spans(c, "rowspan", 0, 65534)
-                    row.append((across, "" if folded else " ".join(" ".join(render(c, rules, depth + 1, shown)).split())))
+                    row.append((across, "" if folded else " ".join(" ".join(render(c, rules, laid, shown)).split())))
                     at = free + across
                     if down != 1:
                         taken |= dict.fromkeys(range(free, at), number + down if down else float("inf"))
             rows.append(row)
         elif n.tag not in ("col", "colgroup"):
-            captions += render(n, rules, depth + 1, shown)
+            captions += render(n, rules, laid, shown)
     return captions, rows
 
 
@@ -420,7 +456,7 @@ def table_lines(rows: list[list[tuple[int, str]]]) -> list[str]:
     return out
 
 
-def render(root: Node, rules: Rules, depth: int = 0, shown: bool = True) -> list[str]:
+def render(root: Node, rules: Rules, laid: Laid, shown: bool = True) -> list[str]:
     out = Page()
     # (node, seen, preformatted, list counter) or a function to call when the element ends
     todo: list = [(root, shown, False, None)]
@@ -466,9 +502,8 @@ def render(root: Node, rules: Rules, depth: int = 0, shown: bool = True) -> list
         block = tag in BLOCK and node is not root
         if block:
             out.end_line(blanks)
-        if tag == "table" and depth < TABLES:
-            captions, rows = cells(node, rules, depth, shown)
-            for line in captions + table_lines(rows):
+        if tag == "table":
+            for line in laid[id(node)]:
                 out.put(line)
             out.end_line(1)
             continue
@@ -514,12 +549,30 @@ def render(root: Node, rules: Rules, depth: int = 0, shown: bool = True) -> list
     return out.lines
 
 
+def tables(root: Node, rules: Rules) -> list[tuple[Node, bool]]:
+    """All tables that are laid out, outer ones first, and whether they are visible."""
+    out, todo = [], [(root, True)]
+    while todo:
+        node, shown = todo.pop()
+        if node is not root and gone(node, rules):
+            continue
+        shown = seen(node, rules, shown)
+        if node.tag == "table":
+            out.append((node, shown))
+        todo += [(n, shown) for n in node.below if not isinstance(n, str)]
+    return out
+
+
 def extract(page: str | None) -> str:
     """The visible text of one page."""
     if not page:
         return ""
     root, styles = parse(page.replace("\0", "�"))
-    return "\n".join(render(root, style_rules(styles))).replace("\xa0", " ").strip("\n")
+    rules, laid = style_rules(styles), {}
+    for table, shown in reversed(tables(root, rules)):
+        captions, rows = cells(table, rules, laid, shown)
+        laid[id(table)] = captions + table_lines(rows)
+    return "\n".join(render(root, rules, laid)).replace("\xa0", " ").strip("\n")
 
 
 def texts(pages: DataFrame, column: str = "html", key: str = "page_id") -> DataFrame:

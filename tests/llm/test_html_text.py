@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -81,6 +82,93 @@ def test_deep_and_long_pages_end():
     assert len(ht.extract("<p>word " * 100_000).split()) == 100_000
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<b " * 350_000 + '"', "<b a='" * 180_000, "<b a='>'" * 120_000 + '"', "<!--" * 250_000, "</" * 500_000, "<" * 1_000_000, "<i><table><tr><td>" + "<b>" * 150_000 + "</i>" * 120_000, "<p>" + "<b>" * 200_000 + "<li>" * 100_000, "<style>" + "@media all{" * 90_000, "<style>" + "a{" * 400_000, "<title" * 150_000, "<style>/*" * 100_000, "&" * 1_000_000, "<table><tr><td>" * 3_000 + "x"],
+    ids=range(14),
+)
+def test_work_grows_with_the_length(page):
+    began = time.process_time()
+    ht.extract(page)
+    assert time.process_time() - began < 20
+
+
+MORE = [
+    ("<a title=don't>x</a> it's", "x it's"),
+    ("<a title=\"open>x</a>y", "xy"),
+    ("<p a='1' b=\"2>3\" c=4/>x", "x"),
+    ("a</>b</ c>d<?php e ?>f<!x>g<!-- h", "abdfg"),
+    ("1 <2 </3> <é>", "1 <2  <é>".replace("  ", " ")),
+    ("<p =x y>z", "z"),
+    ("<table><tr><td>" * 45 + "in" + "</table>" * 45 + "<p>out", "in\n\nout"),
+    ("<table style='visibility:hidden'><tr><td>a<td><table style='visibility:visible'><tr><td>b</table></table>", "  b"),
+    ("<title>x</title >y<textarea>a</textareab></textarea>", "ya</textareab>"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), MORE)
+def test_broken_markup(page, text):
+    assert ht.extract(page) == text
+
+
+def test_layout_of_trees_by_another_renderer():
+    """Random nests of blocks, lists, tables and inline elements against a renderer by recursion over what was generated."""
+    import random
+
+    r = random.Random(7)
+    count = iter(range(10**6))
+
+    def word():
+        return f"w{next(count)}"
+
+    def inline():
+        return ("inline", [word() for _ in range(r.randrange(1, 4))], r.choice(["", "b", "i", "span"]))
+
+    def blocks(depth):
+        kinds = ["div", "p"] + (["ul", "ol", "table", "hidden"] if depth < 3 else [])
+        return [make(r.choice(kinds), depth) for _ in range(r.randrange(1, 4))]
+
+    def make(kind, depth):
+        if kind in ("div", "p", "hidden"):
+            return (kind, [inline()] if kind == "p" or depth > 2 or r.random() < 0.5 else blocks(depth + 1))
+        if kind in ("ul", "ol"):
+            return (kind, [inline() for _ in range(r.randrange(1, 4))])
+        return (kind, [[word() for _ in range(n)] for n in [r.randrange(1, 4)] for _ in range(r.randrange(1, 4))])
+
+    def markup(node):
+        kind, body = node[:2]
+        if kind == "inline":
+            return (f"<{node[2]}>" if node[2] else "") + " ".join(body) + (f"</{node[2]}>" if node[2] else "")
+        if kind == "hidden":
+            return f"<div class=hid>{''.join(map(markup, body))}</div>"
+        if kind == "table":
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in body) + "</table>"
+        if kind in ("ul", "ol"):
+            return f"<{kind}>" + "".join(f"<li>{markup(x)}" for x in body) + f"</{kind}>"
+        return f"<{kind}>" + "".join(map(markup, body)) + f"</{kind}>"
+
+    def lines(node):
+        """Groups of lines; None stands for a blank line between blocks that are set apart."""
+        kind, body = node[:2]
+        if kind == "inline":
+            return [" ".join(body)]
+        if kind == "hidden":
+            return []
+        if kind == "table":
+            width = [max(len(row[k]) for row in body) for k in range(len(body[0]))]
+            return [None, *["  ".join(c.ljust(w) for c, w in zip(row, width)).rstrip() for row in body], None]
+        if kind in ("ul", "ol"):
+            return [None, *[("- " if kind == "ul" else f"{k}. ") + " ".join(x[1]) for k, x in enumerate(body, 1)], None]
+        inner = [x for n in body for x in lines(n)]
+        return [None, *inner, None] if kind == "p" else inner
+
+    for _ in range(150):
+        page = blocks(0)
+        flat = [x for n in page for x in lines(n)]
+        want = re.sub(r"\n{2,}", "\n\n", "\n".join("" if x is None else x for x in flat)).strip("\n")
+        assert ht.extract("<style>.hid{display:none}</style>" + "".join(map(markup, page))) == want
+
+
 def test_words_of_visible_text_are_all_there():
     import html
     import random
