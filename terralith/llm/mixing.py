@@ -30,7 +30,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET_SHARE = 1.5
 MAX_EPOCHS = 2
 #: Rows of a source meant for a bucket of keys; what one task sorts.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def key_of(doc_id: Column, weight: Column, seed: int) -> Column:
