@@ -36,7 +36,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -47,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, saved
+from .common import documents, release, saved
 from .substring_dedup import _split, bucket_of, get, put
 from .text import U64, flat, mix, pack, slices, tidy, unpack, word_bounds, word_hashes
 from .toxicity import remainder
@@ -278,15 +277,6 @@ class Model:
     types: int
 
 
-def release() -> None:
-    """Lets Spark's cleaner drop shuffle files that nothing refers to any more; else they stay until the driver's heap is full."""
-    from pyspark import SparkContext
-
-    gc.collect()
-    if SparkContext._active_spark_context is not None:
-        SparkContext._active_spark_context._jvm.System.gc()
-
-
 def learned(docs: DataFrame, order: int, asking: bool) -> tuple[Model, DataFrame]:
     """The model of the training texts, its shards in the shared folder; and answers to all texts, if they ask."""
     if order < 2:
@@ -303,7 +293,7 @@ def learned(docs: DataFrame, order: int, asking: bool) -> tuple[Model, DataFrame
         got = got.drop("stats")
         rows = got if rows is None else rows.unionByName(got)
         above = got.where((F.col("kind") == GRAMS) & (F.col("level") == level - 1))
-        release()
+        release(docs.sparkSession)
     d = {k: discounts_of(s[:4]) for k, s in stats.items()}
     one = stats[1]
     spare = float(d[1] @ [one[0], one[1], one[5] - one[0] - one[1]]) / one[4] if one[4] else 1.0
