@@ -30,6 +30,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of what was saved and is not referred to any more; else they stay until the driver's heap is full."""
+    spark.range(1).count()  # the scheduler holds its last job until it has another
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
