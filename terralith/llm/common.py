@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ def saved(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of what was saved and is not referred to any more; else they stay until the driver's heap is full."""
     spark.range(1).count()  # the scheduler holds its last job until it has another
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # the cleaner works beside it, and what it lets go of refers to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def partitions(spark: SparkSession) -> int:
