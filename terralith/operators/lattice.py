@@ -74,13 +74,12 @@ def reference_grid(left: float, bottom: float, right: float, top: float, cell: f
     return a, d, round((d - b) / cell), round((c - a) / cell)
 
 
-def check_cap(cap: float, buffer: float) -> float:
-    """Distances are exact up to the cap only if the lattice reaches that far beyond the area of interest."""
-    if cap > buffer:
-        raise ValueError(f"distance cap {cap} is over the buffer {buffer}")
-    return cap
-
-
 def seeded_sample(df: DataFrame, n: int, key: str = "cell_id", seed: int = 42) -> DataFrame:
     """n rows in the order of a seeded hash: the same rows at any partitioning."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
+
+
+def hashed(cells: DataFrame, seed: int) -> DataFrame:
+    """A score from 0 to 1 of each cell by md5 of the seed and its id: the same however rows are dealt."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_id").cast("string"))), 1, 13), 16, 10).cast("long")
+    return cells.withColumn("score", bits / F.lit(float(1 << 52)))

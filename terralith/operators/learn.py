@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import check_model_inputs
+from ..contracts import model_inputs
 from ..functions import ranks
 from .components import materialise
 
@@ -122,10 +122,9 @@ def probability(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("score", vector_to_array("probability")[1])
 
 
-def out_of_fold(df: DataFrame, columns: list[str], y: str, fold: str = "fold", make: Callable = forest, check: bool = True, **params) -> tuple[DataFrame, list]:
-    """Scores of each row by the model of the other folds, and the models."""
-    if check:
-        check_model_inputs(columns)
+def out_of_fold(df: DataFrame, columns: list[str], y: str, fold: str = "fold", make: Callable = forest, also: tuple[str, ...] = (), **params) -> tuple[DataFrame, list]:
+    """Scores of each row by the model of the other folds, and the models; only of columns that a model may see."""
+    model_inputs(columns, also)
     rows = materialise(balanced(assembled(df, columns), y))
     folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
     models, out = [], None
@@ -172,12 +171,12 @@ def permutation_importance(df: DataFrame, columns: list[str], y: str, models: li
     return spark.createDataFrame(rows, "feature string, drop double, impurity double").groupBy("feature").agg(F.avg("drop").alias("drop"), F.avg("impurity").alias("impurity"))
 
 
-def ablation(df: DataFrame, groups: dict[str, tuple], columns: list[str], y: str, check: bool = True, **params) -> DataFrame:
+def ablation(df: DataFrame, groups: dict[str, tuple], columns: list[str], y: str, **params) -> DataFrame:
     """group, auc, change: the mean fold AUC without each group of features, and its change."""
-    base = mean_fold_auc(out_of_fold(df, columns, y, check=check, **params)[0], y)
+    base = mean_fold_auc(out_of_fold(df, columns, y, **params)[0], y)
     rows = [("none", base, 0.0)]
     for name, gone in groups.items():
-        auc = mean_fold_auc(out_of_fold(df, [c for c in columns if c not in gone], y, check=check, **params)[0], y)
+        auc = mean_fold_auc(out_of_fold(df, [c for c in columns if c not in gone], y, **params)[0], y)
         rows.append((name, auc, auc - base))
     return df.sparkSession.createDataFrame(rows, "group string, auc double, change double")
 

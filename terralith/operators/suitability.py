@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,24 +11,26 @@ from ..functions import ranks
 from ..functions.vectors import clip
 
 
-def parse_matrix(rows: list[list]) -> np.ndarray:
-    """A comparison matrix whose entries may be written as fractions."""
-    return np.array([[float(Fraction(str(x))) for x in row] for row in rows])
+def comparisons(matrix) -> np.ndarray:
+    """Pairwise comparisons from text, rows parted by ``;``, or from rows; a number may be a fraction such as 1/3."""
+    if isinstance(matrix, str):
+        matrix = [row.split() for row in matrix.split(";")]
+    parts = [[[float(n) for n in str(cell).split("/")] for cell in row] for row in matrix]
+    return np.array([[cell[0] / cell[1] if len(cell) > 1 else cell[0] for cell in row] for row in parts])
 
 
-def ahp_weights(matrix: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Weights, largest eigenvalue and consistency ratio of a reciprocal matrix."""
-    n = len(matrix)
-    if matrix.shape != (n, n) or n > 10:
-        raise ValueError("a square matrix of at most ten criteria is needed")
-    if not np.allclose(matrix * matrix.T, 1, atol=1e-6) or (matrix <= 0).any():
-        raise ValueError("the matrix is not reciprocal")
-    values, vectors = np.linalg.eig(matrix)
-    at = int(np.argmax(values.real))
-    w = np.abs(vectors[:, at].real)
-    top = float(values[at].real)
-    ratio = (top - n) / (n - 1) / RANDOM_INDEX[n] if n > 2 else 0.0
-    return w / w.sum(), top, ratio
+def priorities(pairs: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float, float]:
+    """Weights, growth factor and consistency ratio: what repeated multiplication with the comparisons converges to."""
+    wrong = [f"{i}, {j}" for i, row in enumerate(pairs) for j, x in enumerate(row) if x <= 0 or abs(x * pairs[j][i] - 1) > 1e-6]
+    if wrong or not 0 < len(pairs) < len(RANDOM_INDEX):
+        raise ValueError(f"not a matrix of comparisons and their inverses: {wrong or len(pairs)}")
+    w = np.full(len(pairs), 1 / len(pairs))
+    for _ in range(steps):
+        w = pairs @ w
+        growth = float(w.sum())
+        w = w / growth
+    chance = RANDOM_INDEX[len(pairs)]
+    return w, growth, (growth - len(pairs)) / (len(pairs) - 1) / chance if chance else 0.0
 
 
 def linear_down(x: Column, limit: float) -> Column:
@@ -56,7 +56,7 @@ def mcda_criteria(cells: DataFrame, slope: float = 15.0, road: float = 3000.0, b
 def default_weights(cover: bool = True) -> dict[str, float]:
     """Weights of the criteria's columns by the default matrix; without land cover, of the matrix without it."""
     n = len(MCDA_CRITERIA) - (not cover)
-    return dict(zip((f"c_{k}" for k in MCDA_CRITERIA[:n]), ahp_weights(parse_matrix([r[:n] for r in MCDA_MATRIX[:n]]))[0].tolist(), strict=True))
+    return dict(zip((f"c_{k}" for k in MCDA_CRITERIA[:n]), priorities(comparisons([r[:n] for r in MCDA_MATRIX[:n]]))[0].tolist(), strict=True))
 
 
 def weighted(criteria: dict[str, float]) -> Column:
@@ -136,8 +136,3 @@ def project_diff(a: DataFrame, b: DataFrame, key: str, values: list[str], tolera
         off = off | ~(F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")) | F.coalesce(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}")) <= tolerance, F.lit(False)))
     what = F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b").when(off, "changed")
     return j.select(F.coalesce(key, "_k").alias(key), what.alias("difference")).where("difference is not null")
-
-
-def running_totals(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(value).over(w))

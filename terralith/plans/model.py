@@ -15,8 +15,8 @@ from .geo import FRACS, built, fractions, rounds
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 YEARS = {"baseline": 1996, "confirm": 1997, "train1": 1998, "train2": 1999, "latest_confirm": 2000, "latest": 2001}
-MATRIX = suitability.parse_matrix([[1, 3, 5], ["1/3", 1, 3], ["1/5", "1/3", 1]])
-WEIGHTS = suitability.ahp_weights(MATRIX)[0]
+MATRIX = suitability.comparisons("1 3 5; 1/3 1 3; 1/5 1/3 1")
+WEIGHTS = suitability.priorities(MATRIX)[0]
 
 
 def query(oracle: str | None = None):

@@ -206,12 +206,12 @@ def test_quantile_classes(spark):
 
 
 def test_ahp_of_the_textbook():
-    w, top, ratio = suitability.ahp_weights(suitability.parse_matrix([[1, 3, 5], ["1/3", 1, 3], ["1/5", "1/3", 1]]))
+    w, top, ratio = suitability.priorities(suitability.comparisons("1 3 5; 1/3 1 3; 1/5 1/3 1"))
     assert np.allclose(w, [0.637, 0.258, 0.105], atol=1e-3) and math.isclose(top, 3.039, abs_tol=1e-3) and math.isclose(ratio, 0.033, abs_tol=1e-3)
     with pytest.raises(ValueError):
-        suitability.ahp_weights(np.array([[1, 2], [2, 1.0]]))
+        suitability.priorities(suitability.comparisons("1 2; 2 1"))
     # Published weights and ratio of the default matrix.
-    w, top, ratio = suitability.ahp_weights(suitability.parse_matrix(MCDA_MATRIX))
+    w, top, ratio = suitability.priorities(suitability.comparisons(MCDA_MATRIX))
     assert np.allclose(w, [0.158, 0.298, 0.298, 0.089, 0.158], atol=1e-3) and math.isclose(top, 5.013, abs_tol=1e-3) and math.isclose(ratio, 0.003, abs_tol=1e-3)
 
 
@@ -261,9 +261,9 @@ def test_knn_beyond_one_matrix(spark, monkeypatch):
 def test_contracts(spark):
     grid = spark.createDataFrame([(0, 0, 0, 1.0, 2.0), (0, 0, 1, float("nan"), 2.0), (-1, 0, 0, 1.0, None)], "cell_id long, row long, col long, x double, y double")
     found = contracts.problems(grid, contracts.CONTRACTS["grid"])
-    assert any("below 0" in p for p in found) and any("not finite" in p for p in found) and any("y: null" in p for p in found) and any("not unique" in p for p in found)
+    assert any("cell_id >= 0" in p for p in found) and any("not finite" in p for p in found) and any("y is null" in p for p in found) and any("not unique" in p for p in found)
     with pytest.raises(contracts.ContractError):
-        contracts.check_model_inputs(["ring250_built", "frac_built"])
+        contracts.model_inputs(["ring250_built", "frac_built"])
     a = spark.createDataFrame([(1, 2), (1, 3)], "cell_id long, v int")
     with pytest.raises(Exception, match="not unique"):
         contracts.one_to_one(a, a.limit(1), ["cell_id"]).collect()
@@ -345,7 +345,10 @@ def test_pipeline_on_the_town(spark, tmp_path):
     assert auc["knn"] > 0.6 and auc["distance"] > 0.6
     contracts.validate(c.read("scores").where("model = 'knn'").select("cell_id", "score"), contracts.CONTRACTS["scores"])
     contracts.validate(c.read("labels").withColumn("lei_type", F.lit("none")), contracts.CONTRACTS["labels"])
-    with pytest.raises(ValueError):
-        pipeline.plan("sites", "labels")
+    assert [s.name for s in pipeline.plan({"scores"})] == ["cover", "features", "labels", "scores"]
+    assert [s.name for s in pipeline.plan({"auc"}, have={"scores", "labels"})] == ["validate"]
+    assert pipeline.plan({"auc"}, have={"auc"}) == []
+    with pytest.raises(ValueError, match="no stage"):
+        pipeline.plan({"nothing"})
     t = synthetic.town(spark, 20, 2018)
     assert t.where("abs(frac_built + frac_water + frac_tree + frac_crop + frac_range + frac_bare - 1) > 1e-9").count() == 0
