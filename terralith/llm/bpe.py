@@ -7,7 +7,8 @@ is its first fragment, the ids between its outer white space, and its last
 fragment, and a join is repaired by re-encoding fragment + fragment, widened
 over further chunks until white space stands on both sides.  There the ids
 agree with those of the whole text: the pre-tokenizer never joins across white
-space, and neither do its normaliser and merges.
+space, and neither do its normaliser and merges.  A vocabulary whose file does not say so (``separable``),
+or whose library disagrees on probes, is encoded and decoded by the library, whole text by whole text.
 
 One scan, no shuffle.  Results in unusual cases: null counts as empty, an empty
 text has no ids and decodes to an empty text; special tokens written in a text
@@ -19,6 +20,7 @@ carried along.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import sys
@@ -67,6 +69,19 @@ def cuts(data: np.ndarray, mean: int = CHUNK_BYTES) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Texts on which the parts and the library must agree before parts are used.
+PROBES = ("", " ", "a", "it's  one\tTwo\nthree\r\x0b\x0cfour", "caf\u00e9 na\u0131ve 12 3.5 -- !!! x_y", "\u6f22\u5b57 \u03a3\u0391\u03a3 \u05d0\u05d1", "<|endoftext|> b", "e\u0301 a\u200bb \u00a0c")
+
+
+def separable(path: str) -> bool:
+    """Whether a tokenizer's file says that white space is dropped before anything is merged and that tokens are decoded one by one."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    before = told.get("pre_tokenizer") or {}
+    first = (before.get("pretokenizers") or [before])[0]
+    return told.get("decoder") is None and told.get("post_processor") is None and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+
+
 class Codec:
     """Encodes and decodes whole texts."""
 
@@ -88,6 +103,15 @@ class Codec:
         self.length = np.array([len(n) for n in names], np.int32)
         self.start = (np.cumsum(self.length) - self.length).astype(np.int32)
         self.names = np.frombuffer(b"".join(names), np.uint8)
+        self.whole = not separable(path) or not self.agrees()
+
+    def library(self, text: bytes) -> tuple[bytes, bytes]:
+        ids = self.tok.encode(text.decode(), add_special_tokens=False).ids
+        return array("I", ids).tobytes(), self.tok.decode(ids, skip_special_tokens=False).encode()
+
+    def agrees(self) -> bool:
+        ids = [self.encode([t.encode()]) for t in PROBES]
+        return list(zip(ids, self.decode(ids), strict=True)) == [self.library(t.encode()) for t in PROBES]
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes the words that are not known yet, some thousands in a call."""
@@ -191,6 +215,10 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, mean: int) -> It
     own = codec(vocabulary_path(vocabulary) if "/" not in vocabulary else vocabulary, mean)
     for batch in slices(batches, "text"):
         data, offs = flat(batch.column("text"))
+        if own.whole:
+            raw = data.tobytes()
+            yield batch, [own.library(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            continue
         at = cuts(data, mean)
         first = np.searchsorted(at, offs, "right")
         last = np.searchsorted(at, offs[1:])

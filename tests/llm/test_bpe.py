@@ -52,3 +52,18 @@ def test_memory_bounds_do_not_change_results(monkeypatch):
 
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_other_vocabularies_go_by_the_library(spark):
+    from tokenizers import Tokenizer
+
+    assert bpe.Codec(bpe.vocabulary_path()).whole is False
+    name = "byte_bpe_50k.json"
+    tok = Tokenizer.from_file(bpe.vocabulary_path(name))
+    assert bpe.Codec(bpe.vocabulary_path(name)).whole is True
+    data = rows()
+    got = bpe.encode(table(spark), name).collect()
+    want = sorted((str(r[0]), tok.encode(r[1] or "", add_special_tokens=False).ids) for r in data)
+    assert sorted((str(r.doc_id), r.ids) for r in got) == want
+    text = {str(r[0]): r[1] or "" for r in data}
+    assert all(r.decoded == tok.decode(r.ids, skip_special_tokens=False) for r in got) and text
