@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field, replace
 
+log = logging.getLogger(__name__)
+
 # Codes of the harmonised land-cover classes.
 WATER, TREE, FLOODED, CROP, BUILT, BARE, SNOW, CLOUD, RANGE, NODATA = 1, 2, 4, 5, 7, 8, 9, 10, 11, 0
 CLASSES = {"water": WATER, "tree": TREE, "flooded": FLOODED, "crop": CROP, "built": BUILT, "bare": BARE, "snow": SNOW, "range": RANGE}
@@ -96,17 +99,66 @@ class Config:
         return replace(self, **changes)
 
 
+# Where a file with sections keeps a field.
+SECTIONS = {
+    "seed": "project.random_seed", "cell": "grid.cell_size_m", "buffer": "aoi.buffer_m", "block": "validation.spatial_block_m",
+    "ring_radii": "features.context_radii_m", "density_radius": "features.road_density_radius_m", "distance_cap": "features.distance_cap_m", "max_nodata": "features.max_nodata_fraction",
+    "max_slope": "exclusion.slope_max_deg", "max_excluded": "exclusion.max_excluded_fraction",
+    "open_share": "growth.nonbuilt_max", "built_share": "growth.built_min", "patch_area": "growth.lei_min_patch_m2", "touch": "growth.lei_buffer_m",
+    "k": "clustering.k", "silhouette_sample": "clustering.silhouette_sample",
+    "rule_water": "labeling.water_threshold", "rule_built": "labeling.built_threshold", "rule_tree": "labeling.forest_threshold", "rule_slope": "labeling.steep_natural_slope_deg", "cropland_usable": "labeling.cropland_usable",
+    "top_n": "similarity.top_n", "knn_k": "similarity.knn_k",
+    "trees": "rf.n_estimators", "folds": "rf.n_folds", "importance_repeats": "rf.permutation_repeats", "leaf_sizes": "rf.param_grid.min_samples_leaf", "feature_shares": "rf.param_grid.max_features",
+    "keep_tracks": "vector.keep_tracks", "class_quantiles": "suitability.class_quantiles", "min_site": "suitability.min_patch_area_m2", "top_sites": "suitability.top_n_sites",
+    "mcda_slope": "mcda.slope_zero_deg", "mcda_road": "mcda.road_max_m", "mcda_built": "mcda.built_max_m", "mcda_water": "mcda.water_buffer_m",
+}
+YEAR_NAMES = {"baseline_confirm": "confirm", "change_train_end": "train_end"}
+
+
+def flat(values: dict) -> dict:
+    """Fields by name from a mapping of fields, of sections, or of both; what sections hold beside them is left out, and said in the log."""
+    names = {where: name for name, where in SECTIONS.items()}
+    out, unknown, todo = {}, [], [("", values)]
+    while todo:
+        path, part = todo.pop()
+        for key, value in part.items():
+            where = f"{path}{key}"
+            if where in names:
+                out[names[where]] = value
+            elif not path and key == "years" and isinstance(value, dict):
+                out["years"] = {YEAR_NAMES.get(k, k): v for k, v in value.items()}
+            elif not path and key in Config.__dataclass_fields__:
+                out[key] = value
+            elif isinstance(value, dict):
+                todo.append((f"{where}.", value))
+            elif path:
+                log.info("%s has no use here", where)
+            else:
+                unknown.append(key)
+    more = values.get("clustering") if isinstance(values.get("clustering"), dict) else {}
+    if {"k_min", "k_max"} <= more.keys():
+        out["k_range"] = tuple(range(more["k_min"], more["k_max"] + 1))
+    sizes = values.get("vector") if isinstance(values.get("vector"), dict) else {}
+    if {"building_min_area_m2", "building_max_area_m2"} <= sizes.keys():
+        out["building_area"] = (float(sizes["building_min_area_m2"]), float(sizes["building_max_area_m2"]))
+    if "feature_shares" in out:
+        out["feature_shares"] = tuple(str(x) for x in out["feature_shares"])
+    if isinstance(values.get("suitability"), dict) and "top_site_min_area_ha" in values["suitability"]:
+        out["top_site_area"] = values["suitability"]["top_site_min_area_ha"] * 1e4
+    if unknown:
+        raise ConfigError(f"unknown: {sorted(unknown)}")
+    return out
+
+
 def load(path: str) -> Config:
-    """A Config from a YAML mapping of its fields."""
+    """A Config from a YAML mapping of its fields, plain or in sections (``SECTIONS``)."""
     import yaml
 
     with open(path, encoding="utf-8") as f:
         values = yaml.safe_load(f) or {}
     if not isinstance(values, dict):
         raise ConfigError(f"{path}: not a mapping")
-    unknown = values.keys() - Config.__dataclass_fields__.keys()
-    if unknown:
-        raise ConfigError(f"{path}: unknown {sorted(unknown)}")
+    values = flat(values)
     if "years" in values:
         y = values["years"]
         values["years"] = Years(**{k: tuple(v) if isinstance(v, list) else v for k, v in y.items()})

@@ -97,16 +97,47 @@ def toc_curve(df: DataFrame, y: str, score: str, by: list[str] | None = None, po
     totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.sum(F.col(y).cast("int")).alias("_hits"))
     at = totals.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points)))).withColumn("position", F.rint(F.col("point") * F.col("_all") / points).cast("long"))
     hits = ranked.where(F.col(y).cast("int") == 1).select(*by, "n")
-    # Hits up to each position: positions are few, so each hit is counted from the first point that reaches it.
-    joined = (hits.join(F.broadcast(at), by) if by else hits.crossJoin(F.broadcast(at))).where("n <= position").groupBy(*by, "point").agg(F.count(F.lit(1)).alias("hits"))
+    # Each hit counts once, at the first point whose position reaches it; then points add up.
+    all_ = hits.join(totals, by) if by else hits.crossJoin(F.broadcast(totals))
+    near = F.floor(F.col("n") * points / F.col("_all")).cast("int")
+    first = F.filter(F.sequence(F.greatest(near - 1, F.lit(0)), F.least(near + 2, F.lit(points))), lambda p: F.rint(p * F.col("_all") / points) >= F.col("n"))[0]
+    counts = all_.groupBy(*by, first.alias("point")).agg(F.count(F.lit(1)).alias("here"))
+    up_to = Window.partitionBy(*by).orderBy("point").rowsBetween(Window.unboundedPreceding, 0)  # points + 1 rows a group
+    joined = at.select(*by, "point").join(counts, [*by, "point"], "left").select(*by, "point", F.sum(F.coalesce("here", F.lit(0))).over(up_to).alias("hits"))
     out = at.join(joined, [*by, "point"], "left")
     return out.select(*by, "point", F.round(F.col("position") / F.col("_all"), 4).alias("flagged"), F.round(F.try_divide(F.coalesce("hits", F.lit(0)), F.col("_hits")), 4).alias("hit_share"))
 
 
+def perfect_line(df: DataFrame, y: str, by: list[str] | None = None) -> DataFrame:
+    """flagged, hit_share: the corners of the best possible curve, which finds all hits first."""
+    by = by or []
+    share = df.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("_p"))
+    corners = F.array(*[F.struct(F.lit(i).alias("corner"), F.lit(a).cast("double").alias("flagged") if a is not None else F.col("_p").alias("flagged"), F.lit(b).cast("double").alias("hit_share")) for i, (a, b) in enumerate(((0, 0), (None, 1), (1, 1)))])
+    return share.select(*by, F.inline(corners))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """share, quantile: exact quantiles, interpolated between the two values next to them, which are picked by their numbers."""
+    by = by or []
+    numbered = row_numbers(df.select(*by, value).where(F.col(value).isNotNull()), [F.col(value)], by, out="_i")
+    place = F.col("share") * (F.col("_all") - 1) + 1
+    wanted = numbered.groupBy(*by).agg(F.max("_i").alias("_all")).withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    wanted = wanted.select(*by, "share", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_i"), place.alias("_place"))
+    ends = numbered.join(F.broadcast(wanted) if not by else wanted, [*by, "_i"])
+    low, high = F.min_by(value, "_i"), F.max_by(value, "_i")
+    return ends.groupBy(*by, "share", "_place").agg((low + (high - low) * (F.col("_place") - F.floor("_place"))).alias("quantile")).drop("_place")
+
+
+def _cuts(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """A row a group, with each quantile under its name."""
+    q = quantiles(df, value, sorted(set(shares.values())), by)
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(k) for k, s in shares.items()])
+
+
 def quantile_classes(df: DataFrame, score: str, quantiles=(0.9, 0.7, 0.4), by: list[str] | None = None, out: str = "class") -> DataFrame:
     """Adds 1 for scores from the first quantile on, 2 and 3 likewise, else 4; exact, interpolated quantiles."""
     by = by or []
-    cuts = df.groupBy(*by).agg(*[F.percentile(score, F.lit(float(q))).alias(f"_q{i}") for i, q in enumerate(quantiles)])
+    cuts = _cuts(df, score, {f"_q{i}": float(q) for i, q in enumerate(quantiles)}, by)
     joined = df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))
     chain = F.lit(len(quantiles) + 1)
     for i in reversed(range(len(quantiles))):
@@ -116,7 +147,7 @@ def quantile_classes(df: DataFrame, score: str, quantiles=(0.9, 0.7, 0.4), by: l
 
 def rescale(df: DataFrame, distance: str, low: float = 0.01, high: float = 0.99, out: str = "score") -> DataFrame:
     """1 - (d - p1) / (p99 - p1), clipped to 0..1; 1 where p99 <= p1."""
-    cuts = df.agg(F.percentile(distance, F.lit(low)).alias("_lo"), F.percentile(distance, F.lit(high)).alias("_hi"))
-    share = (F.col(distance) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    cuts = _cuts(df, distance, {"_lo": low, "_hi": high}, [])
+    share = F.try_divide(F.col(distance) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     value = F.when(F.col("_hi") > F.col("_lo"), 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).otherwise(1.0)
     return df.crossJoin(F.broadcast(cuts)).withColumn(out, value).drop("_lo", "_hi")

@@ -120,3 +120,11 @@ def davies_bouldin(points: DataFrame, cluster: str, dims: list[str]) -> DataFram
     gap = F.sqrt(sum((F.col(f"a._m_{d}") - F.col(f"b._m_{d}")) ** 2 for d in dims))
     ratio = a.join(b, F.col(f"a.{cluster}") != F.col(f"b.{cluster}")).select(F.col(f"a.{cluster}").alias("c"), F.try_divide(F.col("a._s") + F.col("b._s"), gap).alias("r"))
     return ratio.groupBy("c").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+
+
+def id_sets(a: DataFrame, b: DataFrame, without: DataFrame, key: str = "cell_id") -> DataFrame:
+    """key, kind of ids of a or b that are not in ``without``: in both, or in one of them only."""
+    one = a.select(key).distinct().withColumn("_a", F.lit(1))
+    two = b.select(key).distinct().withColumn("_b", F.lit(1))
+    kind = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), "both").when(F.col("_a").isNotNull(), "first").otherwise("second")
+    return one.join(two, key, "full").join(without.select(key), key, "left_anti").select(key, kind.alias("kind"))

@@ -67,6 +67,13 @@ def deal_folds(blocks: DataFrame, n_folds: int, seed: int = 42, block: str = "bl
     return row_numbers(keyed, [F.col("_hash"), F.col(block)], out="_n").select(block, ((F.col("_n") - 1) % n_folds).cast("int").alias("fold"))
 
 
+def reference_grids(left: Column, bottom: Column, right: Column, top: Column, cell: float, buffer: float = 0.0) -> tuple[Column, Column, Column, Column]:
+    """left, top, rows and columns of the lattice over buffered bounds, grown to whole multiples of the cell; of bounds in columns."""
+    a, b = F.floor((left - buffer) / cell), F.floor((bottom - buffer) / cell)
+    c, d = F.ceil((right + buffer) / cell), F.ceil((top + buffer) / cell)
+    return a * F.lit(cell), d * F.lit(cell), d - b, c - a
+
+
 def reference_grid(left: float, bottom: float, right: float, top: float, cell: float, buffer: float = 0.0) -> tuple[float, float, int, int]:
     """left, top, rows and columns of the lattice over buffered bounds, grown to whole multiples of the cell."""
     a, c = snap(left - buffer, right + buffer, cell)

@@ -192,3 +192,76 @@ def holdout(df: DataFrame, scorer: Callable[[DataFrame, DataFrame, DataFrame], D
         part = scorer(df, df.where(F.col(ref) & (F.col(fold) != f)), there).join(there.select("cell_id", fold, ref), "cell_id")
         out = part if out is None else out.unionByName(part)
     return ranks.pct_rank(materialise(out), "score", [fold]).withColumn("percentile", 100 * F.col("pct")).drop("pct")
+
+
+def scorers(columns: list[str], near: str, fewer: list[str], k: int = 10, also: tuple[str, ...] = (), **params) -> dict[str, Callable]:
+    """The four scorers of the hold-out: distance alone, a forest of ranks, and k nearest references of all and of fewer columns."""
+    from . import similarity
+
+    def distance(cells: DataFrame, refs: DataFrame, there: DataFrame) -> DataFrame:
+        return there.select("cell_id", (-F.col(near)).alias("score"))
+
+    def trees(cells: DataFrame, refs: DataFrame, there: DataFrame) -> DataFrame:
+        model_inputs(columns, also)
+        ranked = ranked_features(cells, columns)
+        known = refs.select("cell_id", F.lit(1).alias("_ref"))
+        train = ranked.join(there.select("cell_id"), "cell_id", "left_anti").join(known, "cell_id", "left").withColumn("_y", F.coalesce("_ref", F.lit(0)))
+        model = forest(**params).fit(balanced(assembled(train, columns), "_y"))
+        return probability(model, assembled(ranked.join(there.select("cell_id"), "cell_id", "left_semi"), columns)).select("cell_id", "score")
+
+    def nearest(of: list[str]) -> Callable:
+        def score(cells: DataFrame, refs: DataFrame, there: DataFrame) -> DataFrame:
+            z = similarity.standardise(cells.select("cell_id", F.array(*[F.col(c).cast("double") for c in of]).alias("z")), F.lit(True))
+            z = materialise(z)
+            some = similarity.knn_distance(z.join(there.select("cell_id"), "cell_id", "left_semi"), z.join(refs.select("cell_id"), "cell_id", "left_semi"), k)
+            return some.select("cell_id", (-F.col("distance")).alias("score"))
+
+        return score
+
+    return {"dist_to_built": distance, "rf": trees, "knn": nearest(columns), "knn_ring500": nearest(fewer)}
+
+
+def holdout_summary(ranked: DataFrame, by: list[str], fold: str = "fold", ref: str = "is_ref") -> DataFrame:
+    """n, median percentile, shares in the top tenth and three tenths of the references, and the AUC within folds' percentiles."""
+    one = ranked.where(ref).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median("percentile").alias("median"), F.avg((F.col("percentile") > 90).cast("int")).alias("top10"), F.avg((F.col("percentile") > 70).cast("int")).alias("top30"))
+    return one.join(ranks.auc(ranked, ref, "percentile", by).select(*by, "auc"), by)
+
+
+def run_model(train: DataFrame, latest: DataFrame, columns: list[str], y: str, candidate: str, usable: str, leaves: tuple = (1, 5, 20), shares: tuple = ("sqrt", "0.5"), also: tuple[str, ...] = (), **params) -> dict[str, DataFrame]:
+    """One model from end to end: validation (out-of-fold scores of candidates), final (scores of usable cells by a fit on all folds),
+    importance, and metrics (best parameters, fold AUC, sizes).
+
+    train: features of the baseline year with ``y``, ``fold`` and the candidate flag; latest: those of the last year with the usable flag.
+    """
+    best = tune(train, columns, y, leaves, shares, also=also, **params)
+    chosen = {**params, "leaf": best["leaf"], "features": best["features"]}
+    scored, models = out_of_fold(train, columns, y, also=also, **chosen)
+    folds = [r[0] for r in train.select("fold").distinct().orderBy("fold").collect()]
+    final = forest(**chosen).fit(balanced(assembled(train, columns), y))
+    sizes = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("int")).alias("n_pos")).first()
+    spark = train.sparkSession
+    return {
+        "validation": scored.join(train.where(candidate).select("cell_id"), "cell_id", "left_semi").select("cell_id", "score"),
+        "final": probability(final, assembled(latest.where(usable), columns)).select("cell_id", "score"),
+        "importance": permutation_importance(train, columns, y, models, folds).orderBy(F.col("drop").desc(), "feature"),
+        "metrics": spark.createDataFrame([(best["leaf"], best["features"], best["auc"], len(folds), sizes.n, sizes.n_pos, ",".join(columns))], "leaf int, features string, fold_auc double, n_folds int, n_cells long, n_pos long, columns string"),
+    }
+
+
+def k_sweep(df: DataFrame, columns: list[str], ks: tuple[int, ...], classify: Column, truth: str, seed: int = 42, sample: int = 10_000) -> DataFrame:
+    """For each k: silhouette, Davies-Bouldin, the share of each class and the agreement with ``truth``.
+
+    classify: the class of a cluster from the means of its columns.
+    """
+    from .labels import davies_bouldin
+
+    z = materialise(assembled(scaled(df, columns), columns))
+    raw, out = df.select("cell_id", truth, *[F.col(c).alias(f"_{c}") for c in columns]), None
+    for k in ks:
+        found = materialise(kmeans(z, k, seed).transform(z).select("cell_id", F.col("prediction").alias("cluster"), *columns))
+        means = found.select("cell_id", "cluster").join(raw, "cell_id").groupBy("cluster").agg(*[F.avg(f"_{c}").alias(c) for c in columns])
+        classed = found.select("cell_id", "cluster").join(F.broadcast(means.select("cluster", classify.alias("class"))), "cluster").join(raw.select("cell_id", truth), "cell_id")
+        one = classed.agg(F.lit(k).alias("k"), F.avg((F.col("class") == F.col(truth)).cast("int")).alias("agreement"), *[F.avg((F.col("class") == c).cast("int")).alias(f"share_{c}") for c in (1, 2, 3)])
+        one = one.crossJoin(silhouette(found, "cluster", columns, sample).select("silhouette")).crossJoin(davies_bouldin(found, "cluster", columns).select("davies_bouldin"))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions.vectors import cosine_distance, euclidean
 
 #: Reference profiles up to which one matrix goes to every task (8 bytes a component).
@@ -86,7 +87,7 @@ def query(profiles: DataFrame, target: int, candidates: Column, n: int = 20, met
         pool = pool.where(near)
     f = euclidean if metric == "euclidean" else cosine_distance
     scored = pool.crossJoin(F.broadcast(one)).select(key, f(F.col("_q"), F.col(z)).alias("distance"))
-    stats = scored.agg(F.percentile("distance", F.lit(0.99)).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    stats = ranks.quantiles(scored, "distance", [0.99]).select(F.col("quantile").alias("_p")).crossJoin(scored.agg(F.count(F.lit(1)).alias("_n")))  # one row each
     top = scored.orderBy("distance", key).limit(n)
     from pyspark.sql import Window
 

@@ -22,14 +22,14 @@ def comparisons(matrix) -> np.ndarray:
 def priorities(pairs: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float, float]:
     """Weights, growth factor and consistency ratio: what repeated multiplication with the comparisons converges to."""
     wrong = [f"{i}, {j}" for i, row in enumerate(pairs) for j, x in enumerate(row) if x <= 0 or abs(x * pairs[j][i] - 1) > 1e-6]
-    if wrong or not 0 < len(pairs) < len(RANDOM_INDEX):
+    if wrong or not 0 < len(pairs) <= max(RANDOM_INDEX):
         raise ValueError(f"not a matrix of comparisons and their inverses: {wrong or len(pairs)}")
     w = np.full(len(pairs), 1 / len(pairs))
     for _ in range(steps):
         w = pairs @ w
         growth = float(w.sum())
         w = w / growth
-    chance = RANDOM_INDEX[len(pairs)]
+    chance = RANDOM_INDEX.get(len(pairs))
     return w, growth, (growth - len(pairs)) / (len(pairs) - 1) / chance if chance else 0.0
 
 
@@ -136,3 +136,11 @@ def project_diff(a: DataFrame, b: DataFrame, key: str, values: list[str], tolera
         off = off | ~(F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")) | F.coalesce(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}")) <= tolerance, F.lit(False)))
     what = F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b").when(off, "changed")
     return j.select(F.coalesce(key, "_k").alias(key), what.alias("difference")).where("difference is not null")
+
+
+def distance_auc(cells: DataFrame, built: DataFrame, y: str, cap: float) -> DataFrame:
+    """auc, n_pos, n_neg of nearness to built cells as a score."""
+    from .proximity import nearest_point
+
+    near = nearest_point(cells.select("cell_id", "x", "y"), built.select("x", "y"), cap)
+    return ranks.auc(cells.select("cell_id", y).join(near, "cell_id").withColumn("_score", -F.col("distance")), y, "_score")

@@ -105,23 +105,6 @@ def clip_lines(segs: DataFrame, left: float, bottom: float, right: float, top: f
     return s.select(*rest, (F.col("x1") + F.col("_t0") * dx).alias("x1"), (F.col("y1") + F.col("_t0") * dy).alias("y1"), (F.col("x1") + F.col("_t1") * dx).alias("x2"), (F.col("y1") + F.col("_t1") * dy).alias("y2"))
 
 
-def clip_ring(ring: list[tuple[float, float]], left: float, bottom: float, right: float, top: float) -> list[tuple[float, float]]:
-    """A ring cut to a box (Sutherland-Hodgman)."""
-    for axis, bound, keep in ((0, left, 1), (0, right, -1), (1, bottom, 1), (1, top, -1)):
-        out = []
-        for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
-            a, b = keep * (p[axis] - bound), keep * (q[axis] - bound)
-            if a >= 0:
-                out.append(p)
-            if (a > 0 > b) or (a < 0 < b):
-                t = a / (a - b)
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        ring = out
-        if not ring:
-            break
-    return ring
-
-
 def clean_buildings(buildings: DataFrame, low: float = 10.0, high: float = 100_000.0) -> DataFrame:
     """Buildings of a credible area; ``yes`` for no type."""
     return buildings.where(F.col("area_m2").between(low, high)).withColumn("building_type", F.coalesce("building_type", F.lit("yes")))
@@ -175,24 +158,6 @@ def disk_area(radius_cells: int, cell: float) -> float:
     return sum(2 * math.isqrt(radius_cells**2 - dy**2) + 1 for dy in range(-radius_cells, radius_cells + 1)) * (cell / 1000) ** 2
 
 
-def clip_polygons(rings: DataFrame, left: float, bottom: float, right: float, top: float, key: str = "id", ring: str = "ring") -> DataFrame:
-    """key, area of each ring inside a box; rings whose bounds miss it never reach Python."""
-    import pyarrow as pa
-
-    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
-    near = rings.where((F.array_max(xs) >= left) & (F.array_min(xs) <= right) & (F.array_max(ys) >= bottom) & (F.array_min(ys) <= top))
-
-    def run(batches):
-        for batch in batches:
-            areas = []
-            for r in batch.column(1).to_pylist():
-                cut = clip_ring([(p["x"], p["y"]) for p in r], left, bottom, right, top)
-                areas.append(abs(sum(a * d - c * b for (a, b), (c, d) in zip(cut, cut[1:] + cut[:1], strict=True))) / 2 if len(cut) > 2 else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(areas, pa.float64())], [key, "area"])
-
-    return near.select(key, ring).mapInArrow(run, f"{key} {rings.schema[key].dataType.simpleString()}, area double").where("area > 0")
-
-
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """The n most frequent values, ties by value."""
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), column).limit(n)

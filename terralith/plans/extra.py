@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts
 from ..functions import geodesy
-from ..operators import labels, lattice, learn, similarity, vector
+from ..operators import geometry, labels, lattice, learn, similarity, vector
 from ..sources import files, sinks, synthetic, views
 from ..sources.views import COLS, sql
 from .geo import FRACS, fractions
@@ -237,7 +237,8 @@ def clip_polygons(spark, sf):
     """Squares cut to a box; the area of what is left."""
     p = views.read(spark, sf, "part").selectExpr("p_partkey as id", "cast((p_partkey * 37) % 5000 as double) as x", "cast((p_partkey * 53) % 4000 as double) as y", "p_size * 10.0D as s")
     ring = F.array(*[F.struct((F.col("x") + a * F.col("s")).alias("x"), (F.col("y") + b * F.col("s")).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
-    return vector.clip_polygons(p.select("id", ring.alias("ring")), 1000.0, 500.0, 3000.0, 2500.0)
+    cut = geometry.cut(p.select("id", ring.alias("ring")), *[F.lit(v) for v in (1000.0, 500.0, 3000.0, 2500.0)])
+    return cut.select("id", vector.shoelace(F.col("ring")).alias("area")).where("area > 0")
 
 
 @query(sql("frac", "SELECT yr, round(sum(frac_built) / 100, 6) AS built, round(sum(frac_tree) / 100, 6) AS tree, round(sum(frac_crop) / 100, 6) AS crop FROM frac GROUP BY yr"))
@@ -262,19 +263,22 @@ def k_scan(spark, sf):
     return spark.createDataFrame([(r["k"], r["method"], float(r["cost"]), float(r["silhouette"]), float(r["davies_bouldin"])) for r in rows], "k int, method string, cost double, silhouette double, davies_bouldin double")
 
 
-@query("SELECT 4 AS n_rows, 6 AS n_cols, 200.0::DOUBLE AS left_, 600.0::DOUBLE AS top_")
+@query("SELECT s_suppkey AS id, CEIL((y1 + 50 + s) / 100.0)::BIGINT - FLOOR((y1 - 50) / 100.0)::BIGINT AS n_rows, CEIL((x1 + 50 + s) / 100.0)::BIGINT - FLOOR((x1 - 50) / 100.0)::BIGINT AS n_cols, FLOOR((x1 - 50) / 100.0) * 100 AS left_, CEIL((y1 + 50 + s) / 100.0) * 100 AS top_ FROM (SELECT s_suppkey, ((s_suppkey * 37) % 500)::DOUBLE AS x1, ((s_suppkey * 53) % 400)::DOUBLE AS y1, (s_suppkey % 90 * 10)::DOUBLE AS s FROM supplier)")
 def reference_grid(spark, sf):
-    left, top, rows, cols = lattice.reference_grid(310, 290, 690, 510, 100.0, 50.0)
-    return spark.createDataFrame([(rows, cols, left, top)], "n_rows int, n_cols int, left_ double, top_ double")
+    """The lattice over buffered bounds of each supplier's box."""
+    b = views.read(spark, sf, "supplier").selectExpr("s_suppkey as id", "cast((s_suppkey * 37) % 500 as double) as left", "cast((s_suppkey * 53) % 400 as double) as bottom", "cast(s_suppkey % 90 * 10 as double) as s")
+    left, top, rows, cols = lattice.reference_grids(F.col("left"), F.col("bottom"), F.col("left") + F.col("s"), F.col("bottom") + F.col("s"), 100.0, 50.0)
+    return b.select("id", rows.alias("n_rows"), cols.alias("n_cols"), left.alias("left_"), top.alias("top_"))
 
 
-@query("SELECT 43 AS zone, TRUE AS inside")
+@query("SELECT c_custkey, 43 AS zone, TRUE AS inside FROM customer")
 def grid_bounds_wgs84(spark, sf):
-    """Bounds in degrees of a box in zone 43 hold the box's own corner."""
+    """Bounds in degrees of a box in zone 43 hold points in it."""
     a, b, c, d = geodesy.bounds_wgs84(spark, 700_000, 2_000_000, 720_000, 2_020_000, 43, 200)
-    lon, lat = geodesy.from_utm(F.lit(700_000.0), F.lit(2_000_000.0), F.lit(43))
     zone = geodesy.resolve_zone([[(a, b), (c, b), (c, d), (a, d)]])
-    return spark.range(1).select(F.lit(zone).alias("zone"), (lon.between(a, c) & lat.between(b, d)).alias("inside"))
+    p = views.read(spark, sf, "customer").selectExpr("c_custkey", "700000 + (c_custkey * 37) % 20000 as x", "2000000 + (c_custkey * 53) % 20000 as y")
+    lon, lat = geodesy.from_utm(F.col("x").cast("double"), F.col("y").cast("double"), F.lit(43))
+    return p.select("c_custkey", F.lit(zone).alias("zone"), (lon.between(a, c) & lat.between(b, d)).alias("inside"))
 
 
 assert COLS == 50 and knn

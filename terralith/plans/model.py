@@ -493,15 +493,6 @@ def slope_sensitivity(spark, sf):
     return suitability.slope_sweep(scored(spark, sf), [10.0, 20.0, 30.0], "y", "a", "size").select("limit", F.round("auc", 6).alias("auc"))
 
 
-@query(sql("cell", "SELECT factor, count(*) AS n, round(sum(m * m), 3) AS power FROM (SELECT 1 AS factor, avg(size) AS m FROM cell GROUP BY cell_id UNION ALL SELECT 2, avg(size) FROM cell GROUP BY r // 2, c // 2 UNION ALL SELECT 4, avg(size) FROM cell GROUP BY r // 4, c // 4) GROUP BY factor"))
-def cell_size_sensitivity(spark, sf):
-    out = None
-    for f in (1, 2, 4):
-        c = suitability.coarsen(views.cell(spark, sf), f, COLS, ["size"]).agg(F.lit(f).alias("factor"), F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("size") * F.col("size")), 3).alias("power"))
-        out = c if out is None else out.unionByName(c)
-    return out
-
-
 @query(sql("frac", "SELECT a, b, round(r, 5) AS r FROM (SELECT " + ", ".join(f"corr({x}, {y}) AS {x}__{y}" for i, x in enumerate(FRACS[:5]) for y in FRACS[i + 1 : 5]) + " FROM frac) UNPIVOT (r FOR pair IN (" + ", ".join(f"{x}__{y}" for i, x in enumerate(FRACS[:5]) for y in FRACS[i + 1 : 5]) + ")) , LATERAL (SELECT split_part(pair, '__', 1) AS a, split_part(pair, '__', 2) AS b)"))
 def correlation_pairs(spark, sf):
     f = fractions(spark, sf)

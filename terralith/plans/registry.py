@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import ranks
 from ..operators import labels, proximity
 from ..sources import views
-from . import extra, geo, model
+from . import extra, geo, model, more
 
-QUERIES = {**geo.QUERIES, **model.QUERIES, **extra.QUERIES}
-ORACLE = {**geo.ORACLE, **model.ORACLE, **extra.ORACLE}
+QUERIES = {**geo.QUERIES, **model.QUERIES, **extra.QUERIES, **more.QUERIES}
+ORACLE = {**geo.ORACLE, **model.ORACLE, **extra.ORACLE, **more.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import json
 import logging
+import struct
 import time
+from contextlib import closing
 from collections.abc import Callable
 
 import numpy as np
@@ -176,3 +178,98 @@ def retry(attempts: int = 3, wait: float = 1.0, on: tuple[type[Exception], ...]
         return call
 
     return wrap
+
+
+def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table of comma-separated values with a header; its types are read from the values unless a schema is given."""
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def geometry_of(blob: bytes) -> tuple[str, list]:
+    """Kind and coordinates of a GeoPackage geometry: its header, then well-known binary."""
+    envelope = (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
+    return wkb(blob, 8 + envelope)[:2]
+
+
+def wkb(raw: bytes, at: int = 0) -> tuple[str, list, int]:
+    """Kind, coordinates as in GeoJSON, and the place after them; of heights and measures only that they are skipped."""
+    order = "<" if raw[at] else ">"
+    (code,) = struct.unpack_from(order + "I", raw, at + 1)
+    at += 5
+    flags, kind = code >> 28, code & 0xFFFFFFF
+    width = 2 + (kind // 1000 in (1, 3)) + (kind // 1000 in (2, 3)) + bool(flags & 8) + bool(flags & 4)
+    kind %= 1000
+
+    def count() -> int:
+        nonlocal at
+        (n,) = struct.unpack_from(order + "I", raw, at)
+        at += 4
+        return n
+
+    def point() -> list[float]:
+        nonlocal at
+        p = list(struct.unpack_from(f"{order}{width}d", raw, at))
+        at += 8 * width
+        return p[:2]
+
+    name = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}.get(kind)
+    if name is None:
+        raise ContractError(f"geometry of kind {kind} is not read")
+    if kind == 1:
+        return name, point(), at
+    if kind == 2:
+        return name, [point() for _ in range(count())], at
+    if kind == 3:
+        return name, [[point() for _ in range(count())] for _ in range(count())], at
+    parts = []
+    for _ in range(count()):
+        _, part, at = wkb(raw, at)
+        parts.append(part)
+    return name, parts, at
+
+
+def geopackage(spark: SparkSession, path: str, layer: str, columns: list[str], geometry: bool = True) -> DataFrame:
+    """fid, the columns as text, and with ``geometry`` kind and GeoJSON coordinates, of a layer of each file; a file a task, read from memory."""
+    quoted = ", ".join('"' + c.replace('"', '""') + '"' for c in columns)
+    name = '"' + layer.replace('"', '""') + '"'
+
+    def run(batches):
+        import sqlite3
+
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with closing(sqlite3.connect(":memory:")) as db:
+                    db.deserialize(content)
+                    shape = db.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (layer,)).fetchone() if geometry else None
+                    (key,) = next(r[1:2] for r in db.execute(f"PRAGMA table_info({name})") if r[5])
+                    found = db.execute(f'SELECT "{key}"{"," if columns else ""} {quoted}{", " + chr(34) + shape[0] + chr(34) if shape else ""} FROM {name} ORDER BY 1')
+                    while rows := found.fetchmany(2000):
+                        out = [pa.array([r[0] for r in rows], pa.int64())]
+                        out += [pa.array([None if r[i + 1] is None else str(r[i + 1]) for r in rows], pa.string()) for i in range(len(columns))]
+                        if geometry:
+                            shapes = [geometry_of(r[-1]) if shape and r[-1] else (None, None) for r in rows]
+                            out += [pa.array([k for k, _ in shapes], pa.string()), pa.array([None if c is None else json.dumps(c) for _, c in shapes], pa.string())]
+                        yield pa.RecordBatch.from_arrays(out, ["fid", *columns, *(["kind", "coordinates"] if geometry else [])])
+
+    kinds = ", ".join(["fid long", *[f"`{c}` string" for c in columns], *(["kind string", "coordinates string"] if geometry else [])])
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, kinds)
+
+
+def first_answer(mirrors: list[Callable[[], list]], attempts: int = 2, on: tuple[type[Exception], ...] = (OSError,)) -> list:
+    """The first answer of the mirrors in turn, each asked ``attempts`` times; an empty one counts once two mirrors give it."""
+    empty, failed = 0, None
+    for ask in mirrors:
+        for _ in range(attempts):
+            try:
+                got = ask()
+            except on as e:
+                failed = e
+                continue
+            if got:
+                return got
+            empty += 1
+            break
+        if empty >= min(2, len(mirrors)):
+            return []
+    raise OSError(f"no mirror answered; {empty} said that there is nothing") from failed

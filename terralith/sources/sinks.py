@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import struct
+from contextlib import closing
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -71,6 +73,53 @@ def leaves(document, path: str = "") -> dict[str, object]:
     return {path: document}
 
 
-def merge_metrics(old: dict, run: str, new: dict) -> dict:
-    """A metrics document with one run's entry replaced."""
-    return {**old, run: new}
+def write_metrics(df: DataFrame, path: str, run: str) -> None:
+    """Metrics of one run, in place of those it had; other runs stay."""
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def differing_leaves(a: DataFrame, b: DataFrame, key: str, document: str, tolerance: float = 1e-9) -> DataFrame:
+    """key, path, left, right: leaves of two tables' JSON objects (one level of names) that differ by more than the tolerance."""
+    def leaves_of(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.col(key), F.explode(F.from_json(document, "map<string,string>")).alias("path", side))
+
+    both = leaves_of(a, "left").join(leaves_of(b, "right"), [key, "path"], "full")
+    near = F.abs(F.expr("try_cast(left as double)") - F.expr("try_cast(right as double)")) <= tolerance
+    return both.where(~(F.col("left").eqNullSafe(F.col("right")) | F.coalesce(near, F.lit(False))))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Comma-separated values with a header, a file a partition."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def geopackage(rows: DataFrame, layer: str, cell: float, epsg: int, properties: list[str]) -> bytes:
+    """A GeoPackage of cell squares round x, y, which the driver writes from a stream of rows; for reports, not for large tables."""
+    import sqlite3
+
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "boolean": "INTEGER"}
+    types = dict(rows.dtypes)
+    with closing(sqlite3.connect(":memory:")) as db:
+        db.executescript(
+            "PRAGMA application_id = 1196444487; PRAGMA user_version = 10300;"
+            "CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT, srs_id INTEGER PRIMARY KEY, organization TEXT, organization_coordsys_id INTEGER, definition TEXT, description TEXT);"
+            "CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT, identifier TEXT, description TEXT, last_change TEXT, min_x REAL, min_y REAL, max_x REAL, max_y REAL, srs_id INTEGER);"
+            "CREATE TABLE gpkg_geometry_columns (table_name TEXT PRIMARY KEY, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z INTEGER, m INTEGER);"
+        )
+        db.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, 'EPSG', ?, 'undefined', NULL)", (f"EPSG:{epsg}", epsg, epsg))
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'POLYGON', ?, 0, 0)", (layer, epsg))
+        db.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, '', '1970-01-01T00:00:00Z', NULL, NULL, NULL, NULL, ?)", (layer, layer, epsg))
+        names = ", ".join(f'"{p}" {kinds.get(types[p], "TEXT")}' for p in properties)
+        db.execute(f'CREATE TABLE "{layer}" (fid INTEGER PRIMARY KEY, geom BLOB{", " + names if names else ""})')
+        marks = ", ".join("?" * (len(properties) + 1))
+        columns = ", ".join(['"geom"', *[f'"{p}"' for p in properties]])
+
+        def square_of(x: float, y: float) -> bytes:
+            h = cell / 2
+            corners = ((x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h))
+            return b"GP" + struct.pack("<BBi", 0, 1, epsg) + struct.pack("<BIII", 1, 3, 1, 5) + b"".join(struct.pack("<dd", *c) for c in corners)
+
+        found = rows.select("x", "y", *[F.col(p).alias(f"_{p}") for p in properties]).toLocalIterator()
+        db.executemany(f'INSERT INTO "{layer}" ({columns}) VALUES ({marks})', ((square_of(r[0], r[1]), *r[2:]) for r in found))
+        db.commit()
+        return db.serialize()

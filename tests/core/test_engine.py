@@ -149,7 +149,6 @@ def test_line_length_is_kept(spark):
 
 
 def test_clip(spark):
-    assert sorted(vector.clip_ring([(-1, -1), (3, -1), (3, 3), (-1, 3)], 0, 0, 2, 2)) == [(0, 0), (0, 2), (2, 0), (2, 2)]
     s = spark.createDataFrame([(0, -1.0, 1.0, 5.0, 1.0), (1, -1.0, 9.0, 5.0, 9.0)], "line_id int, x1 double, y1 double, x2 double, y2 double")
     assert [tuple(r) for r in vector.clip_lines(s, 0, 0, 2, 2).collect()] == [(0, 0.0, 1.0, 2.0, 1.0)]
 
