@@ -34,11 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .text import LOWER, flat, mix, slices, window_hashes, word_bounds, word_hashes
+from .text import LOWER, flat, mix, slices, tidy, window_hashes, word_bounds, word_hashes
 
 SAMPLE = 3000
 SAMPLE_BYTES = 24 << 20
 WINDOW = 32
+#: Bytes of text scored at once.
+SLICE = 1 << 20
 #: Bytes of the large dictionary of ordinary text, and of those of the classes; segments that the trainer picks for them.
 DICTIONARY, CLASS = 112 << 10, 4 << 10
 SEGMENT, CLASS_SEGMENT = 64, 32
@@ -277,24 +279,22 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most: int = S
     known = labels.where("doc_id is not null and toxic is not null").where(remainder(F.col("doc_id"), HELD_OUT) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = {int(r.toxic): r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    spark, used = docs.sparkSession, []
-    for k in (1, 0):
-        ids = [r.doc_id for r in known.where(F.col("toxic") == k).orderBy(*order).limit(size).select("doc_id").collect()]
-
-        def of(wanted):
-            few = spark.createDataFrame([(d,) for d in wanted], "_id long")  # ``size`` rows at most
-            return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
-
-        length: dict[int, int] = {}
-        for r in of(ids).groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect():
-            length[r.doc_id] = r.n
-        total, taken = 0, []
-        for d in (d for d in ids if d in length):
-            if total + length[d] <= most:
+    chosen = {k: [r.doc_id for r in known.where(F.col("toxic") == k).orderBy(*order).limit(size).select("doc_id").collect()] for k in (1, 0)}
+
+    def of(wanted):
+        few = docs.sparkSession.createDataFrame([(d,) for d in wanted], "_id long")  # 2 x ``size`` rows at most
+        return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
+
+    length = {r.doc_id: r.n for r in of([*chosen[1], *chosen[0]]).groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    taken = {}
+    for k, ids in chosen.items():
+        total = 0
+        for d in ids:
+            if d in length and total + length[d] <= most:
                 total += length[d]
-                taken.append(d)
-        used.append([t for _, t in sorted((r.doc_id, r.text.encode()) for r in of(taken).select("doc_id", "text").toLocalIterator())])
-    return *used, (there.get(1, 0), there.get(0, 0))
+                taken[d] = k
+    texts = sorted((r.doc_id, r.text.encode()) for r in of(list(taken)).select("doc_id", "text").toLocalIterator())
+    return [t for d, t in texts if taken[d] == 1], [t for d, t in texts if taken[d] == 0], (there.get(1, 0), there.get(0, 0))
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
@@ -306,9 +306,10 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             p = score(model, *flat(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (remainder(F.col("doc_id"), HELD_OUT) == 0).alias("held_out"), "text")
@@ -319,8 +320,9 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             yield batch.filter(pa.array(score(model, *flat(batch.column("text"))) < threshold))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 
