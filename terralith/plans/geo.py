@@ -280,22 +280,11 @@ def dist_outside_cell(spark, sf):
 
 
 _T = "CASE WHEN (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) > 0 THEN greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) ELSE 0 END"
-_SEGS = "SELECT * FROM segment WHERE line_id % 10 = 3"
 
 
-@query(sql("cell segment", f"SELECT cell_id, round(least(coalesce(min(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2)), 800), 800), 6) AS distance FROM (SELECT cell_id, x, y, x1, y1, x2, y2, {_T} AS t FROM cell, some_) GROUP BY cell_id", some_=_SEGS))
+@query(sql("cell segment", f"SELECT cell_id, round(coalesce(least(min(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2)), 800), 800), 6) AS distance FROM (SELECT cell_id, x, y, x1, y1, x2, y2, {_T} AS t FROM cell LEFT JOIN segment ON x BETWEEN least(x1, x2) - 800 AND greatest(x1, x2) + 800 AND y BETWEEN least(y1, y2) - 800 AND greatest(y1, y2) + 800) GROUP BY cell_id"))
 def nearest_line_dist(spark, sf):
-    """Of a tenth of the lines, as its SQL has it; nearest_line_dist_whole is of all."""
-    return _nearest_line(spark, sf, vector.segments(views.vertex(spark, sf)).where("line_id % 10 = 3"))
-
-
-def _nearest_line(spark, sf, segs):
-    return proximity.nearest_line(views.cell(spark, sf), segs, 800.0, bucket=200.0).select("cell_id", F.round("distance", 6).alias("distance"))
-
-
-@query()
-def nearest_line_dist_whole(spark, sf):
-    return _nearest_line(spark, sf, vector.segments(views.vertex(spark, sf)))
+    return proximity.nearest_line(views.cell(spark, sf), vector.segments(views.vertex(spark, sf)), 800.0, bucket=200.0).select("cell_id", F.round("distance", 6).alias("distance"))
 
 
 _LENGTH = {

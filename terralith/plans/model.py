@@ -283,15 +283,8 @@ def similarity_query_radius(spark, sf):
     return _query(spark, sf, near=F.hypot(F.floor(F.col("cell_id") / COLS).cast("double"), (F.col("cell_id") % COLS - 7).cast("double")) <= 15)
 
 
-@query(sql("profile", "SELECT cell_id, list(i ORDER BY gap, i)[1:3] AS closest, list(i ORDER BY gap DESC, i)[1:3] AS most_different FROM (SELECT a.cell_id, a.i::INT AS i, abs(a.z - q.z) AS gap FROM zs a JOIN zs q ON q.cell_id = 7 AND a.i = q.i WHERE a.cell_id < 20) GROUP BY cell_id", **_Z))
+@query(sql("profile", "SELECT cell_id, list(i ORDER BY gap, i)[1:3] AS closest, list(i ORDER BY gap DESC, i)[1:3] AS most_different FROM (SELECT a.cell_id, a.i::INT AS i, abs(a.z - q.z) AS gap FROM zs a JOIN zs q ON q.cell_id = 7 AND a.i = q.i) GROUP BY cell_id", **_Z))
 def explain_gap(spark, sf):
-    """Of 20 profiles, as its SQL has it; explain_gap_whole is of all."""
-    z = standardised(spark, sf)
-    return similarity.explain(z, 7, z.where("cell_id < 20"))
-
-
-@query()
-def explain_gap_whole(spark, sf):
     z = standardised(spark, sf)
     return similarity.explain(z, 7, z)
 

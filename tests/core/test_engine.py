@@ -110,7 +110,7 @@ def test_whole_tables_against_brute_force(spark):
     v = views.vertex(spark, sf).toPandas().sort_values(["line_id", "seq"])
     v["x2"], v["y2"] = v.groupby("line_id").x.shift(-1), v.groupby("line_id").y.shift(-1)
     seg = v.dropna()[["x", "y", "x2", "y2"]].to_numpy()
-    cell, got = views.cell(spark, sf).select("cell_id", "x", "y").toPandas(), run("nearest_line_dist_whole").set_index("cell_id").distance
+    cell, got = views.cell(spark, sf).select("cell_id", "x", "y").toPandas(), run("nearest_line_dist").set_index("cell_id").distance
     a, d = seg[:, :2], seg[:, 2:] - seg[:, :2]
     for r in cell.itertuples():
         t = np.clip(np.nan_to_num(((np.array([r.x, r.y]) - a) * d).sum(1) / np.where((d**2).sum(1) > 0, (d**2).sum(1), 1)), 0, 1)
@@ -118,7 +118,7 @@ def test_whole_tables_against_brute_force(spark):
     assert len(got) == len(cell) and (v.line_id % 10 != 3).any()
 
     z = model.standardised(spark, sf).select("cell_id", "z").toPandas().set_index("cell_id").z
-    got = run("explain_gap_whole").set_index("cell_id")
+    got = run("explain_gap").set_index("cell_id")
     assert sorted(got.index) == sorted(z.index) and (z.index >= 20).any()
     for i, p in z.items():
         gap = np.abs(np.array(p) - np.array(z[7]))
@@ -128,7 +128,7 @@ def test_whole_tables_against_brute_force(spark):
 
     t = views.read(spark, sf, "lineitem").toPandas()
     want = t[t.l_quantity > 5].sort_values(["l_suppkey", "l_orderkey", "l_linenumber"]).groupby("l_partkey").l_quantity.first()
-    got = run("mosaic_first_valid_whole").set_index("pixel").v
+    got = run("mosaic_first_valid").set_index("pixel").v
     assert len(got) == len(want) and (got.sort_index() == want.sort_index()).all() and (t.l_suppkey % 3 != 0).any()
 
 
