@@ -2,7 +2,8 @@
 
 Vectors are linked when their labels are equal and their cosine reaches the
 threshold.  Equal vectors are first taken together (partial aggregation), then
-dealt into tiles of bounded size near the same pivot; a pair of tiles is skipped when
+dealt into tiles of bounded size near the same pivot, with as many pivots as the
+vectors ask for and ``PIVOT_BYTES`` allow; a pair of tiles is skipped when
 the triangle inequality shows that no pair in it can reach the threshold.
 Within a pair of tiles the normalised vectors are quantised to int8; the product of the
 quantised tiles differs from the cosine by at most ``ex + ey + ex ey`` with the
@@ -32,7 +33,8 @@ from .common import saved
 
 THRESHOLD = 0.98
 TILE = 2048
-PIVOTS = 64
+#: Bytes of all pivots, which go to every task; their number follows the number of vectors below that.
+PIVOT_BYTES = 64 << 20
 
 
 def usable(embedding: Column, label: Column) -> Column:
@@ -83,24 +85,27 @@ def forest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _pivots(reps: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """At most n unit vectors of the data, by a hash, as centres of cells; by length of the vector."""
-    got = reps.orderBy(F.xxhash64("rep"), "rep").limit(n).select("vec").collect()
-    by: dict[int, list] = {}
-    for r in got:
-        by.setdefault(len(r.vec), []).append(r.vec)
-    return {d: unit(np.array(v, float)) for d, v in by.items()}
+    """At most n unit vectors of the data and ``PIVOT_BYTES``, by a hash, as centres of cells; by length of the vector."""
+    width = reps.agg(F.max("dim")).first()[0] or 1
+    n = max(1, min(n, PIVOT_BYTES // (8 * width)))
+    got = reps.orderBy(F.xxhash64("rep"), "rep").limit(n).select("dim", F.col("vec").cast("array<double>").alias("vec")).toArrow()
+    dims = got.column("dim").to_numpy()
+    return {int(d): unit(got.filter(pa.array(dims == d)).column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)) for d in np.unique(dims)}
 
 
 def _cells(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    sent = reps.sparkSession.sparkContext.broadcast(pivots)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = np.zeros(batch.num_rows, np.int32)
             dims = np.array([len(v) for v in batch.column("vec").to_pylist()] if batch.num_rows else [], int)
-            for d, p in pivots.items():
+            for d, p in sent.value.items():
                 at = np.flatnonzero(dims == d)
                 if len(at):
                     flat = batch.column("vec").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
-                    cell[at] = (unit(flat) @ p.T).argmax(axis=1)
+                    flat, step = unit(flat), max(1, (1 << 22) // len(p))  # products of 32 MB at most
+                    cell[at] = np.concatenate([(flat[i : i + step] @ p.T).argmax(axis=1) for i in range(0, len(at), step)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
     from pyspark.sql import types as T
@@ -123,13 +128,14 @@ def _tiles(placed: DataFrame, key: list[str]) -> DataFrame:
     return placed.groupBy("tile", "label", "dim").applyInArrow(one, "tile long, label string, dim int, centre array<double>, radius double, ids binary, copies binary, vecs binary")
 
 
-def near(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, pivots: int = PIVOTS) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+def near(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, pivots: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row; ``pivots`` lowers the number of cells, which changes no result."""
     rows = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").alias("vec"), (usable(F.col("embedding"), F.col("label")) & F.col("vec_id").isNotNull()).alias("ok"))
     groups = rows.where("ok").groupBy("label", "vec").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = saved(groups.withColumn("dim", F.size("vec")))
     # Cells of several tiles each: smaller ones would only multiply the pairs of tiles.
-    cells = _cells(reps, _pivots(reps, min(pivots, max(1, reps.count() // (8 * tile)))))
+    n = reps.count() // (8 * tile)
+    cells = _cells(reps, _pivots(reps, n if pivots is None else min(n, pivots)))
     sizes = cells.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("n"))
     placed = cells.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / tile)))
     placed = placed.withColumn("tile", F.xxhash64("label", "dim", "cell", "part")).drop("cell", "n", "part")

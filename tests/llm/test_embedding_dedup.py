@@ -61,6 +61,21 @@ def test_brute_force(spark, tile, threshold):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, threshold)
 
 
+@pytest.mark.parametrize("room", [1 << 20, 8 * 7 * 3, 1])
+def test_the_number_of_pivots_changes_no_result(spark, monkeypatch, room):
+    monkeypatch.setattr(ed, "PIVOT_BYTES", room)
+    rows = data()
+    got = ed.near(spark.createDataFrame(rows, SCHEMA).repartition(3), 0.9, 2)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 0.9)
+
+
+def test_pivots_follow_the_vectors_within_their_bytes(spark, monkeypatch):
+    reps = spark.range(500).selectExpr("id as rep", "array(cast(id + 1 as float), 1f) as vec", "2 as dim")
+    assert len(ed._pivots(reps, 40)[2]) == 40
+    monkeypatch.setattr(ed, "PIVOT_BYTES", 160)
+    assert len(ed._pivots(reps, 40)[2]) == 10
+
+
 def test_bounds_hold():
     r = np.random.default_rng(0)
     x, y = ed.unit(r.normal(size=(300, 64))), ed.unit(r.normal(size=(300, 64)) ** 5)
