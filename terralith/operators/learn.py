@@ -15,7 +15,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import model_inputs
@@ -151,11 +151,20 @@ def tune(df: DataFrame, columns: list[str], y: str, leaves: tuple, shares: tuple
     return best
 
 
-def shuffled(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """The column dealt anew: values in the order of one hash meet rows in the order of another."""
-    rows = ranks.row_numbers(df, [F.md5(F.concat_ws(":", F.lit(f"a{seed}"), "cell_id")), F.col("cell_id")], out="_n")
-    values = ranks.row_numbers(df.select("cell_id", F.col(column).alias("_v")), [F.md5(F.concat_ws(":", F.lit(f"b{seed}"), "cell_id")), F.col("cell_id")], out="_n").select("_n", "_v")
-    return rows.join(values, "_n").withColumn(column, F.col("_v")).drop("_n", "_v")
+def shuffled(df: DataFrame, column: str, seed: int, repeats: int | None = None) -> DataFrame:
+    """The column dealt anew: values in the order of one hash meet rows in the order of another.
+
+    With ``repeats`` the rows come that often, ``repeat`` counting from 0 and each dealt by the seed plus it.
+    """
+    times = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit((repeats or 1) - 1))))
+
+    def order(side: str) -> list[Column]:
+        return [F.md5(F.concat_ws(":", F.concat(F.lit(side), F.lit(seed) + F.col("repeat")), "cell_id")), F.col("cell_id")]
+
+    rows = ranks.row_numbers(times, order("a"), ["repeat"], "_n")
+    values = ranks.row_numbers(times.select("repeat", "cell_id", F.col(column).alias("_v")), order("b"), ["repeat"], "_n").select("repeat", "_n", "_v")
+    dealt = rows.join(values, ["repeat", "_n"]).withColumn(column, F.col("_v")).drop("_n", "_v")
+    return dealt if repeats else dealt.drop("repeat")
 
 
 def permutation_importance(df: DataFrame, columns: list[str], y: str, models: list, folds: list, repeats: int = 5, fold: str = "fold") -> DataFrame:
@@ -165,9 +174,9 @@ def permutation_importance(df: DataFrame, columns: list[str], y: str, models: li
         part = materialise(df.where(F.col(fold) == f))
         base = ranks.auc(probability(model, assembled(part, columns)), y, "score").first().auc
         for i, c in enumerate(columns):
-            for r in range(repeats):
-                auc = ranks.auc(probability(model, assembled(shuffled(part, c, 31 * i + r), columns)), y, "score").first().auc
-                rows.append((c, (base or 0.5) - (auc or 0.5), float(model.featureImportances.toArray()[i])))
+            scored = probability(model, assembled(shuffled(part, c, 31 * i, repeats), columns))
+            aucs = {r.repeat: r.auc for r in ranks.auc(scored, y, "score", ["repeat"]).collect()}  # at most a row a repeat
+            rows += [(c, (base or 0.5) - (aucs.get(r) or 0.5), float(model.featureImportances.toArray()[i])) for r in range(repeats)]
     return spark.createDataFrame(rows, "feature string, drop double, impurity double").groupBy("feature").agg(F.avg("drop").alias("drop"), F.avg("impurity").alias("impurity"))
 
 
