@@ -11,28 +11,56 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import contracts
 from ..config import Config
 from ..functions import ranks
-from ..operators import labels, lattice, patches, proximity, raster, similarity, suitability, vector
+from ..operators import labels, lattice, learn, patches, proximity, raster, similarity, suitability, vector
+from ..operators.components import materialise
 from ..sources import synthetic
 
 log = logging.getLogger(__name__)
 
+SHARES = ("built", "tree", "crop", "range", "bare", "water")
+
+#: What the tables that come from files must hold; other columns are left behind.
+INPUTS = {
+    "cover": ("yr", "cell_id", "row", "col", "x", "y", *[f"frac_{k}" for k in (*SHARES, "flooded")], "elev_mean", "slope_mean", "slope_max", "nodata_frac", "protected_frac"),
+    "roads": ("line_id", "kind", "seq", "x1", "y1", "x2", "y2"),
+    "buildings": ("bldg_id", "area_m2", "building_type", "x", "y"),
+}
+
 
 @dataclass
 class Context:
+    """files: Parquet paths of all tables in INPUTS; without them the stages run on the synthetic town of n x n cells."""
+
     spark: SparkSession
     folder: str
     config: Config = field(default_factory=Config)
     n: int = 30
     timings: dict[str, float] = field(default_factory=dict)
+    files: dict[str, str] = field(default_factory=dict)
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}")
 
+    def lattice(self) -> tuple[int, int, float, float]:
+        """Rows, columns, left and top of the lattice that the cells of the cover lie on, also where it has gaps."""
+        half = (F.col("row") + 0.5) * self.config.cell, (F.col("col") + 0.5) * self.config.cell
+        by_id = F.max(F.when(F.col("row") > 0, (F.col("cell_id") - F.col("col")) / F.col("row")))
+        got = self.read("cover").agg(F.max("row") + 1, F.coalesce(by_id, F.max("col") + 1).cast("long"), F.min(F.col("x") - half[1]), F.max(F.col("y") + half[0])).first()
+        if got[0] is None:
+            raise ValueError("the cover holds no cells")
+        return tuple(got)
+
+    def cell_of(self) -> Column:
+        """The cell of a point (x, y)."""
+        rows, cols, left, top = self.lattice()
+        return lattice.cell_of(F.col("x"), F.col("y"), rows, cols, self.config.cell, left, top)
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -43,19 +71,38 @@ class Stage:
 
 
 def cover(c: Context) -> dict[str, DataFrame]:
-    """Cover of every year, roads and buildings: the synthetic town where no files are given."""
+    """Cover of every year, roads and buildings, from files or of the synthetic town, which has even slopes within a cell and nothing protected."""
+    if c.files:
+        return {name: _input(c, name) for name in INPUTS}
     stack = None
     for year in synthetic.RADIUS:
-        part = synthetic.town(c.spark, c.n, year).withColumn("yr", F.lit(year))
+        part = synthetic.town(c.spark, c.n, year).withColumns({"yr": F.lit(year), "slope_max": F.col("slope_mean"), "protected_frac": F.lit(0.0)})
         stack = part if stack is None else stack.unionByName(part)
     return {"cover": stack, "roads": synthetic.roads(c.spark, c.n, c.config.years.latest), "buildings": synthetic.buildings(c.spark, c.n, c.config.years.baseline)}
 
 
+def _input(c: Context, name: str) -> DataFrame:
+    if name not in c.files:
+        raise ValueError(f"no file for {name!r}")
+    df = c.spark.read.parquet(c.files[name])
+    if lacking := [k for k in INPUTS[name] if k not in df.columns]:
+        raise ValueError(f"{c.files[name]} lacks {', '.join(lacking)}")
+    df = df.select(*INPUTS[name])
+    if name == "cover":
+        y = c.config.years
+        asked = {y.baseline, y.confirm, *y.train_end, y.latest_confirm, y.latest}
+        there = {r[0] for r in df.where(F.col("yr").isin(*asked)).select("yr").distinct().collect()}  # a row a year asked for
+        if asked - there:
+            raise ValueError(f"{c.files[name]} lacks the years {sorted(asked - there)}")
+        return contracts.require_unique(df, ["yr", "cell_id"])
+    return df
+
+
 def features(c: Context) -> dict[str, DataFrame]:
     cell, cfg = c.config.cell, c.config
     out = None
     segments = c.read("roads")
-    metres = vector.length_per_cell(segments, lattice.cell_of(F.col("x"), F.col("y"), c.n, c.n, cell))
+    metres = vector.length_per_cell(segments, c.cell_of())
     for year in (cfg.years.baseline, cfg.years.latest):
         t = c.read("cover").where(F.col("yr") == year)
         radii = {str(r): raster.ring_cells(r, cell) for r in cfg.ring_radii}
@@ -67,7 +114,7 @@ def features(c: Context) -> dict[str, DataFrame]:
         line = lambda name, s: proximity.nearest_line(q, s, cfg.distance_cap).select("cell_id", F.log1p("distance").alias(name))
         disk = raster.disk_sums(t.select("cell_id", "row", "col").join(metres, "cell_id", "left").fillna(0.0, ["metres"]), "metres", raster.ring_cells(cfg.density_radius, cell))
         density = disk.select("cell_id", (F.col("disk") / 1000 / (F.col("disk_n") * (cell / 1000) ** 2)).alias("road_density"))
-        table = rings.select("cell_id", "row", "col", "x", "y", "built", "tree", "water", "crop", "range", "bare", "frac_flooded", "nodata_frac", "elev_mean", "slope_mean", F.col("slope_mean").alias("slope_max"), *[f"ring{r}_{k}" for r in radii for k in ("built", "tree", "crop", "range", "bare", "water")])
+        table = rings.select("cell_id", "row", "col", "x", "y", "built", "tree", "water", "crop", "range", "bare", "frac_flooded", "nodata_frac", "elev_mean", "slope_mean", "slope_max", *[f"ring{r}_{k}" for r in radii for k in ("built", "tree", "crop", "range", "bare", "water")])
         for part in (built, water, line("log_dist_major", segments.where("kind = 'major'")), line("log_dist_any", segments), density):
             table = table.join(part, "cell_id")
         table = table.withColumn("yr", F.lit(year))
@@ -79,7 +126,7 @@ def label(c: Context) -> dict[str, DataFrame]:
     y = c.config.years
     named = {"baseline": y.baseline, "confirm": y.confirm, "train1": y.train_end[0], "train2": y.train_end[1], "latest_confirm": y.latest_confirm, "latest": y.latest}
     grown = labels.growth(labels.yearly(c.read("cover"), named), c.config.built_share, c.config.open_share)
-    base = c.read("cover").where(F.col("yr") == y.baseline).select("cell_id", (F.col("frac_water") + F.col("frac_flooded")).alias("wet_frac"), "slope_mean", "nodata_frac", F.lit(0.0).alias("protected_frac"))
+    base = c.read("cover").where(F.col("yr") == y.baseline).select("cell_id", (F.col("frac_water") + F.col("frac_flooded")).alias("wet_frac"), "slope_mean", "nodata_frac", "protected_frac")
     mask = labels.exclusion(base, c.config.max_excluded, c.config.max_slope, c.config.max_nodata, c.config.max_excluded)
     return {"labels": grown.join(mask.select("cell_id", "excluded"), "cell_id"), "exclusion": mask}
 
@@ -89,7 +136,7 @@ def score(c: Context) -> dict[str, DataFrame]:
     year = c.config.years.baseline
     t = c.read("features").where(F.col("yr") == year)
     usable = c.read("labels").where("not excluded and candidate").select("cell_id")
-    refs = vector.reference_cells(c.read("buildings").withColumn("cell_id", lattice.cell_of(F.col("x"), F.col("y"), c.n, c.n, c.config.cell))).select("cell_id", F.lit(True).alias("is_ref"))
+    refs = vector.reference_cells(c.read("buildings").withColumn("cell_id", c.cell_of())).select("cell_id", F.lit(True).alias("is_ref"))
     inputs = [k for k in t.columns if k.startswith(("ring", "log_dist"))] + ["elev_mean", "slope_mean", "road_density"]
     profile = t.select("cell_id", F.array(*[F.col(i).cast("double") for i in inputs]).alias("z")).join(refs, "cell_id", "left").fillna(False, ["is_ref"])
     profile = profile.join(usable.withColumn("usable", F.lit(True)), "cell_id", "left").fillna(False, ["usable"])
@@ -101,11 +148,36 @@ def score(c: Context) -> dict[str, DataFrame]:
     return {"scores": knn.unionByName(mcda).unionByName(distance)}
 
 
+def clusters(c: Context) -> dict[str, DataFrame]:
+    """Cells of the latest year in k clusters of cover and slope, numbered by built-up share, with the class of each cluster's means."""
+    cfg, named = c.config, {k: F.col(f"frac_{k}") for k in (*SHARES, "flooded")}
+    cells = c.read("cover").where((F.col("yr") == cfg.years.latest) & (F.col("nodata_frac") <= cfg.max_nodata)).select("cell_id", "slope_mean", *[v.alias(k) for k, v in named.items()])
+    inputs = [*named, "slope_mean"]
+    z = materialise(learn.assembled(learn.scaled(cells, inputs), inputs).select("cell_id", "features"))
+    found = materialise(learn.kmeans(z, cfg.k, cfg.seed).transform(z).select("cell_id", F.col("prediction").alias("cluster")).join(cells, "cell_id"))
+    means = found.groupBy("cluster").agg(*[F.avg(k).alias(k) for k in inputs])
+    cls, flag = labels.cluster_class({k: F.col(k) for k in named}, F.col("slope_mean"), cfg.rule_water, cfg.rule_built, cfg.rule_tree, cfg.rule_slope, cfg.cropland_usable)
+    ruled = means.select("cluster", cls.cast("long").alias("class_3"), flag.alias("flag")).join(labels.order_clusters(found), "cluster")
+    return {"clusters": found.select("cell_id", "cluster").join(F.broadcast(ruled), "cluster").select("cell_id", F.col("cluster_id").cast("long").alias("cluster_id"), "class_3", "flag")}  # a row a cluster
+
+
+def combine(c: Context) -> dict[str, DataFrame]:
+    """The weight of similarity against the overlay that ranks growth best, and the scores it gives."""
+    by = {m: c.read("scores").where(F.col("model") == m).select("cell_id", F.col("score").alias(m)) for m in ("knn", "mcda")}
+    cells = materialise(by["knn"].join(by["mcda"], "cell_id").join(c.read("labels").where("candidate and not ambiguous").select("cell_id", "grew"), "cell_id", "left"))
+    steps = round(1 / c.config.weight_step)
+    weights = materialise(suitability.combine(cells, ["knn", "mcda"], [i / steps for i in range(steps + 1)], "grew"))
+    best = suitability.best_weight(weights).select("weight")
+    ranked = ranks.pct_rank(ranks.pct_rank(cells, "knn", out="_a"), "mcda", out="_b")
+    score = F.round(F.col("weight") * F.col("_a") + (1 - F.col("weight")) * F.col("_b"), 12)
+    return {"weights": weights, "combined": ranked.crossJoin(F.broadcast(best)).select("cell_id", score.alias("score"))}  # one row
+
+
 def sites(c: Context) -> dict[str, DataFrame]:
     s = c.read("scores").where("model = 'knn'")
     classes = ranks.quantile_classes(s, "score", c.config.class_quantiles)
     best = classes.where("class = 1").join(c.read("features").where(F.col("yr") == c.config.years.latest).select("cell_id", "row", "col"), "cell_id")
-    labelled = best.join(patches.patches(best, c.n), "cell_id")
+    labelled = best.join(patches.patches(best, c.lattice()[1]), "cell_id")
     area = c.config.cell**2
     return {"classes": classes, "candidates": suitability.sites(patches.patch_stats(labelled, "score", area), c.config.min_site / 1e4, c.config.top_sites, c.config.top_site_area / 1e4)}
 
@@ -120,8 +192,10 @@ STAGES = (
     Stage("cover", (), ("cover", "roads", "buildings"), cover),
     Stage("features", ("cover", "roads"), ("features",), features),
     Stage("labels", ("cover",), ("labels", "exclusion"), label),
-    Stage("scores", ("features", "labels", "buildings"), ("scores",), score),
-    Stage("sites", ("scores", "features"), ("classes", "candidates"), sites),
+    Stage("scores", ("cover", "features", "labels", "buildings"), ("scores",), score),
+    Stage("clusters", ("cover",), ("clusters",), clusters),
+    Stage("combine", ("scores", "labels"), ("weights", "combined"), combine),
+    Stage("sites", ("cover", "scores", "features"), ("classes", "candidates"), sites),
     Stage("validate", ("scores", "labels"), ("auc", "top", "toc"), validate),
 )
 

@@ -336,6 +336,31 @@ def test_sinks(spark):
     assert sinks.leaves({"a": [1, {"b": 2}]}) == {"/a/0": 1, "/a/1/b": 2}
 
 
+def test_pipeline_on_files_elsewhere(spark, tmp_path):
+    """The town 20 km east and 30 km south, with a gap in its lattice and columns of the user's, gives what the town gives."""
+    town = pipeline.Context(spark, str(tmp_path / "town"), n=20)
+    pipeline.run(town, {"features", "labels"})
+    paths = {t: str(tmp_path / f"{t}.parquet") for t in pipeline.INPUTS}
+    far = {"x": 20000, "y": -30000, "x1": 20000, "x2": 20000, "y1": -30000, "y2": -30000}
+    for t, path in paths.items():
+        df = town.read(t)
+        df.withColumns({k: F.col(k) + v for k, v in far.items() if k in df.columns}).withColumn("other", F.lit(1)).write.parquet(path)
+    c = pipeline.Context(spark, str(tmp_path / "out"), files=paths)
+    pipeline.run(c, {"features", "labels"})
+    assert c.lattice() == (20, 20, 20000.0, -30000.0)
+    a, b = (x.read("features").drop("x", "y").select(*[F.round(k, 6) if k not in ("cell_id", "yr") else F.col(k) for k in x.read("features").columns if k not in ("x", "y")]) for x in (town, c))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    gap = pipeline.Context(spark, str(tmp_path / "gap"), files=paths)
+    spark.read.parquet(paths["cover"]).where("col < 15").write.parquet(f"{gap.folder}/cover")
+    assert gap.lattice()[1] == 20
+    with pytest.raises(ValueError, match="lacks yr"):
+        pipeline.cover(pipeline.Context(spark, "", files=paths | {"cover": paths["roads"]}))
+    with pytest.raises(ValueError, match="years"):
+        pipeline.cover(pipeline.Context(spark, "", Config(years=Years(latest=2030)), files=paths))
+    with pytest.raises(ValueError, match="no file"):
+        pipeline.cover(pipeline.Context(spark, "", files={"cover": paths["cover"]}))
+
+
 def test_pipeline_on_the_town(spark, tmp_path):
     c = pipeline.Context(spark, str(tmp_path), n=20)
     assert pipeline.run(c, dry=True) == {}
@@ -343,6 +368,13 @@ def test_pipeline_on_the_town(spark, tmp_path):
     auc = {r.model: r.auc for r in c.read("auc").collect()}
     assert auc["knn"] > 0.6 and auc["distance"] > 0.6
     contracts.validate(c.read("scores").where("model = 'knn'").select("cell_id", "score"), contracts.CONTRACTS["scores"])
+    contracts.validate(c.read("clusters").select("cell_id", "cluster_id", "class_3"), contracts.CONTRACTS["classes"])
+    town = c.read("cover").where("yr = 2023").join(c.read("clusters"), "cell_id")
+    share = {r.class_3: r.b for r in town.groupBy("class_3").agg(F.avg("frac_built").alias("b")).collect()}
+    assert share[1] > 0.5 > max(v for k, v in share.items() if k != 1) and town.count() == 400
+    best = max(r.auc for r in c.read("weights").collect())
+    both = c.read("combined").join(c.read("labels").where("candidate and not ambiguous").select("cell_id", "grew"), "cell_id")
+    assert c.read("weights").count() == 11 and ranks.auc(both, "grew", "score").first().auc == pytest.approx(best, abs=1e-4)
     contracts.validate(c.read("labels").withColumn("lei_type", F.lit("none")), contracts.CONTRACTS["labels"])
     assert [s.name for s in pipeline.plan({"scores"})] == ["cover", "features", "labels", "scores"]
     assert [s.name for s in pipeline.plan({"auc"}, have={"scores", "labels"})] == ["validate"]
