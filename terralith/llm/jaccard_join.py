@@ -8,7 +8,10 @@
    together, over all ranges, becomes one tree.  Frequent shingles (passages
    that many documents share) are left out of both sides first, which keeps the
    bound d, so that they do not tie strangers; a document of little else ties by
-   its empty ranges.
+   its empty ranges.  A tree over a block is then looked at again: as more ranges
+   than d + 1 are cut for large sets, a linked pair agrees in many, which are
+   counted pair by pair (keys that many hold tie without a count), after
+   shingles that are frequent among these documents alone are left out too.
 3. A tree's nodes hold the OR of their documents' token bitmaps and the range of
    their sizes; a dual traversal skips pairs of nodes by their
    largest possible overlap, or when both lie within one component already, and
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators.components import Forest, connected_components
 
-from .common import documents, own_names, partitions, saved
+from .common import documents, own_names, partitions, release, saved
 from .substring_dedup import _rows, _split, bucket_of, deltas, get, put
 from .text import U64, flat, mix, pack, slices, tidy, unpack, window_hashes, word_bounds, word_hashes
 
@@ -51,6 +54,12 @@ COUNTED = 2_500_000
 #: Shingles (8 bytes each) of a block; a task holds two.
 BLOCK = 1_000_000
 KEY_BYTES = 7
+#: Shingles held by so many documents of large trees are left out when these are looked at again, one number after another.
+AGAIN = (20, 200, 2000)
+#: Holders of a key up to which pairs are counted; beyond, all are tied to the first.
+COUNTED_HOLDERS = 32
+#: Document ids (8 bytes each) up to which a list of them goes to every task.
+ONLY = 2_000_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +102,12 @@ def ranges_of(percent: int, low: int, high: int) -> tuple[int, int]:
     return d + 1 + max(spare, math.ceil(empty + 4 * math.sqrt(empty)) if low >= 40 else 0), d
 
 
-def range_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key for the content of each range of each document, and the document it is from.
+def range_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key for the content of each range of each document, the document it is from, and in how many keys each document agrees with any it is linked with, at least.
 
     h: shingles without the frequent ones; size: of the whole sets.
     """
+    need = np.full(len(first) - 1, np.iinfo(np.int64).max)
     n = np.diff(first)
     own = np.searchsorted(bounds, size, "right")  # class of a size: bounds[own - 1] <= size < bounds[own]
     keys, docs = [], []
@@ -119,18 +129,35 @@ def range_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int,
             docs.append(r)
             full = np.bincount(r, minlength=len(n))
             begin = np.concatenate([[0], np.cumsum(full)])
+            need = np.minimum(need, np.maximum(full - d, 1))  # of s ranges d differ at most, and s - full may agree as empty ones
             for i in np.flatnonzero((size > 0) & (s - full >= s - d)):  # all ranges that agree might be empty ones
                 gone = np.ones(s[i], bool)
                 gone[seg[at[begin[i] : begin[i + 1]]].astype(np.int64)] = False
                 gone = np.flatnonzero(gone).astype(U64)
                 keys.append(mix(mix(gone * U64(0x9E3779B97F4A7C15) + U64(int(cls[i])))))
                 docs.append(np.full(len(gone), i))
-    return np.concatenate(keys), np.concatenate(docs)
+    return np.concatenate(keys), np.concatenate(docs), need
 
 
-def frequent(docs: DataFrame, n: int, documents_: int) -> np.ndarray:
-    """Hashes of shingles that many documents hold, sorted; counted over all documents, by task and then together."""
-    least = max(FREQUENT_LEAST, int(FREQUENT * documents_))
+def among(batches: Iterator[pa.RecordBatch], only) -> Iterator[pa.RecordBatch]:
+    """The rows whose doc_id is in ``only``, a broadcast of sorted ids; all rows without one."""
+    for batch in batches:
+        if only is not None:
+            ids, listed = np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64), only.value
+            held = listed[np.minimum(np.searchsorted(listed, ids), len(listed) - 1)] == ids if len(listed) else np.zeros(len(ids), bool)
+            batch = batch.filter(pa.array(held & ~np.asarray(batch.column("doc_id").is_null())))
+        yield batch
+
+
+def listed(members: DataFrame):
+    """The doc_ids of ``members`` as a broadcast of sorted ids, or None if they are more than ONLY."""
+    ids = members.select("doc_id").distinct().limit(ONLY + 1).toArrow().column("doc_id").to_numpy()  # of checked size
+    return members.sparkSession.sparkContext.broadcast(np.sort(ids).astype(np.int64)) if len(ids) <= ONLY else None
+
+
+def frequent(docs: DataFrame, n: int, documents_: int, least: int = FREQUENT_LEAST, only=None) -> np.ndarray:
+    """Hashes of shingles that many documents (of ``only``) hold, sorted; counted over all of them, by task and then together."""
+    least = max(least, int(FREQUENT * documents_))
 
     def run(batches):
         held, size, seen = [], 0, set()
@@ -140,7 +167,7 @@ def frequent(docs: DataFrame, n: int, documents_: int) -> np.ndarray:
             some = c > 2
             return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(c[some])], ["h", "c"])
 
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(among(batches, only), "text", SLICE):
             h, first = shingle_sets(*flat(batch.column("text")), n)
             d1 = set_digest(h, first)[0].tolist()
             fresh = np.array([not (d in seen or seen.add(d)) for d in d1], bool)  # copies count once in a task
@@ -212,7 +239,7 @@ def ties(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame
                 rare = shared.value[at] != h
                 h, row = h[rare], row[rare]
             first = np.searchsorted(row, np.arange(len(ids) + 1))
-            keys, row = range_keys(h, first, size, percent, size_classes(percent, int(size.max()) * 2 + 2))
+            keys, row, _ = range_keys(h, first, size, percent, size_classes(percent, int(size.max()) * 2 + 2))
             order, new, pairs = _stars(keys, ids[row])
             if len(pairs):
                 yield _rows([(int(pairs[0, 0]) % buckets, 1, put(pairs[:, 0], pairs[:, 1]))])
@@ -257,6 +284,87 @@ def ties(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame
     return found.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(meet, "a long, b long").distinct()
 
 
+def strong_ties(docs: DataFrame, n: int, percent: int, common: np.ndarray, only) -> DataFrame:
+    """a, b: documents of ``only`` that agree in as many ranges as a linked pair does at least, or share a key with many; ``common`` shingles aside.
+
+    A linked pair of which no key has many holders is counted in each key that it agrees in, so it is found.
+    """
+    buckets = partitions(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def emit(batches):
+        for batch in slices(among(batches, only), "text", SLICE):
+            h, first = shingle_sets(*flat(batch.column("text")), n)
+            size, ids = np.diff(first), np.asarray(batch.column("doc_id")).astype(np.int64)
+            row = np.repeat(np.arange(len(ids)), size)
+            if len(shared.value):
+                rare = shared.value[np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)] != h
+                h, row = h[rare], row[rare]
+            keys, row, need = range_keys(h, np.searchsorted(row, np.arange(len(ids) + 1)), size, percent, size_classes(percent, int(size.max()) * 2 + 2))
+            for b, at in _split(bucket_of(keys, buckets)):
+                at = at[np.argsort(row[at], kind="stable")]
+                one, count = np.unique(row[at], return_counts=True)
+                yield _rows([(b, 0, put(ids[one], need[one].astype("<i8"), count.astype("<u4")) + pack(keys[at], KEY_BYTES) + np.array([len(at)], "<u8").tobytes())])
+
+    def pairs(blobs):
+        keys, ids, need = [], [], []
+        for blob in blobs:
+            m = int(np.frombuffer(blob[-8:], "<u8")[0])
+            cut = len(blob) - 8 - m * KEY_BYTES
+            w, least, count = get(blob[:cut], "<i8", "<i8", "<u4")
+            ids.append(np.repeat(w, count))
+            need.append(np.repeat(least, count))
+            keys.append(unpack(blob[cut:-8], KEY_BYTES))
+        keys, ids, need = np.concatenate(keys), np.concatenate(ids), np.concatenate(need)
+        order = np.lexsort((ids, keys))
+        keys, ids, need = keys[order], ids[order], need[order]
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        holders = np.diff(np.append(new, len(keys)))
+        many, lead = np.repeat(holders > COUNTED_HOLDERS, holders), np.repeat(new, holders)
+        found = [(lead[many], np.flatnonzero(many), True)]
+        for step in range(1, min(int(holders.max()), COUNTED_HOLDERS)):
+            a = np.flatnonzero((keys[step:] == keys[:-step]) & ~many[step:])
+            found.append((a, a + step, False))
+        for a, b, tied in found:
+            a, b = a[ids[a] != ids[b]], b[ids[a] != ids[b]]
+            for i in range(0, len(a), 1 << 16):
+                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                least = np.where(tied, 0, np.maximum(need[x], need[y]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(least)], ["a", "b", "need"])
+
+    def meet(batches):
+        key, held = None, []
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != key and held:
+                    yield from pairs(held)
+                    held = []
+                key = k
+                held.append(blob)
+        if held:
+            yield from pairs(held)
+        tidy()
+
+    found = docs.select("doc_id", "text").mapInArrow(emit, "key int, kind int, blob binary")
+    found = found.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, need long")
+    return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b")
+
+
+def refined(docs: DataFrame, members: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """``members`` (doc_id, n, tree and others) with trees of more than ``block`` shingles cut where no link can run; documents that link with none go."""
+    for least in AGAIN:
+        large = saved(members.join(members.groupBy("tree").agg(F.sum("n").alias("_s")).where(F.col("_s") > block).select("tree"), "tree", "left_semi"))
+        only = listed(large)
+        if only is None or not len(only.value):
+            break
+        some = strong_ties(docs, n, percent, frequent(docs, n, len(only.value), least, only), only)
+        trees = connected_components(some).withColumnsRenamed({"component": "_tree"})
+        again = large.join(trees, F.col("doc_id") == F.col("node")).withColumn("tree", F.col("_tree")).select(*members.columns)
+        members = saved(members.join(large.select("tree").distinct(), "tree", "left_anti").select(*members.columns).unionByName(again))
+        release(docs.sparkSession)
+    return members
+
+
 class Tree:
     """Signature tree over shingle sets: documents in order, nodes with OR bitmaps and size ranges."""
 
@@ -428,14 +536,14 @@ def verified(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def packed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, digest and the compressed text."""
+def packed(docs: DataFrame, n: int, only=None) -> DataFrame:
+    """doc_id, digest and the compressed text of each document (of ``only``)."""
 
     def run(batches):
         import zstandard
 
         coder = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(among(batches, only), "text", SLICE):
             data, offs = flat(batch.column("text"))
             d1, d2 = set_digest(*shingle_sets(data, offs, n))
             raw = memoryview(data)
@@ -456,10 +564,13 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK)
     tied = ties(docs, n, percent, frequent(docs, n, own.count()))
     tied = tied.join(rep_of.withColumnsRenamed({"doc_id": "a", "rep": "ra"}), "a").join(rep_of.withColumnsRenamed({"doc_id": "b", "rep": "rb"}), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     trees = saved(connected_components(tied).withColumnsRenamed({"component": "tree"}))
-    members = placed.where("doc_id = rep").join(trees, F.col("rep") == F.col("node")).select("doc_id", "d1", "d2", "n", "tree")
+    del tied
+    release(docs.sparkSession)  # what the ties have moved
+    members = saved(placed.where("doc_id = rep").join(trees, F.col("rep") == F.col("node")).select("doc_id", "d1", "d2", "n", "tree"))
+    members = refined(docs, members, n, percent, block)
     blocks = members.groupBy("tree").agg(F.ceil(F.sum("n") / F.lit(block)).alias("blocks"))
     members = members.join(blocks, "tree").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    texts = packed(docs, n).join(members.drop("n"), ["doc_id", "d1", "d2"])
+    texts = packed(docs, n, listed(members)).join(members.drop("n"), ["doc_id", "d1", "d2"])
     pair = texts.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     task = F.xxhash64("tree", F.least("mine", "with"), F.greatest("mine", "with"))
     work = pair.select(task.alias("task"), F.when(F.col("mine") <= F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "d1", "d2", "blob")

@@ -123,3 +123,27 @@ def test_clashing_columns_are_kept(spark):
     got = jj.representatives(docs)
     assert got.columns == docs.columns and unchanged(got)
     assert got.count() == jj.representatives(table(spark)).count()
+
+
+def test_large_trees_are_cut_where_no_link_can_run(spark):
+    """Long documents of different texts that share a few sentences are one tree by their single ranges, but need not meet."""
+    lines = [[f"s{i}x{k}" for k in range(9)] for i in range(60)]
+    data = []
+    for i in range(60):
+        w = [f"d{i // 2}x{k}" if k % 150 or i % 2 == 0 else f"e{i}x{k}" for k in range(900)]
+        chosen = random.Random(i // 2).sample(range(60), 8)
+        for j in chosen:
+            w += lines[j]
+        data.append((i, " ".join(w), "", "", 0, 0, ""))
+    df = spark.createDataFrame(data, SCHEMA)
+    sets = [shingles(d[1], 5) for d in data]
+    some = {(x.a, x.b) for x in jj.strong_ties(df, 5, 80, np.zeros(0, np.uint64), jj.listed(df)).collect()}
+    before = jj.connected_components(jj.ties(df, 5, 80, np.zeros(0, np.uint64)))
+    assert before.select("component").distinct().count() < 15
+    links = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(links) == 30 and links <= some
+    tree = spark.createDataFrame([(i, len(s), 0) for i, s in enumerate(sets)], "doc_id long, n long, tree long")
+    cut = {x.doc_id: x.tree for x in jj.refined(df, tree, 5, 80, 2500).collect()}
+    assert all(cut[i] == cut[j] for i, j in links) and len(set(cut.values())) > 20
+    got = jj.classes(df, 5, 80, 2500)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(data, 5, 80)
