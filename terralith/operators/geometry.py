@@ -56,10 +56,12 @@ def overlap_by(cells: DataFrame, polygons: DataFrame, cell: float, by: str, ring
     def span(low: Column, high: Column) -> Column:
         return F.sequence(F.floor(low / cell), F.floor(high / cell))
 
-    spread = polygons.select(ring, F.explode(span(F.array_min(xs), F.array_max(xs))).alias("_i"), ys.alias("_y")).select(ring, "_i", F.explode(span(F.array_min("_y"), F.array_max("_y"))).alias("_j"))
+    dealt = polygons.select(ring).repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a file's rows become many times as many
+    spread = dealt.select(ring, F.explode(span(F.array_min(xs), F.array_max(xs))).alias("_i"), ys.alias("_y")).select(ring, "_i", F.explode(span(F.array_min("_y"), F.array_max("_y"))).alias("_j"))
     own = cells.select(by, F.floor(F.col("x") / cell).alias("_i"), F.floor(F.col("y") / cell).alias("_j"))
-    parts = cut(spread.join(own, ["_i", "_j"]), F.col("_i") * cell, F.col("_j") * cell, (F.col("_i") + 1) * cell, (F.col("_j") + 1) * cell, ring)
-    return parts.groupBy(by).agg(F.sum(shoelace(F.col(ring))).alias("area"))
+    pieces = cut(spread, F.col("_i") * cell, F.col("_j") * cell, (F.col("_i") + 1) * cell, (F.col("_j") + 1) * cell, ring)
+    inside = pieces.groupBy("_i", "_j").agg(F.sum(shoelace(F.col(ring))).alias("_area"))  # a row a cell: rings don't travel
+    return inside.hint("merge").join(own, ["_i", "_j"]).groupBy(by).agg(F.sum("_area").alias("area"))  # cells may be too many for a broadcast
 
 
 def parts(df: DataFrame, rings: str = "rings", least: float = 0.0) -> DataFrame:

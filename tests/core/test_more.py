@@ -133,3 +133,16 @@ def test_priorities_of_any_size():
         assert np.allclose(w, 1 / n) and math.isclose(growth, n) and math.isclose(ratio, 0, abs_tol=1e-9)
     with pytest.raises(ValueError):
         suitability.priorities(np.ones((11, 11)))
+
+
+def test_overlap_sends_no_cells_to_every_task(spark):
+    cells = spark.range(400).selectExpr("id % 20 * 10 + 5D as x", "id div 20 * 10 + 5D as y", "id % 3 as patch")
+    squares = spark.range(30).selectExpr("array(struct(id * 5D as x, id * 3D as y), struct(id * 5D + 17 as x, id * 3D as y), struct(id * 5D + 17 as x, id * 3D + 17 as y), struct(id * 5D as x, id * 3D + 17 as y)) as ring")
+    out = geometry.overlap_by(cells, squares, 10.0, "patch")
+    want = {}
+    for c in cells.collect():
+        for i in range(30):
+            w, h = (max(0.0, min(lo + 17, at + 5) - max(lo, at - 5)) for lo, at in ((i * 5.0, c.x), (i * 3.0, c.y)))
+            want[c.patch] = want.get(c.patch, 0.0) + w * h
+    assert {r.patch: round(r.area, 6) for r in out.collect()} == {k: round(v, 6) for k, v in want.items()}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
