@@ -107,3 +107,28 @@ def test_queries_use_all_folds_and_default_settings(spark, monkeypatch):
     assert len(seen) == 5 and not any(reduced & set(kw) for _, kw in seen.values())
     assert seen["tune"][0][2:] == ((1, 5, 20), ("sqrt", "0.5"))
     assert list(seen["k_scan"][0][1]) == list(range(3, 11)) and len(seen["k_scan"][0][0]) > 2
+
+
+def test_forests_grown_by_tasks_are_as_good_as_spread_ones(spark, town, monkeypatch):
+    from terralith.operators import trees
+
+    cols, auc = ["elev_mean", "slope_mean"], {}
+    for most in (trees.VALUES, 0):
+        monkeypatch.setattr(trees, "VALUES", most)
+        scores, models = learn.out_of_fold(town, cols, "y", trees=20, depth=5, leaf=2)
+        assert all(isinstance(m, trees.Trees) == (most > 0) for m in models)
+        auc[most] = learn.mean_fold_auc(scores, "y")
+        assert np.argmax(models[0].featureImportances.toArray()) == 0 and scores.agg(F.max("score") <= 1, F.min("score") >= 0).first() == (True, True)
+    assert abs(auc[0] - auc[max(auc)]) < 0.05
+
+
+def test_a_tree_keeps_leaves_and_weights():
+    from terralith.operators import trees
+
+    x = np.arange(2000.0)[:, None] % 1000
+    bins, bounds = trees.binned(x)
+    assert len(bounds[0]) < 256 and (np.diff(bins[0][:1000].astype(int)) >= 0).all()
+    label = x[:, 0] >= 500
+    feature, cut, left, share, gain = trees.grow(bins, label, np.ones(2000), np.random.default_rng(1), 5, 1, 12)
+    assert feature[0] == 0 and gain[0] == 1 and share[left[0]] < 0.05 and share[left[0] + 1] > 0.95
+    assert trees.drawn("sqrt", 4) == 2 and trees.drawn("0.5", 3) == 2
