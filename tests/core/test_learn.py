@@ -132,3 +132,44 @@ def test_a_tree_keeps_leaves_and_weights():
     feature, cut, left, share, gain = trees.grow(bins, label, np.ones(2000), np.random.default_rng(1), 5, 1, 12)
     assert feature[0] == 0 and gain[0] == 1 and share[left[0]] < 0.05 and share[left[0] + 1] > 0.95
     assert trees.drawn("sqrt", 4) == 2 and trees.drawn("0.5", 3) == 2
+
+
+def test_scan_takes_few_jobs_and_agrees_with_spread_fits(spark, town, monkeypatch):
+    from terralith.operators import labels
+
+    cols, both = ["elev_mean", "slope_mean"], town.unionByName(town.withColumn("cell_id", F.col("cell_id") + 1000))  # every row twice
+    spark.sparkContext.setJobGroup("scan", "scan")
+    got = {(r["k"], r["method"]): r for r in learn.k_scan(both, cols, range(2, 6))}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("scan"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 8 and jobs < 40
+
+    z = learn.assembled(learn.scaled(both, cols), cols).cache()
+    km, gm = learn.kmeans(z, 3, starts=3), learn.gmm(z, 3)
+    assert np.isclose(got[3, "kmeans"]["cost"], km.summary.trainingCost)
+    assert np.isclose(got[3, "gmm"]["cost"], learn.bic(gm.summary.logLikelihood, 480, 3, 2), rtol=1e-3)
+    labelled = km.transform(z)
+    assert np.isclose(got[3, "kmeans"]["silhouette"], learn.silhouette(labelled, "prediction", cols).first().silhouette)
+    assert np.isclose(got[3, "kmeans"]["davies_bouldin"], labels.davies_bouldin(labelled, "prediction", cols).first().davies_bouldin)
+
+    from terralith.operators import clusters
+
+    monkeypatch.setattr(clusters, "VALUES", 0)
+    for r in learn.k_scan(both, cols, (3,)):
+        assert all(np.isclose(r[v], got[3, r["method"]][v], rtol=1e-6) for v in ("cost", "silhouette", "davies_bouldin"))
+
+
+def test_scan_of_odd_tables(spark):
+    # On a line, with copies, a constant column and fewer distinct rows than clusters.
+    few = spark.createDataFrame([(i, float(i % 3), 2.0 * (i % 3), 7.0) for i in range(30)], "cell_id long, x double, n double, c double")
+    got = {(r["k"], r["method"]): r for r in learn.k_scan(few, ["x", "n", "c"], (1, 2, 5))}
+    assert got[5, "kmeans"]["cost"] == 0 and np.isclose(got[5, "kmeans"]["silhouette"], 1) and got[5, "kmeans"]["davies_bouldin"] == 0
+    assert got[1, "kmeans"]["davies_bouldin"] is None and np.isclose(got[1, "kmeans"]["cost"], 60)
+    cov = np.cov(np.array([[i % 3, 2 * (i % 3), 7] for i in range(30)]).T, bias=True)
+    s = np.sqrt(np.diag(cov))
+    s[2] = 1
+    cov = cov / np.outer(s, s) + 1e-6 * np.eye(3)  # one component: the normal density in closed form
+    assert np.isclose(got[1, "gmm"]["cost"], 30 * (3 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + np.trace(np.linalg.solve(cov, cov - 1e-6 * np.eye(3)))) + 9 * np.log(30))
+    assert learn.k_scan(few.where("false"), ["x"], (2,)) == []
+    with pytest.raises(ValueError):
+        learn.k_scan(few.withColumn("x", F.when(F.col("cell_id") > 3, F.col("x"))), ["x"], (2,))
