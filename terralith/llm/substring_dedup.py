@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, release, saved
+from .common import documents, moved
 from .text import U64, flat, mix, pack, slices, tidy, unpack, window_hashes, word_bounds, word_hashes
 
 K = 13
@@ -423,11 +423,10 @@ def deduplicate(docs: DataFrame, k: int = K, digest: bool = False, seed: int = 1
     width = fingerprint_bytes(size // 6, buckets)
     while True:
         flags = resolve(edges(docs, k, buckets, groups, width, seed), groups, width)
-        flags = saved(flags)  # small: differences, compressed
-        release(docs.sparkSession)  # the edges have done their work
+        flags = moved(flags)  # small: differences, compressed; the edges have done their work
         rows = flags.select("key", "kind", "blob", F.lit(None).cast("long").alias("doc_id"))
         rows = rows.unionByName(notes(flags, groups).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(packed_texts(docs, groups))
-        done = saved(removal(rows, k, groups, seed, digest))
+        done = moved(removal(rows, k, groups, seed, digest))  # and so have the texts
         if failures(done, k, seed).isEmpty():
             return done.where("kind = 0").select("doc_id", "n_words", "n_removed", "kept")
         width, seed = min(width + 4, 16), seed + 4

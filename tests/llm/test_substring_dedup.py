@@ -91,3 +91,38 @@ def test_spans_are_compared_by_their_bytes():
     assert (a[0][0], a[1][0]) != (b[0][0], b[1][0]) and (a[0][1], a[1][1]) == (b[0][1], b[1][1])
     joined = hashlib.blake2b(b"x y", digest_size=16).digest()
     assert (int(a[0][1]), int(a[1][1])) == tuple(int.from_bytes(joined[i : i + 8], "little", signed=True) for i in (0, 8))
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_shuffles_go_when_their_work_is_done(spark, monkeypatch, adaptive):
+    """Also while somebody refers to their plans, so that no garbage collector can help."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held, seen = [], []
+
+    def files():
+        every = manager.getAllFiles()
+        names = [every.apply(i).getName() for i in range(every.length())]
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    def watched(name):
+        real = getattr(sd, name)
+
+        def call(*a):
+            seen.append((name, files()))
+            held.append(real(*a))
+            return held[-1]
+
+        monkeypatch.setattr(sd, name, call)
+
+    for name in ("edges", "resolve", "removal", "failures"):
+        watched(name)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = sd.deduplicate(table(spark))
+        assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows(), 13)
+        assert [name for name, _ in seen] == ["edges", "resolve", "removal", "failures"]
+        assert seen[2][1] <= seen[0][1] and seen[3][1] <= seen[0][1]
+        assert sorted((r.doc_id, r.n_words) for r in held[2].where("kind = 0 and doc_id is not null").collect()) == sorted((r[0], r[1]) for r in brute(rows(), 13) if r[0] is not None)  # made again
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
