@@ -39,7 +39,7 @@ VOCABULARY = "word_bpe_49k.json"
 CHUNK_BYTES = 512
 WINDOW = 16
 KEEP_CHUNK_BYTES = 12 << 20
-KEEP_WORDS = 250_000
+KEEP_WORDS = 100_000
 _SPACES = b" \t\n\x0b\f\r"
 _FIRST = re.compile(rb"[ \t-\r]")
 
@@ -55,8 +55,8 @@ def cuts(data: np.ndarray, mean: int = CHUNK_BYTES) -> np.ndarray:
     if len(data) <= WINDOW:
         return np.zeros(0, np.int64)
     out = []
-    for a in range(0, len(data) - WINDOW + 1, 1 << 20):
-        part = data[a : a + (1 << 20) + WINDOW - 1].astype(np.uint32)
+    for a in range(0, len(data) - WINDOW + 1, 1 << 18):
+        part = data[a : a + (1 << 18) + WINDOW - 1].astype(np.uint32)
         h = part.copy()
         step = 1
         with np.errstate(over="ignore"):
@@ -184,7 +184,7 @@ class Codec:
         out, at = [], 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and (stop == at or size < 1 << 19):
+            while stop < len(texts) and (stop == at or size < 1 << 18):
                 size += len(texts[stop])
                 stop += 1
             ids = np.frombuffer(b"".join(texts[at:stop]), "<u4")

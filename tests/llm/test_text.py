@@ -1,5 +1,6 @@
 import hypothesis.strategies as st
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 
@@ -41,3 +42,17 @@ def test_windows_of_swapped_words_differ():
     pattern = np.array([int(c) for c in "0110100110010110"])
     a, b = tx.window_hashes(w[pattern], 16), tx.window_hashes(w[1 - pattern], 16)
     assert a[0] != b[0]
+
+
+def test_a_slice_does_not_hold_its_batch():
+    texts = [None, "", "é" * 900, "x" * 3000] * 1000
+    before = pa.total_allocated_bytes()
+    got = []
+    for part in tx.slices((pa.record_batch({"n": list(range(4000)), "text": texts}) for _ in range(2)), "text", 100_000):
+        got.append((part.num_rows, part["n"][0].as_py(), part["text"][-1].as_py()))
+    assert pa.total_allocated_bytes() - before < 1_000_000  # of 4.8 MB in a batch
+    assert sum(n for n, _, _ in got) == 8000
+    at = 0
+    for n, first, last in got:
+        assert (first, last) == (at % 4000, texts[(at + n - 1) % 4000])
+        at += n
