@@ -574,7 +574,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK)
     pair = texts.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     task = F.xxhash64("tree", F.least("mine", "with"), F.greatest("mine", "with"))
     work = pair.select(task.alias("task"), F.when(F.col("mine") <= F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "d1", "d2", "blob")
-    links = verified(work, n, percent)
+    links = saved(verified(work, n, percent))  # else its tasks hold a second Python worker each, for the forests, and executors keep those
     # A doc_id of several texts is one document.
     several = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same = several.join(rep_of, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))

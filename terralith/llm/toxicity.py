@@ -282,7 +282,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most: int = S
     chosen = {k: [r.doc_id for r in known.where(F.col("toxic") == k).orderBy(*order).limit(size).select("doc_id").collect()] for k in (1, 0)}
 
     def of(wanted):
-        few = docs.sparkSession.createDataFrame([(d,) for d in wanted], "_id long")  # 2 x ``size`` rows at most
+        few = docs.sparkSession.createDataFrame(pa.table({"_id": pa.array(wanted, pa.int64())}))  # 2 x ``size`` rows at most; of a list, Python workers of their own would make it
         return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
 
     length = {r.doc_id: r.n for r in of([*chosen[1], *chosen[0]]).groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()}

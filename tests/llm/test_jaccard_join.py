@@ -147,3 +147,16 @@ def test_large_trees_are_cut_where_no_link_can_run(spark):
     assert all(cut[i] == cut[j] for i, j in links) and len(set(cut.values())) > 20
     got = jj.classes(df, 5, 80, 2500)
     assert sorted((tuple(x) for x in got.collect()), key=str) == brute(data, 5, 80)
+
+
+def test_forests_are_not_grown_in_tasks_that_compare_texts(spark, monkeypatch):
+    plans = []
+
+    def looked_at(edges, *options):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges, *options)
+
+    components = jj.connected_components
+    monkeypatch.setattr(jj, "connected_components", looked_at)
+    jj.classes(table(spark)).collect()
+    assert plans and "MapInArrow" not in plans[-1]
